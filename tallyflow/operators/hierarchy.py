@@ -105,14 +105,14 @@ def paths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10
         start.select("node", F.col("node").cast("string").alias("path"), F.lit(0).alias("depth")), "level"
     )
     levels = [frontier]
+    step = edges.withColumnRenamed("parent", "node")
+    hot = hot_keys(step, ["node"])
     for _ in range(max_rounds):
+        open_ended = frontier.filter(
+            ~F.array_contains(F.slice(F.split("path", r"\."), 1, F.col("depth")), F.col("node"))
+        )
         nxt = (
-            skew_join(
-                edges.withColumnRenamed("parent", "node"),
-                frontier.filter(~F.array_contains(F.slice(F.split("path", r"\."), 1, F.col("depth")), F.col("node"))),
-                ["node"],
-                hot=False,
-            )
+            skew_join(step, open_ended, ["node"], hot=hot if hot is not None else False)
             .select(
                 F.col("child").alias("node"),
                 F.concat_ws(".", "path", F.col("child").cast("string")).alias("path"),
@@ -271,9 +271,12 @@ def contain(pairs: DataFrame, flows: DataFrame) -> DataFrame:
     ``pairs(parent, child, factor)``, ``flows(node, flow, value)``. A parent inherits the flows
     it lacks. Each placement is a copy named ``parent.child``.
     """
-    copies = skew_join(
-        flows.withColumnRenamed("node", "child"), pairs, ["child"], hot=False
-    ).select("parent", F.concat_ws(".", "parent", "child").alias("node"), "flow", (F.col("value") * F.col("factor")).alias("value"))
+    copies = skew_join(flows.withColumnRenamed("node", "child"), pairs, ["child"]).select(
+        "parent",
+        F.concat_ws(".", "parent", "child").alias("node"),
+        "flow",
+        (F.col("value") * F.col("factor")).alias("value"),
+    )
     parents = pairs.select(F.col("parent").alias("node")).distinct()
     own = flows.join(parents, "node", "left_semi")
     up = copies.select(F.col("parent").alias("node"), "flow", "value").unionByName(own)
