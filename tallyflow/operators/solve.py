@@ -186,19 +186,20 @@ class _Solver:
         over = union_all([t.select(*STATE) for t in top])
         return base.join(over.select(*KEYS, "node"), KEYS + ["node"], "left_anti").unionByName(over)
 
-    def graph_pass(self, source: str, inputs: DataFrame, hot, results: DataFrame) -> list[DataFrame]:
+    def graph_pass(
+        self, source: str, inputs: DataFrame, hot, results: DataFrame, changed: list[DataFrame]
+    ) -> list[DataFrame]:
+        """Rounds over one graph, looking only at the nodes next to a changed value."""
         mine = self.own[source]
         known0 = self.overlay(results, mine)
         on = edge_keys(inputs)
         found: list[DataFrame] = []
-        frontier = None
+        frontier = union_all([c.select(*KEYS, "node") for c in changed])
         while True:
             self.seq += 1
-            part = inputs
-            if frontier is not None:
-                touched = frontier.select(*on, F.col("node").alias("input")).distinct()
-                targets = inputs.join(touched, on + ["input"], "left_semi").select(*on, "node").distinct()
-                part = inputs.join(targets, on + ["node"], "left_semi")
+            touched = frontier.select(*on, F.col("node").alias("input")).distinct()
+            targets = inputs.join(touched, on + ["input"], "left_semi").select(*on, "node").distinct()
+            part = inputs.join(targets, on + ["node"], "left_semi")
             known = self.overlay(known0, found)
             new = propagate(part, known, KEYS, hot)
             for t in (*mine, *found):
@@ -264,13 +265,15 @@ def solve(
     results = s.scratch.save(first, "observations")
     groups = s.scratch.save(results.select(*KEYS).distinct(), "groups")
 
-    passes: list[tuple[str, Callable[[DataFrame, str], list[DataFrame]]]] = []
+    passes: list[tuple[str, Callable[[DataFrame, str, list[DataFrame]], list[DataFrame]]]] = []
     for source, edges in (("Flow", network.flow), ("Scale", network.scale), ("ScaleChange", network.scale_change)):
         if edges is not None:
             inputs = s.scratch.save(computation_edges(edges), f"{source}-inputs")
             hot = hot_keys(inputs, edge_keys(inputs) + ["input"])
             hot = hot.withColumnRenamed("input", "_input") if hot is not None else None
-            passes.append((source, lambda r, phase, a=source, b=inputs, c=hot: s.graph_pass(a, b, c, r)))
+            passes.append(
+                (source, lambda r, phase, changed, a=source, b=inputs, c=hot: s.graph_pass(a, b, c, r, changed))
+            )
     for source, edges in (("InterfaceTypeAggregation", network.type_edges), ("PartOfAggregation", network.part_of)):
         if edges is not None:
             if "weight" not in edges.columns:
@@ -290,10 +293,14 @@ def solve(
             passes.append(
                 (
                     source,
-                    lambda r, phase, a=source, b=leveled, c=top, d=tops, e=hot: s.level_pass(a, b, c, d, e, r, phase),
+                    lambda r, phase, changed, a=source, b=leveled, c=top, d=tops, e=hot: s.level_pass(
+                        a, b, c, d, e, r, phase
+                    ),
                 )
             )
     s.own = {source: [] for source, _ in passes}
+    # values set since the last pass of each source: a pass without any is skipped
+    changed: dict[str, list[DataFrame]] = {source: [results] for source, _ in passes}
 
     zero = [n for n, p in s.policies.items() if p.missing == "UseZero"]
     strict = [n for n, p in s.policies.items() if p.missing != "UseZero"]
@@ -309,14 +316,19 @@ def solve(
                 else groups if default.missing == "UseZero"
                 else groups.filter(F.col("scenario").isin(zero))
             )
-        counts = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-        counts = s.scratch.save(counts, "counts")
+        counts = s.scratch.save(results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
+        first_round = True
         while not active.isEmpty():
             frozen = results.join(active, KEYS, "left_anti")
             live = results.join(active, KEYS, "left_semi")
             for source, run in passes:
-                found = run(live, phase)
+                due = changed[source] or (first_round and source in AGGREGATIONS)
+                seen, changed[source] = changed[source], []
+                found = run(live, phase, seen) if due else []
                 if found:
+                    for other in changed:
+                        if other != source:
+                            changed[other] = changed[other] + found
                     lost = union_all(found).filter("lost is not null")
                     if not lost.isEmpty():
                         clashed = True
@@ -339,17 +351,22 @@ def solve(
                     "siblings",
                 )
                 live = s.overlay(live, [evaluated])
+                if not evaluated.isEmpty():
+                    changed = {source: frames + [evaluated] for source, frames in changed.items()}
                 pending = s.scratch.save(
                     pending.join(evaluated.select(*KEYS, "node"), KEYS + ["node"], "left_anti"), "pending"
                 )
+            first_round = False
+            if not any(changed.values()):
+                results = s.scratch.save(frozen.unionByName(live), "results")
+                break
             results = s.scratch.save(frozen.unionByName(live), "results")
-            after = s.scratch.save(results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
-            active = s.scratch.save(
-                after.join(counts.withColumnRenamed("n", "m"), KEYS).filter("n > m").select(*KEYS)
-                .join(active, KEYS, "left_semi"),
-                "active",
+            grown = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).join(
+                counts.select(*KEYS, F.col("n").alias("_m")), KEYS
             )
-            counts = after
+            grown = s.scratch.save(grown.withColumn("_grew", F.col("n") > F.col("_m")), "counts")
+            active = grown.filter("_grew").select(*KEYS).join(active, KEYS, "left_semi")
+            counts = grown.select(*KEYS, "n")
 
     if s.conflicts:
         log = union_all(s.conflicts)
