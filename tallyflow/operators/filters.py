@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.scalar import same_value, wildcard_regex
+from tallyflow.functions.scalar import wildcard_regex
 
 
 def resolve_column(df: DataFrame, name: str) -> str | None:
@@ -187,4 +187,3 @@ def end_use_matrix(
     return wide.withColumnsRenamed({n: f"{n} ({units[n]})" for n in names})
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
