@@ -32,11 +32,17 @@ def role_of(field: T.StructField) -> str:
 
 
 def describe_cube(df: DataFrame) -> DataFrame:
-    """One row per concept: name, role, type; a time dimension adds StartPeriod / EndPeriod."""
+    """One row per concept: name, role, type, number of codes of a dimension; a time dimension
+    adds StartPeriod / EndPeriod."""
     rows = [(f.name, role_of(f), f.dataType.simpleString()) for f in df.schema.fields]
+    dims = [r[0] for r in rows if r[1] in ("dimension", "time")]
     if any(r[1] == "time" for r in rows):
         rows += [("StartPeriod", "time", "string"), ("EndPeriod", "time", "string")]
-    return df.sparkSession.createDataFrame(rows, "concept string, role string, data_type string")
+    concepts = df.sparkSession.createDataFrame(rows, "concept string, role string, data_type string")
+    if not dims:
+        return concepts.withColumn("codes", F.lit(None).cast("long"))
+    counts = code_lists(df, dims).groupBy("concept").agg(F.count(F.lit(1)).alias("codes"))
+    return concepts.join(counts, "concept", "left")
 
 
 def code_lists(df: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -222,6 +228,13 @@ def add_labels(df: DataFrame, labels: DataFrame, dataset: str, cols: Sequence[st
     return out
 
 
+def structure_codes(df: DataFrame) -> DataFrame:
+    """One row per code of every dimension, with the place of the dimension."""
+    place = concepts_table(df).select("position", "concept", "role")
+    dims = [f.name for f in df.schema.fields if role_of(f) in ("dimension", "time")]
+    return code_lists(df, dims).join(place, "concept").select("position", "concept", "role", "code")
+
+
 def concepts_table(df: DataFrame) -> DataFrame:
     """One row per column with its place in a structure definition."""
     place = {"dimension": "Dimension", "time": "TimeDimension", "measure": "Measure", "attribute": "Attribute"}
@@ -245,7 +258,7 @@ def column_usage(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """Dataset x column table."""
     names = sorted({c for d in datasets.values() for c in d.columns})
     spark = next(iter(datasets.values())).sparkSession
-    rows = [(n, *[int(c in d.columns) for d in datasets.values()]) for n in names]
+    rows = [(n, *[int(n in d.columns) for d in datasets.values()]) for n in names]
     return spark.createDataFrame(rows, ", ".join(["`column` string"] + [f"`{n}` int" for n in datasets]))
 
 
