@@ -154,7 +154,7 @@ def benchmark_stakeholders(benchmarks: DataFrame) -> DataFrame:
     """One row per benchmark and stakeholder; ``stakeholders`` is comma-separated text or an array."""
     col = F.col("stakeholders")
     if dict(benchmarks.dtypes)["stakeholders"] == "string":
-        col = F.transform(F.split(col, ","), F.trim)
+        col = F.transform(F.split(col, ","), lambda s: F.trim(s))
     return benchmarks.select("benchmark", F.explode(col).alias("stakeholder")).filter("stakeholder <> ''")
 
 

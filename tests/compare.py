@@ -74,7 +74,8 @@ def check(spark, con, folder, name, fn, sql):
         if len(a) != len(b):
             problems.append(f"rows {len(a)} vs {len(b)}")
         if a != b:
-            diff = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+            in_a, in_b = set(a), set(b)
+            diff = [x for x in a if x not in in_b][:3], [x for x in b if x not in in_a][:3]
             problems.append(f"values {diff}")
     return seconds, len(got), "; ".join(problems) or "ok"
 
