@@ -208,5 +208,6 @@ def pedigree_modes(df: DataFrame, code: str, phases: DataFrame) -> DataFrame:
 
     ``phases(phase int, mode int, label string)``; phases are numbered from 0.
     """
-    digits = df.select("*", F.posexplode(F.split(F.col(code), "(?!^)")).alias("phase", "_d"))
+    each = F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: F.substring(F.col(code), i, F.lit(1)))
+    digits = df.filter(F.length(code) > 0).select("*", F.posexplode(each).alias("phase", "_d"))
     return digits.withColumn("mode", F.col("_d").try_cast("int")).drop("_d").join(phases, ["phase", "mode"], "left")

@@ -195,7 +195,7 @@ def weighted_addition(spark, sf):
 @query(
     "to_extensive",
     """WITH f AS (SELECT l_orderkey AS node, l_linenumber AS flow, l_quantity AS value, CASE l_returnflag WHEN 'R' THEN 'kg/ha' WHEN 'A' THEN 'kg/h' ELSE 'kg' END AS unit FROM lineitem)
-    SELECT f.node, flow, round(CASE WHEN unit = 'kg/ha' THEN value * o_totalprice * 0.0001 ELSE value END, 5) AS value,
+    SELECT f.node, flow, round(CASE WHEN unit = 'kg/ha' THEN value * o_totalprice * 0.0001 ELSE value END, 6) AS value,
       CASE WHEN unit = 'kg/ha' THEN 'kg' ELSE unit END AS unit, CASE WHEN unit = 'kg/ha' THEN value END AS value_intensive, CASE WHEN unit = 'kg/ha' THEN unit END AS unit_intensive
     FROM f JOIN orders ON o_orderkey = f.node""",
 )
@@ -204,7 +204,7 @@ def to_extensive(spark, sf):
     unit = F.when(F.col("l_returnflag") == "R", "kg/ha").when(F.col("l_returnflag") == "A", "kg/h").otherwise("kg")
     flows = t.lineitem.select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").alias("flow"), F.col("l_quantity").alias("value"), unit.alias("unit"))
     funds = t.orders.select(F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("value"), F.lit("m2").alias("unit"))
-    return rounded(I.to_extensive(flows, funds, inline(spark, [("m2", "ha", 0.0001)], "from string, to string, ratio double")), 5, "value")
+    return rounded(I.to_extensive(flows, funds, inline(spark, [("m2", "ha", 0.0001)], "from string, to string, ratio double")), 6, "value")
 
 
 # -- observations -----------------------------------------------------------------------
