@@ -66,7 +66,7 @@ def _normalized(t: Tables):
 )
 def normalized_csv(spark, sf):
     path = Scratch(spark, "normalized").new_path()
-    _normalized(Tables(spark, sf)).write.option("header", True).option("encoding", "cp1252").csv(path)
+    _normalized(Tables(spark, sf)).write.option("header", True).option("encoding", "iso-8859-1").csv(path)
     return R.read_normalized(spark, path).withColumn("Value", F.col("Value").cast("double"))
 
 

@@ -156,8 +156,26 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.select(*coded, *rest)
 
 
+def _cp1252_chars() -> tuple[str, str]:
+    """Characters that cp1252 and latin-1 decode differently (bytes 0x80-0x9f)."""
+    pairs = []
+    for b in range(0x80, 0xA0):
+        try:
+            pairs.append((chr(b), bytes([b]).decode("cp1252")))
+        except UnicodeDecodeError:
+            continue
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
 def read_normalized(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
-    return normalize_columns(spark.read.option("header", True).option("encoding", encoding).csv(path))
+    """cp1252 is not among the charsets of the CSV reader: it is read as latin-1 and the few
+    differing characters are put right."""
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    df = spark.read.option("header", True).option("encoding", "iso-8859-1" if windows else encoding).csv(path)
+    if windows:
+        old, new = _cp1252_chars()
+        df = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in df.columns])
+    return normalize_columns(df)
 
 
 def extract_codes(df: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
