@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from tallyflow.functions.aggregates import CUBE_AGGREGATES, PIVOT_AGGREGATES
 from tallyflow.operators.filters import filter_dims, filter_mapped, filter_periods, resolve_column
 from tallyflow.operators.mapping import apply_mappings
-from tallyflow.runtime import union_all
+from tallyflow.runtime import small_table, union_all
 
 PIVOT_CELL_LIMIT = 40_000  # fixed value: guard on the size of a pivot shown to a user
 
@@ -38,7 +38,7 @@ def describe_cube(df: DataFrame) -> DataFrame:
     dims = [r[0] for r in rows if r[1] in ("dimension", "time")]
     if any(r[1] == "time" for r in rows):
         rows += [("StartPeriod", "time", "string"), ("EndPeriod", "time", "string")]
-    concepts = df.sparkSession.createDataFrame(rows, "concept string, role string, data_type string")
+    concepts = small_table(df.sparkSession, rows, "concept string, role string, data_type string")
     if not dims:
         return concepts.withColumn("codes", F.lit(None).cast("long"))
     counts = code_lists(df, dims).groupBy("concept").agg(F.count(F.lit(1)).alias("codes"))
@@ -158,7 +158,7 @@ def densify(df: DataFrame, dims: Sequence[str], codes: Mapping[str, Sequence] |
     for d in dims:
         field = df.schema[d]
         if codes.get(d):
-            lists.append(spark.createDataFrame([(c,) for c in codes[d]], T.StructType([T.StructField(d, field.dataType)])))
+            lists.append(small_table(spark, [(c,) for c in codes[d]], T.StructType([T.StructField(d, field.dataType)])))
         else:
             lists.append(df.select(d).filter(F.col(d).isNotNull()).distinct())
     rest = [c for c in df.columns if c not in dims]
@@ -239,7 +239,7 @@ def concepts_table(df: DataFrame) -> DataFrame:
     """One row per column with its place in a structure definition."""
     place = {"dimension": "Dimension", "time": "TimeDimension", "measure": "Measure", "attribute": "Attribute"}
     rows = [(i, f.name, place[role_of(f)]) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, concept string, role string")
+    return small_table(df.sparkSession, rows, "position int, concept string, role string")
 
 
 def usage_matrix(datasets: Mapping[str, DataFrame], dim: str) -> DataFrame:
@@ -259,7 +259,7 @@ def column_usage(datasets: Mapping[str, DataFrame]) -> DataFrame:
     names = sorted({c for d in datasets.values() for c in d.columns})
     spark = next(iter(datasets.values())).sparkSession
     rows = [(n, *[int(n in d.columns) for d in datasets.values()]) for n in names]
-    return spark.createDataFrame(rows, ", ".join(["`column` string"] + [f"`{n}` int" for n in datasets]))
+    return small_table(spark, rows, ", ".join(["`column` string"] + [f"`{n}` int" for n in datasets]))
 
 
 # -- fill down --------------------------------------------------------------------------

@@ -8,9 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.operators.hierarchy import closure
 from tallyflow.operators.issues import issue
-from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
+from tallyflow.runtime import (
+    HOT_MIN_BYTES,
+    Scratch,
+    checkpointed,
+    estimated_bytes,
+    hot_keys,
+    is_derived,
+    skew_join,
+    union_all,
+)
 
 SUM_ONE_TOLERANCE = 1e-9  # fixed value: relative tolerance under which weights sum to one
 
@@ -74,6 +82,8 @@ def complete_weights(
         edges = edges.join(linked, ["src", "dst"], "left").withColumn(
             "_structural", F.coalesce("_structural", F.lit(False))
         )
+    if estimated_bytes(edges) >= HOT_MIN_BYTES and is_derived(edges):
+        edges = checkpointed(edges, "weights")  # read by the sums and by the join
     direct = _complete(edges, "src", "weight", "reverse_weight").withColumnRenamed("_split", "src_split")
     both = _complete(direct, "dst", "reverse_weight", "weight").withColumnRenamed("_split", "dst_split")
     done = both.select(*keys, "src", "dst", "weight", "reverse_weight", "src_split", "dst_split")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import attribute_type, in_interval, parse_interval, period_kind
 from tallyflow.operators.cube import pivot_size
+from tallyflow.runtime import small_table
 
 ISSUES = "level string, rule string, key string, message string"
 
@@ -52,7 +53,7 @@ def unknown_columns(df: DataFrame, dims: Sequence[str], measures: Sequence[str])
     have = {c.lower() for c in df.columns}
     rows = [("error", "unknown dimension", d, "not in the dataset") for d in dims if d.lower() not in have]
     rows += [("error", "unknown measure", m, "not in the dataset") for m in measures if m.lower() not in have]
-    return df.sparkSession.createDataFrame(rows, ISSUES)
+    return small_table(df.sparkSession, rows, ISSUES)
 
 
 def mandatory_fields(df: DataFrame, rules: Mapping[str, str | None], key: Sequence[str]) -> DataFrame:

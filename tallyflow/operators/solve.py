@@ -211,8 +211,14 @@ class _Solver:
             frontier = new
 
     def level_pass(
-        self, source: str, leveled: DataFrame, top: int, tops: DataFrame, hot, results: DataFrame, phase: str
+        self, source: str, leveled: DataFrame, top: int, tops: DataFrame, hot, results: DataFrame, phase: str,
+        changed: list[DataFrame] | None,
     ) -> list[DataFrame]:
+        """One bottom-up sweep; left out when no changed value lies in the hierarchy."""
+        if changed is not None:
+            moved = union_all([c.select("node") for c in changed])
+            if moved.join(tops, "node", "left_semi").isEmpty():
+                return []
         mine = self.own[source]
         base = self.overlay(results, mine).join(tops, "node")
         base = self.scratch.save(base, f"{source}-base")
@@ -265,7 +271,7 @@ def solve(
     results = s.scratch.save(first, "observations")
     groups = s.scratch.save(results.select(*KEYS).distinct(), "groups")
 
-    passes: list[tuple[str, Callable[[DataFrame, str, list[DataFrame]], list[DataFrame]]]] = []
+    passes: list[tuple[str, Callable[[DataFrame, str, list[DataFrame] | None], list[DataFrame]]]] = []
     for source, edges in (("Flow", network.flow), ("Scale", network.scale), ("ScaleChange", network.scale_change)):
         if edges is not None:
             inputs = s.scratch.save(computation_edges(edges), f"{source}-inputs")
@@ -294,7 +300,7 @@ def solve(
                 (
                     source,
                     lambda r, phase, changed, a=source, b=leveled, c=top, d=tops, e=hot: s.level_pass(
-                        a, b, c, d, e, r, phase
+                        a, b, c, d, e, r, phase, changed
                     ),
                 )
             )
@@ -322,9 +328,10 @@ def solve(
             frozen = results.join(active, KEYS, "left_anti")
             live = results.join(active, KEYS, "left_semi")
             for source, run in passes:
-                due = changed[source] or (first_round and source in AGGREGATIONS)
+                # a new policy concerns every node of a hierarchy, not only changed ones
+                sweep = first_round and source in AGGREGATIONS
                 seen, changed[source] = changed[source], []
-                found = run(live, phase, seen) if due else []
+                found = run(live, phase, None if sweep else seen) if seen or sweep else []
                 if found:
                     for other in changed:
                         if other != source:

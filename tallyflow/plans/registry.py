@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.runtime import small_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,7 +43,7 @@ def rounded(df: DataFrame, digits: int = 4, *cols: str) -> DataFrame:
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def year_of(col: str) -> Column:

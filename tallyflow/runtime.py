@@ -10,15 +10,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_roots: dict[str, str] = {}
 
+HOT_MIN_BYTES = 32 << 20  # below one input split no key can overload a task
 HOT_MIN_ROWS = 1_000_000
 HOT_SHARE = 0.005
 HOT_BUCKETS = 64
@@ -37,6 +42,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[sc.applicationId]
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Definition rows as a local relation: the planner knows their exact size, which a table made
+    from a Python list through an RDD would hide."""
+    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(st)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), st)
+
+
 class Scratch:
     """Written intermediate tables of one operator run."""
 
@@ -59,6 +73,25 @@ def checkpointed(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession, label).save(df, label)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size the planner expects, without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def will_broadcast(df: DataFrame) -> bool:
+    """Is the side small enough for Spark to broadcast it by its own threshold?"""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+    number = re.match(r"^\s*(-?\d+)\s*([kmg]?)b?\s*$", text.lower())
+    limit = int(number[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[number[2]] if number else 10 << 20
+    return 0 <= estimated_bytes(df) <= limit
+
+
+def is_derived(df: DataFrame) -> bool:
+    """Does reading ``df`` again repeat a shuffle?"""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Deduplicate "))
+
+
 def row_id(*cols: str):
     """Deterministic spread of rows that share a key (stable when a task is re-run)."""
     return F.xxhash64(*[F.col(c) for c in cols])
@@ -69,12 +102,16 @@ def hot_keys(
     keys: Sequence[str],
     min_rows: int = HOT_MIN_ROWS,
     share: float = HOT_SHARE,
+    min_bytes: int = HOT_MIN_BYTES,
 ) -> DataFrame | None:
     """Key values holding at least ``share`` of the rows (and ``min_rows`` of them).
 
     At most ``1/share`` keys can qualify, so the result has a fixed size bound. The count is
-    a partial aggregation: a hot key never reaches one task row by row.
+    a partial aggregation: a hot key never reaches one task row by row. Inputs the planner
+    measures below ``min_bytes`` are not searched.
     """
+    if estimated_bytes(df) < min_bytes:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     big = counts.filter(F.col("_rows") >= min_rows)
     rows = big.orderBy(F.desc("_rows")).limit(int(1 / share)).collect()
@@ -85,7 +122,7 @@ def hot_keys(
     if not rows:
         return None
     schema = counts.select(*keys).schema
-    return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], schema)
+    return small_table(df.sparkSession, [tuple(r[k] for k in keys) for r in rows], schema)
 
 
 def skew_join(
@@ -97,16 +134,22 @@ def skew_join(
     share: float = HOT_SHARE,
     buckets: int = HOT_BUCKETS,
     hot: DataFrame | None | bool = True,
+    min_bytes: int = HOT_MIN_BYTES,
 ) -> DataFrame:
     """Equi-join (inner / left / left_semi / left_anti) that spreads the hot keys of ``big``.
 
     Rows of a hot key get a salt derived from the row itself; the matching rows of ``other``
     are repeated once per salt. Cold keys are joined as usual. Pass ``hot`` to reuse a
-    previous detection.
+    previous detection. A large ``big`` that is the result of shuffles is written first, so
+    that looking for its hot keys does not compute it twice.
     """
     on = list(on)
+    if hot is True and min_bytes > 0 and will_broadcast(other):
+        return big.join(other, on, how)  # no shuffle, no skew
     if hot is True:
-        hot = hot_keys(big, on, min_rows, share)
+        if estimated_bytes(big) >= min_bytes and is_derived(big):
+            big = checkpointed(big, "skew")
+        hot = hot_keys(big, on, min_rows, share, min_bytes)
     if hot is None or hot is False:
         return big.join(other, on, how)
     marked = hot.withColumn("_hot", F.lit(True))

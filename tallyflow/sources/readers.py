@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators.cube import role_of, with_roles
 from tallyflow.operators.filters import filter_dims, filter_periods, resolve_column
-from tallyflow.runtime import union_all
+from tallyflow.runtime import small_table, union_all
 
 
 # -- declared cubes ---------------------------------------------------------------------
@@ -45,7 +45,7 @@ def bind_schema(df: DataFrame, roles: Mapping[str, str]) -> tuple[DataFrame, Dat
     issues += [
         ("warning", "column not declared", c, "dropped") for c in df.columns if c.lower() not in declared
     ]
-    issues_df = df.sparkSession.createDataFrame(issues, "level string, rule string, key string, message string")
+    issues_df = small_table(df.sparkSession, issues, "level string, rule string, key string, message string")
     bound = df.select(*chosen)
     return with_roles(bound, {n: r for n, r in roles.items() if n in bound.columns}), issues_df
 

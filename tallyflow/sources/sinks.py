@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.runtime import small_table
+
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -33,7 +35,7 @@ def to_json(df: DataFrame, path: str, orient: str = "records") -> None:
         df.select(json_record(df).alias("value")).write.mode("overwrite").text(path)
         return
     df.select(json_split_row(df).alias("value")).write.mode("overwrite").text(f"{path}/data")
-    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, name string")
+    names = small_table(df.sparkSession, [(i, c) for i, c in enumerate(df.columns)], "position int, name string")
     names.write.mode("overwrite").json(f"{path}/columns")
 
 
