@@ -37,12 +37,20 @@ def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bo
 
 
 def filter_periods(df: DataFrame, start, end=None, period: str = "period") -> DataFrame:
-    """Years start..end, both included; ``end`` defaults to ``start``."""
+    """Years start..end, both included; ``end`` defaults to ``start``.
+
+    ``period`` may hold years (number or text) or dates; on a date column the range is written
+    so that the scan can prune with it.
+    """
     if start is None:
         return df
     lo, hi = int(start), int(end if end is not None else start)
     name = resolve_column(df, period)
-    if dict(df.dtypes)[name] == "string":
+    kind = dict(df.dtypes)[name]
+    if kind.startswith(("date", "timestamp")):
+        day = lambda y: F.lit(f"{y:04d}-01-01").cast(kind)
+        return df.filter((F.col(name) >= day(lo)) & (F.col(name) < day(hi + 1)))
+    if kind == "string":
         return df.filter(F.col(name).try_cast("int").between(lo, hi))
     return df.filter(F.col(name).between(lo, hi))
 

@@ -24,6 +24,7 @@ def lines(t: Tables):
         "l_returnflag",
         "l_linestatus",
         year_of("l_shipdate").alias("period"),
+        F.col("l_shipdate").alias("date"),
         "l_quantity",
         F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("discount"),
     )
@@ -58,6 +59,7 @@ def cube_filter_agg(spark, sf):
         group_by=["l_returnflag", "l_linestatus"],
         measures=["l_quantity", "discount"],
         aggs=ALL_AGGS,
+        period="date",
     )
     for suffix, digits in (("sum", 3), ("sumna", 3), ("avg", 6), ("avgna", 6), ("pctna", 6)):
         out = rounded(out, digits, f"l_quantity_{suffix}", f"discount_{suffix}")
@@ -78,6 +80,7 @@ def cube_zipped_aggs(spark, sf):
         measures=["l_quantity", "discount"],
         aggs=["sum", "avgna"],
         names=["quantity", "mean_discount"],
+        period="date",
     )
     return rounded(rounded(out, 3, "quantity"), 6, "mean_discount")
 
@@ -201,6 +204,7 @@ def order_cube(t: Tables):
             F.col("n_name").alias("nation"),
             F.col("o_orderpriority").alias("priority"),
             year_of("o_orderdate").alias("period"),
+            F.col("o_orderdate").alias("date"),
             F.col("o_totalprice").alias("value"),
         )
     )
@@ -250,6 +254,7 @@ def cube_map_two_dims(spark, sf):
         ["sum", "countav"],
         mapping=mapping,
         pairs=[("nation", "bloc"), ("priority", "speed")],
+        period="date",
     )
     return rounded(out, 3)
 
@@ -279,7 +284,7 @@ def cube_filter_mapped(spark, sf):
 )
 def cube_rows(spark, sf):
     out = C.query_cube(
-        order_cube(Tables(spark, sf)),
+        order_cube(Tables(spark, sf)).drop("date"),
         {"nation": ["Nation_1", "NATION_7"], "speed": ["fast"]},
         measures=["value"],
         mapping=priority_map(spark),
