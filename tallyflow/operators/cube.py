@@ -273,28 +273,29 @@ def fill_down(
     (much shorter) block table, so that no task holds a whole sheet.
     """
     group = list(group)
+    blk = f"_{order}_block"
     clean = {c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)) for c in cols}
-    rows = df.withColumns(clean).withColumn("_blk", F.floor(F.col(order) / block))
-    inside = W.partitionBy(*group, "_blk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumns(clean).withColumn(blk, F.floor(F.col(order) / block))
+    inside = W.partitionBy(*group, blk).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in cols})
-    tails = rows.groupBy(*group, "_blk").agg(
+    tails = rows.groupBy(*group, blk).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols]
     )
-    span = tails.agg((F.max("_blk") - F.min("_blk")).alias("s")).first()["s"]
+    span = tails.agg((F.max(blk) - F.min(blk)).alias("s")).first()["s"]
     if span is None or span == 0:
-        return rows.drop("_blk").select(*df.columns)
+        return rows.drop(blk).select(*df.columns)
     if span >= block:
-        tails = fill_down(tails, cols, "_blk", group, block)
+        tails = fill_down(tails, cols, blk, group, block)
     else:
-        upto = W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, 0)
+        upto = W.partitionBy(*group).orderBy(blk).rowsBetween(W.unboundedPreceding, 0)
         tails = tails.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in cols})
     # blocks can be absent, so the carried value is looked up over the blocks that exist
-    following = W.partitionBy(*group).orderBy("_blk")
+    following = W.partitionBy(*group).orderBy(blk)
     carried = tails.select(
-        *group, F.lead("_blk").over(following).alias("_blk"), *[F.col(c).alias("_c_" + c) for c in cols]
-    ).filter("_blk is not null")
+        *group, F.lead(blk).over(following).alias(blk), *[F.col(c).alias("_c_" + c) for c in cols]
+    ).filter(F.col(blk).isNotNull())
     return (
-        rows.join(carried, group + ["_blk"], "left")
+        rows.join(carried, group + [blk], "left")
         .withColumns({c: F.coalesce(F.col(c), F.col("_c_" + c)) for c in cols})
         .select(*df.columns)
     )

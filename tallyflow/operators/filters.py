@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import wildcard_regex
+from tallyflow.runtime import skew_join
 
 
 def resolve_column(df: DataFrame, name: str) -> str | None:
@@ -138,8 +139,7 @@ def resolve_names(processors: DataFrame, paths: DataFrame, names: DataFrame) ->
     )
     # a multi-parent node has several paths but is one match
     hits = (
-        names.select("name", F.lower("name").alias("_key"))
-        .join(tails, "_key")
+        skew_join(tails, names.select("name", F.lower("name").alias("_key")), ["_key"])
         .join(processors.select(F.col("processor").alias("node")), "node", "left_semi")
         .groupBy("name", "node")
         .agg(F.min("path").alias("path"))

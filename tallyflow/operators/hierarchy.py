@@ -74,7 +74,7 @@ def infer_hierarchy(codes: DataFrame, code: str = "code") -> DataFrame:
         ),
     )
     found = (
-        prefixes.join(stripped, "_prefix")
+        skew_join(prefixes, stripped, ["_prefix"])
         .filter(F.col("_p") < F.col("code"))
         .groupBy("code")
         .agg(F.max("_p").alias("parent_code"))

@@ -325,7 +325,7 @@ def match_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
         F.explode(
             F.transform(F.sequence(F.lit(0), F.length("_tail")), lambda i: F.substring("_tail", F.lit(1), i))
         ).alias("_tail"),
-    ).distinct()
+    )
     loose = skew_join(prefixes, free, ["_tail"]).filter("name rlike _re").select("pattern", "name")
     return union_all([by_head, exact, loose]).distinct()
 

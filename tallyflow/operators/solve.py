@@ -460,10 +460,11 @@ def scope_split(values: DataFrame, network: Network, nodes: DataFrame) -> DataFr
 
     def advance(label: str, edges: DataFrame, hot) -> bool:
         on = edge_keys(edges) + ["child"]
+        # one row per node on both sides: put together before the edges are read
         total = totals.select(*KEYS, F.col("node").alias("child"), F.col("value").alias("total"))
         parts = union_all(done).select(*KEYS, F.col("node").alias("child"), "internal", "external")
-        rows = skew_join(edges, total, on, hot=hot if hot is not None else False)
-        rows = rows.join(parts, KEYS + ["child"], "left")
+        state = total.join(parts, KEYS + ["child"], "left")
+        rows = skew_join(edges, state, on, hot=hot if hot is not None else False)
         settled = ~F.col("same") | F.col("internal").isNotNull() | F.col("external").isNotNull()
         inner = F.when(F.col("same"), F.col("internal"))
         outer = F.when(F.col("same"), F.col("external")).otherwise(F.col("total"))
@@ -532,7 +533,7 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
             continue
         inputs = computation_edges(edges).filter("weight is not null")
         rows = skew_join(inputs, made.filter(F.col("source") == source), edge_keys(inputs) + ["node", "direct"])
-        rows = rows.join(origin, KEYS + ["input"])
+        rows = skew_join(rows, origin, KEYS + ["input"])
         whole = rows.filter(~F.col("split")).select(*KEYS, "input", "node", "source", "weight", "_v")
         one = (
             rows.filter("split and _at < _seq")
@@ -547,7 +548,7 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
         w = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
         inputs = edges.select(F.col("parent").alias("node"), F.col("child").alias("input"), w.alias("weight"))
         rows = skew_join(inputs, made.filter(F.col("source") == source), ["node"])
-        rows = rows.join(origin, KEYS + ["input"]).filter("_at < _seq")
+        rows = skew_join(rows, origin, KEYS + ["input"]).filter("_at < _seq")
         frames.append(rows.select(*KEYS, "input", "node", "source", "weight", "_v"))
     return union_all(frames).select(
         *KEYS,

@@ -10,4 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tallyflow.session import local_session
 
-    return local_session(4, "tallyflow-tests")
+    session = local_session(4, "tallyflow-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session

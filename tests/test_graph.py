@@ -15,8 +15,15 @@ def values(spark, **known):
     return spark.createDataFrame([(k, float(v)) for k, v in known.items()], "node string, value double")
 
 
-def solve(spark, comp, **known):
-    return {r["node"]: r["value"] for r in G.compute_values(comp, values(spark, **known)).collect()}
+def solve(spark, comp, *cases):
+    """All cases in one run: the case is a key like a scenario."""
+    known = spark.createDataFrame(
+        [(i, k, float(v)) for i, c in enumerate(cases) for k, v in c.items()], "case int, node string, value double"
+    )
+    out = [{} for _ in cases]
+    for r in G.compute_values(comp, known, ["case"]).collect():
+        out[r["case"]][r["node"]] = r["value"]
+    return out
 
 
 def test_flow_weight_inference(spark):
@@ -44,17 +51,19 @@ def test_scale_edge_blocks_inference(spark):
 
 def test_chain(spark):
     comp = G.computation_edges(edges(spark, ("A", "B", 2.0, 0.5), ("B", "C", 0.7, 0.1)))
-    assert solve(spark, comp, B=5)["A"] == 2.5
-    assert solve(spark, comp, C=10)["A"] == 0.5
+    one, two = solve(spark, comp, {"B": 5}, {"C": 10})
+    assert one["A"] == 2.5
+    assert two["A"] == 0.5
 
 
 def test_simple(spark):
     comp = G.computation_edges(
         edges(spark, ("A", "B", 2.0, 0.5), ("B", "C", 0.7, 1.4285714), ("C", "D", 0.1, None), ("E", "D", 0.1, None))
     )
-    assert solve(spark, comp, A=5, E=8)["D"] == pytest.approx(1.5)
-    assert solve(spark, comp, B=10, E=8)["D"] == pytest.approx(1.5)
-    assert solve(spark, comp, C=4, E=8)["D"] == pytest.approx(1.2)
+    a, b, c = solve(spark, comp, {"A": 5, "E": 8}, {"B": 10, "E": 8}, {"C": 4, "E": 8})
+    assert a["D"] == pytest.approx(1.5)
+    assert b["D"] == pytest.approx(1.5)
+    assert c["D"] == pytest.approx(1.2)
 
 
 def test_star_split(spark):
@@ -63,12 +72,13 @@ def test_star_split(spark):
     )
     done, _ = G.complete_weights(e)
     comp = G.computation_edges(done)
-    assert solve(spark, comp, B=5)["A"] == pytest.approx(100)
-    assert solve(spark, comp, C=10)["A"] == pytest.approx(14.285714)
-    got = solve(spark, comp, A=5)
-    assert (got["B"], got["C"]) == (pytest.approx(0.25), pytest.approx(3.5))
-    got = solve(spark, comp, B=10)
-    assert (got["A"], got["C"]) == (pytest.approx(200), pytest.approx(140))
+    b, c, d, e5, a, b10 = solve(spark, comp, {"B": 5}, {"C": 10}, {"D": 8}, {"E": 12}, {"A": 5}, {"B": 10})
+    assert b["A"] == pytest.approx(100)
+    assert c["A"] == pytest.approx(14.285714)
+    assert d["A"] == pytest.approx(80)
+    assert e5["A"] == pytest.approx(80)
+    assert (a["B"], a["C"]) == (pytest.approx(0.25), pytest.approx(3.5))
+    assert (b10["A"], b10["C"]) == (pytest.approx(200), pytest.approx(140))
 
 
 def test_star_without_weights(spark):
@@ -76,7 +86,7 @@ def test_star_without_weights(spark):
     done, gaps = G.complete_weights(e)
     assert {r["reverse_weight"] for r in done.collect()} == {1.0}
     assert gaps.count() == 1
-    assert solve(spark, G.computation_edges(done), B=5, C=10, D=8, E=12)["A"] == 35
+    assert solve(spark, G.computation_edges(done), {"B": 5, "C": 10, "D": 8, "E": 12})[0]["A"] == 35
 
 
 def test_reverse(spark):
@@ -87,8 +97,9 @@ def test_reverse(spark):
     )
     done, _ = G.complete_weights(e)
     comp = G.computation_edges(done)
-    assert solve(spark, comp, B=5)["A"] == 2.5
-    assert "A" not in solve(spark, comp, C=10)
+    one, two = solve(spark, comp, {"B": 5}, {"C": 10})
+    assert one["A"] == 2.5
+    assert "A" not in two
     b, c = values(spark, B=1), values(spark, C=1)
     pairs = {tuple(r) for r in G.known_conflicts(comp, b, c).collect()}
     assert pairs == {("B", "C"), ("C", "B")}

@@ -40,29 +40,23 @@ def test_chain_of_sources(spark):
     assert c == {("b1", "B"): 1.0, ("b2", "B"): 6.0, ("B", "C"): 3.5, ("C", "D"): 35.0, ("D", "E"): 35.0}
 
 
-@pytest.mark.parametrize("policy,value", [("TakeUpper", 10.0), ("TakeLowerAggregation", 3.0)])
-def test_observation_against_aggregation(spark, policy, value):
-    net = S.Network(part_of=spark.createDataFrame([("P", "a", 1.0), ("P", "b", 1.0), ("Q", "P", 1.0)], TREE))
-    obs = spark.createDataFrame([("s", "1", "a", 1.0), ("s", "1", "b", 2.0), ("s", "1", "P", 10.0)], OBS)
-    sol = S.solve(net, obs, default=S.Policy(aggregation=policy))
-    assert table(sol, "Taken")["s", "P"][0] == value
-    assert table(sol, "Dismissed")["s", "P"][0] == 13.0 - value
-    assert table(sol, "No")["s", "Q"][0] == value
-    assert ("s", "P") not in table(sol, "No")
-
-
-def test_two_computed_sources(spark):
-    # N is reached by Flow (from X) and by aggregation (from c): aggregation has priority
+def test_conflict_policies_per_scenario(spark):
+    """N is reached by Flow (from X) and by aggregation (from c); P is observed and aggregated."""
     net = S.Network(
         flow=spark.createDataFrame([("X", "N", 2.0, None)], FLOW),
-        part_of=spark.createDataFrame([("N", "c", 1.0)], TREE),
+        part_of=spark.createDataFrame([("N", "c", 1.0), ("P", "a", 1.0), ("P", "b", 1.0), ("Q", "P", 1.0)], TREE),
     )
-    obs = spark.createDataFrame([("s", "1", "X", 5.0), ("s", "1", "c", 7.0)], OBS)
-    sol = S.solve(net, obs)
-    assert table(sol, "Taken")["s", "N"] == (7.0, "PartOfAggregation")
-    assert table(sol, "Dismissed")["s", "N"] == (10.0, "Flow")
-    flow_first = S.Policy(sources=("Flow", "Scale", "PartOfAggregation", "InterfaceTypeAggregation", "ScaleChange"))
-    assert table(S.solve(net, obs, default=flow_first), "Taken")["s", "N"] == (10.0, "Flow")
+    known = [("X", 5.0), ("c", 7.0), ("a", 1.0), ("b", 2.0), ("P", 10.0)]
+    obs = spark.createDataFrame([(s, "1", n, v) for s in ("upper", "lower") for n, v in known], OBS)
+    flow_first = ("Flow", "Scale", "PartOfAggregation", "InterfaceTypeAggregation", "ScaleChange")
+    sol = S.solve(net, obs, {"lower": S.Policy(aggregation="TakeLowerAggregation", sources=flow_first)})
+    taken, lost, free = (table(sol, c) for c in ("Taken", "Dismissed", "No"))
+    assert taken["upper", "P"] == (10.0, None) and lost["upper", "P"] == (3.0, "PartOfAggregation")
+    assert taken["lower", "P"] == (3.0, "PartOfAggregation") and lost["lower", "P"] == (10.0, None)
+    assert free["upper", "Q"][0] == 10.0 and free["lower", "Q"][0] == 3.0
+    assert ("upper", "P") not in free
+    assert taken["upper", "N"] == (7.0, "PartOfAggregation") and lost["upper", "N"] == (10.0, "Flow")
+    assert taken["lower", "N"] == (10.0, "Flow") and lost["lower", "N"] == (7.0, "PartOfAggregation")
 
 
 def test_reverse_flow_meets_observation(spark):
