@@ -130,8 +130,8 @@ def query_cube(
 
 
 # -- densify ----------------------------------------------------------------------------
-def code_grid(spark, lists: Sequence[DataFrame], blocks: int = 64) -> DataFrame:
-    """All combinations of one-column code tables.
+def code_grid(lists: Sequence[DataFrame], blocks: int = 64) -> DataFrame:
+    """All combinations of the rows of several tables, the longest first.
 
     The result is the full grid by definition. It is built as equi-joins on a block number,
     so that both sides stay distributed: left codes are spread over blocks, right codes are
@@ -162,7 +162,7 @@ def densify(df: DataFrame, dims: Sequence[str], codes: Mapping[str, Sequence] |
         else:
             lists.append(df.select(d).filter(F.col(d).isNotNull()).distinct())
     rest = [c for c in df.columns if c not in dims]
-    return code_grid(spark, lists).join(kept, list(dims), "left").select(*dims, *rest)
+    return code_grid(lists).join(kept, list(dims), "left").select(*dims, *rest)
 
 
 # -- pivots -----------------------------------------------------------------------------

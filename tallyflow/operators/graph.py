@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.operators.cube import code_grid
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import (
     HOT_MIN_BYTES,
@@ -282,10 +283,7 @@ def unresolved(edges: DataFrame, results: DataFrame, grid: DataFrame, graph: str
     """
     keys = grid.columns
     nodes = edges.select(F.explode(F.array(*[c for c in ("src", "dst", "parent", "child") if c in edges.columns])).alias("node")).distinct()
-    combos = [tuple(r) for r in grid.distinct().collect()]  # scenario x period definitions
-    expected = nodes.withColumn(
-        "_g", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, c)]) for c in combos]))
-    ).select("node", "_g.*")
+    expected = code_grid([nodes, grid.distinct()])
     return (
         expected.join(results.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
         .select(*keys, "node", *issue("warning", f"unresolved in {graph}", F.col("node"), F.concat_ws("/", *keys)))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.operators.cube import code_grid
 from tallyflow.runtime import Scratch, union_all
 
 PAGE = 100  # distinct formulas evaluated by one projection; further ones go to further pages
@@ -125,12 +126,9 @@ def generic_periods(obs: DataFrame, generic: Sequence[str] = ("year", "month"))
     """Observations of a generic period are copied to every specific period of the table."""
     low = F.lower(F.trim("period"))
     specific = obs.filter(~low.isin(*generic))
-    periods = sorted(r["period"] for r in specific.select("period").distinct().collect())  # a time axis
-    if not periods:
-        return specific
-    copies = obs.filter(low.isin(*generic)).withColumn(
-        "period", F.explode(F.array(*[F.lit(p) for p in periods]))
-    )
+    periods = specific.select("period").distinct()
+    rows = obs.filter(low.isin(*generic)).drop("period")
+    copies = code_grid([rows, periods])
     return specific.unionByName(copies.select(*specific.columns))
 
 
@@ -155,13 +153,15 @@ def sibling_evaluator(params: DataFrame, interfaces: DataFrame) -> Callable[[Dat
     maps = parameter_maps(params)
 
     def run(pending: DataFrame, values: DataFrame) -> DataFrame:
+        texts = [r["expr"] for r in pending.select("expr").distinct().toLocalIterator()]  # formula texts
+        used = sorted(set().union(*[names_in(x) for x in texts])) if texts else [""]
         wanted = pending.select("scenario", "period", F.col("processor").alias("_proc")).distinct()
         known = (
             values.select("scenario", "period", "node", "value")
-            .join(sides, "node")
+            .join(sides.filter(F.col("_i").isin(used)), "node")
             .join(wanted, ["scenario", "period", "_proc"], "left_semi")
             .groupBy("scenario", "period", F.col("_proc").alias("processor"))
-            # interfaces of one processor
+            # at most one entry per name that occurs in a formula, however large the processor
             .agg(F.map_from_entries(F.collect_list(F.struct("_i", "value"))).alias("_near"))
         )
         empty = F.create_map().cast("map<string,double>")

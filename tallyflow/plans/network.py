@@ -449,11 +449,11 @@ def solve(spark, sf):
 
 @query(
     "sibling_observations",
-    """WITH s AS (SELECT * FROM (VALUES ('base', 0.2), ('high', 0.25)) AS v(scenario, tax)),
+    """WITH s AS (SELECT * FROM (VALUES ('base', 0.2), ('high', 0.3)) AS v(scenario, tax)),
     m AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS period, o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
-    SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Money' AS node, round(v, 2) AS value FROM m CROSS JOIN s
-    UNION ALL SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Tax', round(v * tax, 2) FROM m CROSS JOIN s
-    UNION ALL SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Rest', round(v - v * tax, 2) FROM m CROSS JOIN s""",
+    SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Money' AS node, round(v, 3) AS value FROM m CROSS JOIN s
+    UNION ALL SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Tax', round(v * tax, 3) FROM m CROSS JOIN s
+    UNION ALL SELECT scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Rest', round(v - v * tax, 3) FROM m CROSS JOIN s""",
 )
 def sibling_observations(spark, sf):
     """Observations given by formulas over other interfaces of the same processor."""
@@ -468,11 +468,11 @@ def sibling_observations(spark, sf):
     ).alias("_c")
     obs = spent.select("period", "processor", cells).select("period", "processor", "_c.*", NONE("string").alias("observer"))
     obs = obs.withColumn("node", F.concat_ws(":", "processor", "interface"))
-    params = inline(spark, [("base", "tax_rate", 0.2), ("high", "tax_rate", 0.25)], "scenario string, name string, value double")
+    params = inline(spark, [("base", "tax_rate", 0.2), ("high", "tax_rate", 0.3)], "scenario string, name string, value double")
     faces = obs.select("node", "processor", "interface").distinct()
     done, pending = P.eval_observations(obs, params, ["base", "high"])
     out = S.solve(S.Network(), done, sibling=P.sibling_evaluator(params, faces), pending=pending)
-    return rounded(out.values.select("scenario", "period", "node", "value"), 2)
+    return rounded(out.values.select("scenario", "period", "node", "value"), 3)
 
 
 @query(
