@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import multiply_text, wildcard_regex
-from tallyflow.operators.hierarchy import closure
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
 
@@ -800,8 +799,3 @@ def classify_data_kind(kind: Column) -> Column:
 def structure_rows(rows: DataFrame) -> DataFrame:
     """``rows(origin, destinations array<struct<destination, relation_type, weight>>)`` to one row each."""
     return rows.select("origin", F.explode("destinations").alias("_d")).select("origin", "_d.*")
-
-
-def ancestors_of(part_of: DataFrame) -> DataFrame:
-    """Closure of the part-of relation, for structural selectors."""
-    return closure(part_of)

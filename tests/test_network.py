@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import wildcard_regex
 from tallyflow.operators import export as E
+from tallyflow.operators import filters as Q
 from tallyflow.operators import network as N
 from tallyflow.operators import scenarios as P
 from tallyflow.operators import solve as S
@@ -202,3 +203,38 @@ def test_sankey_and_graphs(spark):
     assert sorted(r["node"] for r in nodes.collect()) == [0, 1, 2]
     names = {r["node"]: r["label"] for r in nodes.collect()}
     assert {(names[r["source"]], names[r["target"]], r["value"]) for r in links.collect()} == {("a:x", "b:x", 2.0), ("b:x", "c:x", 1.0)}
+
+
+def test_export_tables(spark):
+    text = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = E.export_tables(
+        {
+            "parameters": text([("k", "Number", "2")], "name string, type string, value string"),
+            "hierarchies": text([("h", "b", "a"), ("h", "a", None)], "hierarchy string, code string, parent_code string"),
+            "interface_types": text([("Blue", "Water"), ("Water", None)], "type string, parent_type string"),
+            "processors": text([("c", True), ("p", True)], "processor string, accounted boolean"),
+            "part_of": text([("p", "c", 0.5)], "parent string, child string, weight double"),
+            "interfaces": interfaces(spark, ("c", "W", "Blue", "Input")),
+            "observations": text([("c:W", "2020", None, 3.0, None)], "node string, period string, observer string, value double, relative_to string"),
+            "flows": text([("c:W", "p:W", 1.0)], "src string, dst string, weight double"),
+        }
+    )
+    assert rows(tables["hierarchies"], "code", "depth") == [("a", 0), ("b", 1)]
+    assert rows(tables["interface_types"], "type", "depth") == [("Blue", 1), ("Water", 0)]
+    assert rows(tables["processors"].filter("parent is not null"), "processor", "parent", "parent_weight", "accounted", "depth") == [("c", "p", "0.5", "Yes", 1)]
+    assert rows(tables["interfaces"], "processor", "interface", "period", "value") == [("c", "W", "2020", "3.0")]
+    assert rows(tables["flows"], "source_processor", "target_interface", "relation_type", "weight") == [("c", "W", "Flow", "1.0")]
+    assert tables["parameters"].columns == ["name", "type", "domain", "value", "group", "description"]
+
+
+def test_match_names_and_selection(spark):
+    procs = spark.createDataFrame([("A.x.B",), ("A.B",), ("C.B",)], "processor string")
+    assert rows(Q.match_names(procs, "A..B"), "processor") == [("A.B",), ("A.x.B",)]
+    assert rows(Q.match_names(procs, "..B"), "processor") == [("A.B",), ("A.x.B",), ("C.B",)]
+
+
+def test_weights_per_scenario(spark):
+    tree = spark.createDataFrame([("s", "P", "a", 2.0), ("t", "P", "a", 5.0)], "scenario string, parent string, child string, weight double")
+    obs = spark.createDataFrame([("s", "1", "a", 1.0), ("t", "1", "a", 1.0)], "scenario string, period string, node string, value double")
+    one, two = S.scenario_part_of(S.Network(part_of=tree), obs, ["s", "t"])
+    assert {(r["scenario"], r["value"]) for x in (one, two) for r in x.values.filter("node = 'P'").collect()} == {("s", 2.0), ("t", 5.0)}
