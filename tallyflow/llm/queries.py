@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.llm.shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -83,3 +91,18 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(table(spark, folder, "pages"), at)
     records = warc.read_records(warc.build_index(spark, at), at)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.toxicity import score_documents
+
+    scored = score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), width=3, threshold=85)

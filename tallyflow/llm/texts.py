@@ -59,10 +59,11 @@ def map_rows(
     columns: list[str],
     make: Callable[[], Callable[..., Iterator[tuple]]],
     schema: str,
-    text: str = "text",
+    text: str | None = "text",
 ) -> DataFrame:
     """Tuples made from each row of ``columns``; ``make`` runs once a task and returns
-    ``row(*values) -> iterable of tuples`` (and may carry a ``rest()`` for what is left at the end)."""
+    ``row(*values) -> iterable of tuples`` (and may carry a ``rest()`` for what is left at the end).
+    ``text`` names the column that bounds the size of a batch."""
     st, arrow = arrow_schema(schema)
     names = list(columns)
 
@@ -73,7 +74,7 @@ def map_rows(
             cols = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        for part in slices(batches, text):
+        for part in slices(batches, text) if text else batches:
             rows: list[tuple] = []
             for values in zip(*(part.column(n).to_pylist() for n in names), strict=True):
                 rows.extend(row(*values))
