@@ -106,3 +106,13 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tallyflow.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), width=3, threshold=85)
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.quality import judge
+
+    judged = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
