@@ -116,3 +116,21 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm import merkle
+
+    rows = merkle.with_edit(merkle.with_next(table(spark, folder, "documents")))
+    for text, name in (("text", "own"), ("edited", "after"), ("next_text", "next")):
+        rows = merkle.with_tree(rows, text, name)
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        merkle.fingerprint("own").alias("fingerprint"),
+        merkle.fingerprint("after").alias("edited_fingerprint"),
+        merkle.likeness("own", "after").alias("near_edited"),
+        merkle.likeness("own", "next").alias("near_next"),
+    )
