@@ -282,3 +282,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
         "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"),
         F.coalesce(F.coalesce("component", "first") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns, without the documents of a component that do not have its smallest id."""
+    gone = near_duplicates(docs, width, threshold).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession, "dropped").save(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

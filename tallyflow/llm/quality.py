@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.texts import arrow_schema, map_rows, words_of
+from tallyflow.llm.texts import arrow_schema, map_rows, slices, words_of
 from tallyflow.llm.toxicity import held_out
 from tallyflow.runtime import Scratch
 
@@ -32,6 +32,7 @@ MOST_REPEATED = 20  # per cent of the words
 TREES, SAMPLE = 64, 256
 MAX_LOSS = 0.002
 STEPS = 1000  # scores are calibrated in thousandths
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 RATES = ("symbols_a_word", "symbols_a_letter", "symbols_a_line", "repeated", "word_length")
 USUAL_LENGTH = 5.5  # code points a word; short texts are drawn to it
 
@@ -67,15 +68,19 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def rates() -> list:
-    """Rates of the counts, damped so that a short text is not odd by its shortness alone."""
-    values = (
-        F.col("n_symbols") / (F.col("n_words") + 20),
-        F.col("n_symbols") / (F.col("word_chars") + 100),
-        F.col("n_symbols") / (F.col("n_lines") + 3),
-        F.col("n_repeat_words") / (F.col("n_words") + 50),
-        (F.col("word_chars") + 50 * USUAL_LENGTH) / (F.col("n_words") + 50),
+def rate_values(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) -> tuple:
+    """Rates of the counts (columns or numbers), damped so that a short text is not odd by its shortness alone."""
+    return (
+        n_symbols / (n_words + 20),
+        n_symbols / (word_chars + 100),
+        n_symbols / (n_lines + 3),
+        n_repeat_words / (n_words + 50),
+        (word_chars + 50 * USUAL_LENGTH) / (n_words + 50),
     )
+
+
+def rates() -> list:
+    values = rate_values(*map(F.col, COUNTS))
     return [v.alias(name) for v, name in zip(values, RATES, strict=True)]
 
 
@@ -127,13 +132,19 @@ class IsolationForest:
         return 2.0 ** -(total / len(self.trees) / self.norm)
 
 
-def anomaly_scores(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """``stats`` with ``anomaly``, in whole thousandths."""
+def grow_forest(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> IsolationForest | None:
+    """Forest on ``trees * sample`` rows of the whole table, chosen by hash; None for an empty table."""
     spread = F.xxhash64("doc_id", "n_words", "word_chars")
     chosen = stats.orderBy(spread, "doc_id").limit(trees * sample).select(*rates()).collect()
-    if not chosen:
-        return stats.withColumn("anomaly", F.lit(0))
-    forest = IsolationForest(np.array(chosen, float), trees, sample)
+    return IsolationForest(np.array(chosen, float), trees, sample) if chosen else None
+
+
+def thousandths(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores * STEPS).astype(np.int32)
+
+
+def anomaly_scores(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
+    """``stats`` with ``anomaly``, in whole thousandths."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)
     kept = stats.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
@@ -142,7 +153,7 @@ def anomaly_scores(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -
     def run(batches):
         for batch in batches:
             rows = np.stack([batch.column(r).to_numpy() for r in RATES], axis=1)
-            score = np.round(shared.value.scores(rows) * STEPS).astype(np.int32)
+            score = thousandths(shared.value.scores(rows))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], schema=schema)
 
     return stats.select("*", *rates()).mapInArrow(run, st)
@@ -162,12 +173,33 @@ def calibrated_threshold(scored: DataFrame, labels: DataFrame, max_loss: float =
     return threshold
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_failed, anomaly, kept) of every row."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, IsolationForest | None, int]:
+    """(counts and anomaly of every row, forest, threshold)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats = Scratch(docs.sparkSession, "rules").save(rule_statistics(docs))
-    scored = anomaly_scores(stats)
-    threshold = calibrated_threshold(scored, labels)
+    forest = grow_forest(stats)
+    scored = anomaly_scores(stats, forest)
+    return scored, forest, calibrated_threshold(scored, labels)
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, counts, anomaly, base_failed, kept) of every row."""
+    scored, _, threshold = fit(docs, labels)
     return scored.select(
         "*", base_failed().alias("base_failed"), (~base_failed() & (F.col("anomaly") <= threshold)).alias("kept")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that pass; judged where they are, nothing is shuffled."""
+    _, forest, threshold = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            counts = np.array([rule_counts(t) for t in part.column("text").to_pylist()], float).reshape(-1, len(COUNTS)).T
+            score = thousandths(shared.value.scores(np.stack(rate_values(*counts), axis=1)))
+            failed = (counts[0] < LEAST_WORDS) | (100 * counts[5] > MOST_REPEATED * counts[0])
+            yield part.filter(pa.array(~failed & (score <= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

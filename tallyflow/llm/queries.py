@@ -134,3 +134,57 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         merkle.likeness("own", "after").alias("near_edited"),
         merkle.likeness("own", "next").alias("near_next"),
     )
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.licenses import label_list, scan_documents
+
+    places = F.transform("exact", lambda x: x["first_word"])
+    return scan_documents(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("exact").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        label_list("exact").alias("base_labels"),
+        label_list("exact", "fuzzy").alias("labels"),
+        "score",
+    )
+
+
+def _masked(spans: str):
+    return F.aggregate(spans, F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long")
+
+
+_RENDERED = "list_aggregate(list_transform({0}, lambda m: concat('<|', m.role, '|>', chr(10), m.text, '<|end|>', chr(10))), 'string_agg', '')"
+_LEARNED = "coalesce(list_sum(list_transform(list_filter({0}, lambda m: m.role = 'assistant'), lambda m: length(m.text) + 7)), 0)::BIGINT"
+
+
+@query(
+    "op6_preferences",
+    f"""
+    WITH c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                                    ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS m
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    l AS (SELECT conv_id, m, nullif(len(list_filter(range(1, len(m) + 1), lambda i: list_contains(list_transform(m[i:], lambda x: x.role), 'assistant'))), 0) AS last FROM c),
+    p AS (SELECT a.conv_id, CASE WHEN a.last IS NULL THEN a.m ELSE a.m[:a.last] END AS chosen,
+                 CASE WHEN a.last IS NULL THEN a.m WHEN b.last IS NULL THEN a.m[:a.last - 1]
+                      ELSE list_concat(a.m[:a.last - 1], [b.m[b.last]]) END AS rejected
+          FROM l a LEFT JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+    n AS (SELECT *, len(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[:i] = rejected[:i]))::INTEGER AS k FROM p),
+    s AS (SELECT conv_id, k, chosen[:k] AS prompt, chosen[k + 1:] AS yes, rejected[k + 1:] AS no FROM n)
+    SELECT conv_id, k AS n_prompt_turns, sha256(coalesce({_RENDERED.format("prompt")}, '')) AS prompt_sha256,
+           sha256(coalesce({_RENDERED.format("yes")}, '')) AS chosen_sha256, {_LEARNED.format("yes")} AS chosen_masked,
+           sha256(coalesce({_RENDERED.format("no")}, '')) AS rejected_sha256, {_LEARNED.format("no")} AS rejected_masked
+    FROM s""",
+)
+def op6_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.chat import format_preferences, sibling_pairs
+
+    rows = format_preferences(sibling_pairs(table(spark, folder, "conversations")))
+    digest = {f"{c}_sha256": F.sha2(F.encode(t, "UTF-8"), 256) for c, t in (("prompt", "prompt"), ("chosen", "chosen_text"), ("rejected", "rejected_text"))}
+    return rows.withColumns(digest).select(
+        "conv_id", "n_prompt_turns", "prompt_sha256", "chosen_sha256", _masked("chosen_mask").alias("chosen_masked"),
+        "rejected_sha256", _masked("rejected_mask").alias("rejected_masked"),
+    )

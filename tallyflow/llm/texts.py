@@ -85,3 +85,14 @@ def map_rows(
             yield packed(rest[at : at + 10_000])
 
     return df.select(*names).mapInArrow(run, st)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text: str = "text") -> DataFrame:
+    """Rows, with all their columns, of whose text ``make()(text)`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for part in slices(batches, text):
+            yield part.filter(pa.array(map(keep, part.column(text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.texts import map_rows
+from tallyflow.llm.texts import keep_rows, map_rows
 from tallyflow.runtime import Scratch
 
 MAX_EXAMPLES = 16_384
@@ -34,6 +34,7 @@ LEAST_CHI2 = 24.0  # of some 30 000 unrelated terms about none goes so far
 NEIGHBOURS = 16
 BLOCK = 64
 PRIOR_MASS = 0.25
+THRESHOLD = 0.5
 CACHED_WORDS = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
@@ -108,33 +109,36 @@ def choose_terms(examples: DataFrame) -> list[str]:
     return [t for _, t in sorted(scored)[:MAX_TERMS]]
 
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts): numbers of the vocabulary terms in the text and how often each occurs."""
-    number = {t: k for k, t in enumerate(terms)}
+class TermCounter:
+    """Numbers of the vocabulary terms in a text and how often each occurs."""
 
-    def make():
-        known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, terms: list[str]):
+        self.number = {t: k for k, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-        def row(doc_id, text):
-            counts: dict[int, int] = {}
-            chunks = (text or "").split()
-            found = list(map(known.get, chunks))
-            for k, got in enumerate(found):
-                if got is None:
-                    chunk = chunks[k]
-                    got = known.get(chunk)
-                    if got is None:
-                        got = tuple(sorted(number[t] for t in word_terms(chunk) if t in number))
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        known[chunk] = got
-                if got:
-                    for t in got:
-                        counts[t] = counts.get(t, 0) + 1
-            keys = sorted(counts)
-            return ((doc_id, keys, [counts[k] for k in keys]),)
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+        counts: dict[int, int] = {}
+        known, number = self.known, self.number
+        chunks = (text or "").split()
+        for chunk, got in zip(chunks, map(known.get, chunks), strict=True):
+            if got is None:
+                got = tuple(sorted(number[t] for t in word_terms(chunk) if t in number))
+                if len(known) >= CACHED_WORDS:
+                    known.clear()
+                known[chunk] = got
+            if got:
+                for t in got:
+                    counts[t] = counts.get(t, 0) + 1
+        keys = sorted(counts)
+        return keys, [counts[k] for k in keys]
 
-        return row
+
+def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, terms, counts) of each row."""
+
+    def make():
+        counter = TermCounter(terms)
+        return lambda doc_id, text: ((doc_id, *counter(text)),)
 
     return map_rows(docs, ["doc_id", "text"], make, "doc_id long, terms array<int>, counts array<int>")
 
@@ -245,38 +249,60 @@ class Model:
         return min(1.0, max(0.0, rate)), evidence
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """(model, term vectors of all rows of ``docs`` as a written table)."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = F.broadcast(scratch.save(training_labels(labels)))  # at most MAX_EXAMPLES narrow rows
     examples = scratch.save(docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]))
     terms = choose_terms(examples)
     vectors = scratch.save(term_vectors(docs, terms))
-    rows = vectors.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = vectors.count()
     frequency = {r["t"]: r["count"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     known = vectors.join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
-    model = Model(terms, rows, frequency, sorted((r["doc_id"], r["terms"], r["counts"], r["label"]) for r in known))
-    shared = spark.sparkContext.broadcast(model)
+    return Model(terms, rows, frequency, sorted((r["doc_id"], r["terms"], r["counts"], r["label"]) for r in known)), vectors
 
-    def make():
-        model, seen = shared.value, {}
 
-        def row(doc_id, terms, counts):
-            key = (*terms, -1, *counts)
-            if key not in seen:
-                if len(seen) > 20_000:
-                    seen.clear()
-                seen[key] = model.score(terms, counts)
-            return ((doc_id, *seen[key]),)
+class Scorer:
+    """Scores of term vectors; equal vectors are looked up once in a while."""
 
-        return row
+    def __init__(self, model: Model, most: int = 20_000):
+        self.model, self.most, self.seen = model, most, {}
+
+    def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
+        key = (*terms, -1, *counts)
+        if key not in self.seen:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            self.seen[key] = self.model.score(terms, counts)
+        return self.seen[key]
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``."""
+    model, vectors = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(shared.value)
+        return lambda doc_id, terms, counts: ((doc_id, *scorer(terms, counts)),)
 
     scored = map_rows(
         vectors, ["doc_id", "terms", "counts"], make,
         "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>", text=None,
     )
     return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence"
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is below the threshold; judged where they are, nothing is shuffled."""
+    model, _ = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        counter, scorer = TermCounter(shared.value.terms), Scorer(shared.value)
+        return lambda text: scorer(*counter(text))[0] < THRESHOLD
+
+    return keep_rows(docs, make)
