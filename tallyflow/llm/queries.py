@@ -101,7 +101,22 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
 
 
-@query("op10_near_duplicates")
+@query(
+    "op10_near_duplicates",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]))) END AS s FROM w),
+    e AS (SELECT doc_id, unnest(s) AS h FROM g),
+    n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM g),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n_shingles + y.n_shingles - k)),
+    sym AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT r.id, sym.b FROM r JOIN sym ON sym.a = r.reached)
+    SELECT doc_id, n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM n JOIN r ON r.id = n.doc_id GROUP BY doc_id, n_shingles""",
+)
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tallyflow.llm.neardup import near_duplicates
 
