@@ -144,45 +144,43 @@ def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Exact k nearest unit vectors by cosine."""
+    """Exact k nearest unit vectors by cosine.
+
+    Examples that share their heaviest term stand together, in blocks. A block holds the postings of the terms that occur in it
+    (a row of weights for each), and the index each block's largest weight of each term: their product with a query bounds
+    the similarity of everything in the block."""
 
     def __init__(self, ids: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_terms: int, block: int = BLOCK):
         order = sorted(range(len(ids)), key=lambda k: (vectors[k][0][int(np.argmax(vectors[k][1]))], ids[k]))
         self.ids, self.labels = np.array([ids[k] for k in order], np.int64), np.array([labels[k] for k in order], np.int8)
-        self.block, self.blocks = block, -(-len(ids) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, k in enumerate(order):
-            for t, w in zip(*vectors[k], strict=True):
-                postings[t].append((place, float(w)))
-        self.places = [np.array([p for p, _ in rows], np.int64) for rows in postings]
-        self.weights = [np.array([w for _, w in rows]) for rows in postings]
-        self.starts, self.maxima, self.where = [], [], []
-        for places, weights in zip(self.places, self.weights, strict=True):
-            at = places // block
-            where, starts = np.unique(at, return_index=True)
-            self.where.append(where)
-            self.starts.append(np.append(starts, len(places)))
-            self.maxima.append(np.maximum.reduceat(weights, starts) if len(places) else weights)
+        self.block, self.n_terms = block, n_terms
+        self.maxima = np.zeros((-(-len(ids) // block), n_terms))
+        self.terms, self.postings = [], []
+        for b in range(len(self.maxima)):
+            members = [vectors[k] for k in order[b * block : (b + 1) * block]]
+            terms = np.unique(np.concatenate([t for t, _ in members]))
+            rows = np.zeros((len(terms), len(members)))
+            for place, (t, w) in enumerate(members):
+                rows[np.searchsorted(terms, t), place] = w
+            self.terms.append(terms)
+            self.postings.append(rows)
+            self.maxima[b, terms] = rows.max(axis=1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, similarities) of the k nearest, ties by place; ``without`` is the id of an example left out."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms, weights, strict=True):
-            bound[self.where[t]] += w * self.maxima[t]
+        query = np.zeros(self.n_terms)
+        query[terms] = weights
+        bound = self.maxima[:, terms] @ weights
         places, found, least = np.empty(0, np.int64), np.empty(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(places) >= k and bound[b] < least - 1e-12:
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                i = np.searchsorted(self.where[t], b)
-                if i < len(self.where[t]) and self.where[t][i] == b:
-                    part = slice(self.starts[t][i], self.starts[t][i + 1])
-                    score[self.places[t][part] - b * self.block] += w * self.weights[t][part]
+            score = query[self.terms[b]] @ self.postings[b]
             hit = np.flatnonzero(score > 0)
             at = hit + b * self.block
             if without is not None:
-                hit, at = hit[self.ids[at] != without], at[self.ids[at] != without]
+                other = self.ids[at] != without
+                hit, at = hit[other], at[other]
             places, found = np.concatenate([places, at]), np.concatenate([found, score[hit]])
             if len(places) > k:
                 best = np.lexsort((places, -found))[:k]
