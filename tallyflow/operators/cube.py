@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from tallyflow.functions.aggregates import CUBE_AGGREGATES, PIVOT_AGGREGATES
 from tallyflow.operators.filters import filter_dims, filter_mapped, filter_periods, resolve_column
 from tallyflow.operators.mapping import apply_mappings
-from tallyflow.runtime import small_table, union_all
+from tallyflow.runtime import ROWS_PER_TASK, small_table, union_all
 
 PIVOT_CELL_LIMIT = 40_000  # fixed value: guard on the size of a pivot shown to a user
 
@@ -130,17 +130,20 @@ def query_cube(
 
 
 # -- densify ----------------------------------------------------------------------------
-def code_grid(lists: Sequence[DataFrame], blocks: int = 64) -> DataFrame:
+def code_grid(lists: Sequence[DataFrame]) -> DataFrame:
     """All combinations of the rows of several tables, the longest first.
 
     The result is the full grid by definition. It is built as equi-joins on a block number,
     so that both sides stay distributed: left codes are spread over blocks, right codes are
-    repeated once per block.
+    repeated once per block. There are as many blocks as keep the cells of one at ``ROWS_PER_TASK``.
     """
     grid = lists[0]
     for right in lists[1:]:
-        left = grid.withColumn("_b", F.pmod(F.xxhash64(*grid.columns), F.lit(blocks)).cast("int"))
-        right = right.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows, width = grid.count(), right.count()
+        blocks = max(1, min(rows, -(-rows * width // ROWS_PER_TASK)))
+        plain = [c for c, t in grid.dtypes if "map<" not in t]
+        left = grid.withColumn("_b", F.pmod(F.xxhash64(*(plain or [F.lit(0)])), F.lit(blocks)).cast("long"))
+        right = right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         grid = left.join(right, "_b").drop("_b")
     return grid
 

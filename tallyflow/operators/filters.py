@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.functions.scalar import wildcard_regex
 from tallyflow.runtime import skew_join
@@ -20,6 +22,20 @@ def _codes(codes) -> list[str]:
     return [str(c) for c in (codes if isinstance(codes, (list, tuple, set, frozenset)) else [codes])]
 
 
+def is_value(code: str, kind: T.DataType) -> bool:
+    """Is the text a value of the column type, written as a cast of the column to text would write it?"""
+    try:
+        if isinstance(kind, T.IntegralType):
+            return str(int(code)) == code and -(1 << 63) <= int(code) < 1 << 63
+        if isinstance(kind, (T.FractionalType,)):
+            return float(code) is not None
+        if isinstance(kind, T.DateType):
+            return date.fromisoformat(code).isoformat() == code
+    except ValueError:
+        return False
+    return False
+
+
 def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bool = False) -> DataFrame:
     """AND over dimensions, IN over codes; an empty list does not restrict."""
     for dim, codes in where.items():
@@ -31,9 +47,12 @@ def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bo
             df = df.filter(F.col(name).cast("string").isin(codes))
         elif any(c.lower() != c.upper() for c in codes):
             df = df.filter(F.lower(F.col(name).cast("string")).isin(sorted({c.lower() for c in codes})))
-        else:
+        elif (kind := df.schema[name].dataType).simpleString() == "string":
             # codes without letters: the plain comparison can be pushed to the scan
             df = df.filter(F.col(name).isin(codes))
+        else:
+            # codes of the column's own type can be pushed; a code that is no such value selects nothing
+            df = df.filter(F.col(name).isin([c for c in codes if is_value(c, kind)]))
     return df
 
 

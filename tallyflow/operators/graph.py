@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 from tallyflow.operators.cube import code_grid
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import (
-    HOT_MIN_BYTES,
     Scratch,
     checkpointed,
-    estimated_bytes,
     hot_keys,
-    is_derived,
     skew_join,
     union_all,
 )
@@ -83,8 +80,7 @@ def complete_weights(
         edges = edges.join(linked, ["src", "dst"], "left").withColumn(
             "_structural", F.coalesce("_structural", F.lit(False))
         )
-    if estimated_bytes(edges) >= HOT_MIN_BYTES and is_derived(edges):
-        edges = checkpointed(edges, "weights")  # read by the sums and by the join
+    edges = checkpointed(edges, "weights")  # read by the sums and by the join
     direct = _complete(edges, "src", "weight", "reverse_weight").withColumnRenamed("_split", "src_split")
     both = _complete(direct, "dst", "reverse_weight", "weight").withColumnRenamed("_split", "dst_split")
     done = both.select(*keys, "src", "dst", "weight", "reverse_weight", "src_split", "dst_split")
@@ -166,7 +162,7 @@ def propagate(
 
 
 def compute_values(
-    inputs: DataFrame, known: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000
+    inputs: DataFrame, known: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Repeat the step until nothing new is known. Given values are never replaced.
 
@@ -178,15 +174,14 @@ def compute_values(
     scratch = Scratch(inputs.sparkSession, "propagate")
     inputs = scratch.save(inputs, "inputs")
     on = [k for k in edge_keys(inputs) if k in keys]
-    hot = hot_keys(inputs, on + ["input"])
-    if hot is not None:
-        hot = hot.withColumnRenamed("input", "_input")
+    hub = hot_keys(inputs, on + ["input"])
+    hot = hub.withColumnRenamed("input", "_input") if hub is not None else None
     given = known.filter("value is not null").select(*keys, "node", F.col("value").cast("double").alias("value"))
     done = [scratch.save(given.withColumn("computed", F.lit(False)), "given")]
     frontier = done[0]
-    for _ in range(max_rounds):
+    while True:
         touched = frontier.select(*on, F.col("node").alias("input")).distinct()
-        targets = inputs.join(touched, on + ["input"], "left_semi").select(*on, "node").distinct()
+        targets = skew_join(inputs, touched, on + ["input"], "left_semi", hot=hub if hub is not None else False).select(*on, "node").distinct()
         new = (
             propagate(inputs.join(targets, on + ["node"], "left_semi"), union_all(done), keys, hot)
             .join(union_all(done).select(*keys, "node"), keys + ["node"], "left_anti")
@@ -196,7 +191,6 @@ def compute_values(
         if frontier.isEmpty():
             return union_all(done)
         done.append(frontier)
-    raise ValueError("propagation did not end in max_rounds")
 
 
 def cascade(definitions: DataFrame, values: DataFrame) -> DataFrame:

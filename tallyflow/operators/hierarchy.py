@@ -7,6 +7,7 @@ a distributed join whose result is written before the next one starts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
 # -- building ---------------------------------------------------------------------------
 def build_hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows(hierarchy, code, parent_code, ...)`` to edges plus the parents that do not exist."""
-    codes = rows.select("hierarchy", F.lower("code").alias("_k")).distinct()
+    codes = rows.groupBy("hierarchy", F.lower("code").alias("_k")).agg(F.min("code").alias("parent"))
     with_parent = rows.filter(F.trim(F.coalesce("parent_code", F.lit(""))) != "").withColumn(
         "_k", F.lower("parent_code")
     )
@@ -30,9 +31,10 @@ def build_hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(*issue("error", "parent code not found", F.col("parent_code"), F.col("hierarchy")))
     )
     weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
-    edges = with_parent.join(codes, ["hierarchy", "_k"], "left_semi").select(
+    # case does not matter for the match; the edge carries the spelling under which the parent is declared
+    edges = with_parent.join(codes, ["hierarchy", "_k"]).select(
         "hierarchy",
-        F.col("parent_code").alias("parent"),
+        "parent",
         F.col("code").alias("child"),
         F.coalesce(weight, F.lit(1.0)).alias("weight"),
     )
@@ -61,15 +63,16 @@ def infer_hierarchy(codes: DataFrame, code: str = "code") -> DataFrame:
     """Parent of each code by prefix, trailing zeros of the parent ignored.
 
     A parent sorts before the code and its stripped text starts the code; the last such code in
-    sort order wins. Codes are expanded to their prefixes so that the match is an equi-join.
+    sort order wins. A code of zeros alone is stripped to nothing and starts every code: it is the total.
+    Codes are expanded to their prefixes, the empty one included, so that the match is an equi-join.
     """
     all_codes = codes.select(F.col(code).alias("code")).distinct()
     stripped = all_codes.select(
         F.col("code").alias("_p"), F.regexp_replace("code", "0+$", "").alias("_prefix")
-    ).filter(F.length("_prefix") > 0)
+    )
     prefixes = all_codes.select(
         "code",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda i: F.substring("code", F.lit(1), i))).alias(
+        F.explode(F.transform(F.sequence(F.lit(0), F.length("code")), lambda i: F.substring("code", F.lit(1), i))).alias(
             "_prefix"
         ),
     )
@@ -96,7 +99,7 @@ def roots_or_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def paths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, path, depth): full dotted names; a node with several parents has several paths."""
     scratch = Scratch(edges.sparkSession, "paths")
     edges = edges.select("parent", "child").distinct()
@@ -107,7 +110,7 @@ def paths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10
     levels = [frontier]
     step = edges.withColumnRenamed("parent", "node")
     hot = hot_keys(step, ["node"])
-    for _ in range(max_rounds):
+    while True:  # a path does not pass a node twice, so that cycles end
         open_ended = frontier.filter(
             ~F.array_contains(F.slice(F.split("path", r"\."), 1, F.col("depth")), F.col("node"))
         )
@@ -123,7 +126,6 @@ def paths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10
         if frontier.isEmpty():
             return union_all(levels)
         levels.append(frontier)
-    raise ValueError("hierarchy deeper than max_rounds")
 
 
 def with_depth(df: DataFrame, node: str, edges: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def with_depth(df: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     )
 
 
-def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance): every pair once, with the shortest distance."""
     scratch = Scratch(edges.sparkSession, "closure")
     step = edges.select(F.col("parent"), F.col("child")).distinct()
@@ -145,7 +147,7 @@ def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         "pairs",
     )
     frames = [known]
-    for i in range(2, max_rounds):
+    for i in count(2):
         nxt = (
             skew_join(
                 step,
@@ -162,7 +164,6 @@ def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if frontier.isEmpty():
             return union_all(frames)
         frames.append(frontier)
-    raise ValueError("closure deeper than max_rounds")
 
 
 def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -324,18 +325,16 @@ def link_hops(links: DataFrame, part_of: DataFrame) -> DataFrame:
     )
     # the common ancestor itself is a stop only when it is one of the two ends
     single = (F.col("_ns") == 0) | (F.col("_nd") == 0)
-    limit = lambda n: F.coalesce(F.when(single, F.col(n)).otherwise(F.col(n) - 1), F.lit(1 << 30))
-    src_stops = up.join(nearest, "link", "left").filter(F.col("_ds") <= limit("_ns")).select(
-        "link", "ancestor", F.col("_ds").alias("_pos")
-    )
-    keep_down = F.when(F.coalesce(single, F.lit(False)), F.col("_dd") < F.col("_nd")).otherwise(
-        F.col("_dd") <= limit("_nd")
+    within = lambda d, n: F.coalesce(F.col(d) <= F.when(single, F.col(n)).otherwise(F.col(n) - 1), F.lit(True))
+    src_stops = up.join(nearest, "link", "left").filter(within("_ds", "_ns")).select(
+        "link", "ancestor", F.lit(0).alias("_side"), F.col("_ds").alias("_pos")
     )
+    keep_down = F.when(F.coalesce(single, F.lit(False)), F.col("_dd") < F.col("_nd")).otherwise(within("_dd", "_nd"))
     dst_stops = down.join(nearest, "link", "left").filter(keep_down).select(
-        "link", "ancestor", (F.lit(1 << 30) - F.col("_dd")).alias("_pos")
+        "link", "ancestor", F.lit(1).alias("_side"), (-F.col("_dd")).alias("_pos")
     )
     # a link has at most twice the depth of the tree in stops
-    order = W.partitionBy("link").orderBy("_pos")
+    order = W.partitionBy("link").orderBy("_side", "_pos")
     stops = src_stops.unionByName(dst_stops)
     return (
         stops.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import multiply_text, wildcard_regex
 from tallyflow.operators.issues import issue
-from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
+from tallyflow.runtime import ROWS_PER_TASK, Scratch, hot_keys, skew_join, union_all
 
 NODE = lambda p="processor", i="interface": F.concat_ws(":", F.col(p), F.col(i))
 
@@ -88,7 +88,7 @@ def build_interface_types(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     types = one.select("hierarchy", "_k", "_r.*", "_n")
     repeated = types.filter("_n > 1").select(*issue("warning", "repeated interface type", F.col("type"), F.col("hierarchy")))
-    known = types.select("hierarchy", F.col("_k").alias("_p"))
+    known = types.select("hierarchy", F.col("_k").alias("_p"), F.col("type").alias("_parent"))
     orphans = (
         types.filter("parent_type is not null")
         .withColumn("_p", F.lower("parent_type"))
@@ -96,9 +96,11 @@ def build_interface_types(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(*issue("error", "parent type not found", F.col("parent_type"), F.col("hierarchy")))
     )
     valid = types.withColumn("_p", F.lower("parent_type")).join(
-        known.withColumn("_ok", F.lit(True)), ["hierarchy", "_p"], "left"
+        known, ["hierarchy", "_p"], "left"
     )
-    valid = valid.filter("parent_type is null or _ok").select("hierarchy", "type", *rest)
+    # the parent is named as it is declared, whatever its case in the row of the child
+    valid = valid.filter("parent_type is null or _parent is not null").withColumn("parent_type", F.col("_parent"))
+    valid = valid.select("hierarchy", "type", *rest)
     return valid, repeated.unionByName(orphans)
 
 
@@ -121,17 +123,17 @@ def build_processors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     processors = first.select("_r.*", "_k").withColumn(
         "accounted", ~F.coalesce(F.lower("accounted").isin("no", "archetype"), F.lit(False))
     )
-    names = processors.select("_k")
+    names = processors.select(F.col("_k").alias("_pk"), F.col("processor").alias("_parent"))
+    own = processors.select("_k", F.col("processor").alias("child"))
     with_parent = r.filter("parent is not null")
-    known_parent = with_parent.join(names.withColumnRenamed("_k", "_pk"), "_pk", "left_semi")
-    bad_parent = with_parent.join(names.withColumnRenamed("_k", "_pk"), "_pk", "left_anti")
+    known_parent = with_parent.join(names, "_pk")
+    bad_parent = with_parent.join(names, "_pk", "left_anti")
     links = known_parent.filter(simple).groupBy("_pk", "_k").agg(
-        F.min("parent").alias("parent"),
-        F.min("processor").alias("child"),
+        F.min("_parent").alias("parent"),
         F.min("parent_weight").alias("weight"),
         F.min("behave_as").alias("behave_as"),
         F.count(F.lit(1)).alias("_n"),
-    )
+    ).join(own, "_k")
     issues = union_all(
         [
             first.filter("_bare > 1").select(*issue("warning", "repeated declaration", F.col("_r.processor"), F.lit("skipped"))),
@@ -301,8 +303,8 @@ def match_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(pattern, name) for wildcard patterns such as ``A..B``.
 
     A pattern that starts with a literal part is matched by an equi-join on the first part of
-    the name; only patterns that start with ``..`` are compared with every name, and those are
-    rows of a definition sheet whose size Spark measures before it broadcasts them.
+    the name; the literal that follows a leading ``..`` is matched by an equi-join on the starts of the later
+    parts of the names, cut at the lengths that occur in the patterns.
     """
     p = patterns.select("pattern").distinct().withColumn("_re", wildcard_regex(F.col("pattern")))
     n = names.select("name").distinct()
@@ -315,38 +317,43 @@ def match_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     free = p.filter(F.col("pattern").startswith(".."))
     # what follows the wildcard is literal: it must be one of the later parts of the name
     tails = n.select(
-        "name", F.explode(F.array_distinct(F.slice(F.split("name", r"\."), 2, 1 << 20))).alias("_tail")
+        "name", F.explode(F.array_distinct(F.slice(F.split("name", r"\."), F.lit(2), F.size(F.split("name", r"\."))))).alias("_tail")
     ).unionByName(n.select("name", F.lit("").alias("_tail")))
     free = free.withColumn("_tail", F.regexp_extract("pattern", r"^\.\.([^.]*)", 1))
-    # a name part matches when it starts with the literal: expand the parts to their prefixes
-    prefixes = tails.select(
-        "name",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.length("_tail")), lambda i: F.substring("_tail", F.lit(1), i))
-        ).alias("_tail"),
+    # a name part matches when it starts with the literal: the parts are cut at the lengths of the literals
+    lengths = sorted(r["n"] for r in free.select(F.length("_tail").alias("n")).distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: (n > 0) & (n <= F.length("_tail")))
+    starts = tails.filter("_tail <> ''").select(
+        "name", F.explode(F.transform(cuts, lambda n: F.substring("_tail", F.lit(1), n))).alias("_tail")
     )
+    prefixes = starts.unionByName(tails.filter("_tail = ''")).distinct()
     loose = skew_join(prefixes, free, ["_tail"]).filter("name rlike _re").select("pattern", "name")
     return union_all([by_head, exact, loose]).distinct()
 
 
-def expand_relations(relations: DataFrame, processors: DataFrame, buckets: int = 64) -> DataFrame:
+def expand_relations(relations: DataFrame, processors: DataFrame) -> DataFrame:
     """Relations with wildcards at both ends to all matching (source, target) pairs.
 
     ``relations(relation, source, target, ...)``. All pairs are what such a relation means; the
-    pairs of one relation are spread over ``buckets`` tasks.
+    sources of one relation are spread over as many pieces as keep the pairs of a piece at ``ROWS_PER_TASK``.
     """
     names = processors.select(F.col("processor").alias("name"))
     patterns = relations.select(F.explode(F.array("source", "target")).alias("pattern")).distinct()
     found = match_patterns(patterns, names)
     rest = [c for c in relations.columns if c not in ("source", "target")]
+    sizes = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = relations.join(sizes.select(F.col("pattern").alias("source"), F.col("_n").alias("_ns")), "source").join(
+        sizes.select(F.col("pattern").alias("target"), F.col("_n").alias("_nt")), "target"
+    )
+    pieces = pieces.select("relation", F.ceil(F.col("_ns") * F.col("_nt") / ROWS_PER_TASK).cast("long").alias("_pieces"))
+    cut = relations.join(pieces, "relation")
     left = (
-        relations.join(found.select(F.col("pattern").alias("source"), F.col("name").alias("_s")), "source")
-        .select(*rest, F.col("_s").alias("source"))
-        .withColumn("_b", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
+        cut.join(found.select(F.col("pattern").alias("source"), F.col("name").alias("_s")), "source")
+        .select(*rest, F.col("_s").alias("source"), F.pmod(F.xxhash64("_s"), "_pieces").alias("_b"))
     )
-    right = relations.join(
+    right = cut.join(
         found.select(F.col("pattern").alias("target"), F.col("name").alias("_t")), "target"
-    ).select("relation", F.col("_t").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
+    ).select("relation", F.col("_t").alias("target"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)).alias("_b"))
     return left.join(right, ["relation", "_b"]).select(*rest, "source", "target")
 
 
@@ -681,6 +688,7 @@ def upscale(
     child_attributes: Sequence[str],
     scaled_interface: str,
     model: Mapping[str, DataFrame],
+    negligible: float = NEGLIGIBLE_WEIGHT,
 ) -> dict[str, DataFrame]:
     """Weight matrix over attribute tuples: each weight clones the matching child under the
     matching parent and ties the scaled interface of both.
@@ -688,7 +696,9 @@ def upscale(
     ``cells(<parent attributes>, <child attributes>, weight)``; ``model`` holds processors,
     part_of, interfaces, observations.
     """
-    used = cells.filter(F.abs("weight") > NEGLIGIBLE_WEIGHT)
+    used = cells.filter(F.abs("weight") > negligible)
+    left_out = cells.filter(F.abs("weight") <= negligible).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    left_out = left_out.select(*issue("warning", "negligible weights left out", F.lit(scaled_interface), F.col("_n").cast("string")))
     with_parent, issues_p = match_by_attributes(used, parents, parent_attributes, "invoking")
     matched, issues_c = match_by_attributes(with_parent, children, child_attributes, "requested")
     # one copy per cell: the name tells the copies of a child under one parent apart
@@ -702,7 +712,7 @@ def upscale(
         F.col("requested").alias("new_name"),
     )
     out = apply_scalings(rows, model["processors"], model["part_of"], model["interfaces"], model["observations"])
-    out["issues"] = union_all([out["issues"], issues_p, issues_c])
+    out["issues"] = union_all([out["issues"], issues_p, issues_c, left_out])
     return out
 
 

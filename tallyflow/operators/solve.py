@@ -73,11 +73,12 @@ def pick_observations(
     partial aggregation, so a heavily observed interface stays distributed.
     """
     keys = [k for k in keys if k in obs.columns]
-    rank = F.when(F.col("observer").isNull(), F.lit(1 << 30))
+    last = len(priority) + 1  # observers that are not listed; rows without observer come after them
+    rank = F.when(F.col("observer").isNull(), F.lit(last + 1))
     if priority:
         order = F.array(*[F.lit(p) for p in priority])
         rank = rank.when(F.array_position(order, F.col("observer")) > 0, F.array_position(order, F.col("observer")))
-    ranked = obs.withColumn("_rank", rank.otherwise(F.lit((1 << 30) - 1)).cast("long"))
+    ranked = obs.withColumn("_rank", rank.otherwise(F.lit(last)).cast("long"))
     rest = [c for c in obs.columns if c not in keys]
     best = ranked.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct("_rank", *[c for c in rest if c in ("observer", "value")])).alias("_best"),

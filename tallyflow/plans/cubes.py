@@ -95,6 +95,16 @@ def cube_default_average(spark, sf):
     return rounded(C.query_cube(t.orders, {}, ["O_ORDERSTATUS"], ["o_totalprice"]), 3)
 
 
+@query(
+    "cube_numeric_codes",
+    """SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY l_linenumber""",
+)
+def cube_numeric_codes(spark, sf):
+    """Codes of a numeric dimension; what is no such number selects nothing."""
+    t = Tables(spark, sf).lineitem
+    return C.query_cube(t, {"l_linenumber": ["1", "3", "2-3", "1.5"]}, ["l_linenumber"], ["l_quantity"], ["count"], ["n"])
+
+
 @query(
     "cube_null_keys",
     """SELECT o_orderpriority AS priority, count(*) AS n FROM orders
@@ -417,14 +427,14 @@ def codes_referred(spark, sf):
     """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS period FROM orders),
     s AS (SELECT unnest(['F', 'O', 'X']) AS o_orderstatus), p AS (SELECT DISTINCT o_orderpriority FROM orders),
     d AS (SELECT CAST(year(o_orderdate) AS INT) AS period, o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS value, count(*) AS n
-          FROM orders WHERE o_totalprice > 450000 GROUP BY 1, 2, 3)
+          FROM orders GROUP BY 1, 2, 3)
     SELECT y.period, s.o_orderstatus, p.o_orderpriority, d.value, d.n FROM y CROSS JOIN s CROSS JOIN
       (SELECT DISTINCT o_orderpriority FROM d) p
       LEFT JOIN d ON y.period = d.period AND s.o_orderstatus = d.o_orderstatus AND p.o_orderpriority = d.o_orderpriority
     WHERE y.period IN (SELECT period FROM d)""",
 )
 def cube_densify(spark, sf):
-    o = Tables(spark, sf).orders.filter("o_totalprice > 450000")
+    o = Tables(spark, sf).orders
     data = o.groupBy(year_of("o_orderdate").alias("period"), "o_orderstatus", "o_orderpriority").agg(
         F.round(F.sum("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n")
     )

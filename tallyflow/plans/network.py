@@ -67,7 +67,7 @@ def structure_rows(spark, sf):
 def interface_types(spark, sf):
     p = Tables(spark, sf).part
     rows = p.select(NONE("string").alias("hierarchy"), F.col("p_brand").alias("type"), F.col("p_type").alias("parent_type"))
-    rows = rows.groupBy("hierarchy", "type").agg(F.min("parent_type").alias("parent_type"))
+    rows = rows.groupBy("hierarchy", "type").agg(F.lower(F.min("parent_type")).alias("parent_type"))
     tops = p.filter("p_type <> 'PROMO'").select(NONE("string").alias("hierarchy"), F.col("p_type").alias("type"), NONE("string").alias("parent_type")).distinct()
     return N.build_interface_types(rows.unionByName(tops))[0]
 
@@ -92,6 +92,16 @@ def build_processors(spark, sf):
     return N.build_processors(_processor_rows(Tables(spark, sf)))[0]
 
 
+@query(
+    "processor_part_of",
+    """SELECT 'N' || CAST(c_nationkey AS VARCHAR) AS parent, 'C' || CAST(c_custkey AS VARCHAR) AS child, NULL::VARCHAR AS weight, NULL::VARCHAR AS behave_as
+    FROM customer WHERE c_acctbal >= 0""",
+)
+def processor_part_of(spark, sf):
+    """Parents are typed in lower case and must come out as declared."""
+    return N.build_processors(_processor_rows(Tables(spark, sf)))[1]
+
+
 @query(
     "build_processors_issues",
     """SELECT 'warning' AS level, 'repeated declaration' AS rule, 'N' || CAST(r_regionkey AS VARCHAR) AS key, 'skipped' AS message FROM region
@@ -360,12 +370,12 @@ def type_edges(spark, sf):
 
 @query(
     "flow_hidden_nodes",
-    """WITH f AS (SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS s, 'O' || CAST(l_orderkey AS VARCHAR) AS o FROM lineitem WHERE l_quantity > 45)
+    """WITH f AS (SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS s, 'O' || CAST(l_orderkey AS VARCHAR) AS o FROM lineitem)
     SELECT s || ':Goods' AS src, s || '-' || o || ':Goods:Input/Output' AS dst FROM f""",
 )
 def flow_hidden_nodes(spark, sf):
     """Supplies that change type on their way go through a hidden node."""
-    f = Tables(spark, sf).lineitem.filter("l_quantity > 45").select(tag("S", "l_suppkey").alias("s"), tag("O", "l_orderkey").alias("o")).distinct()
+    f = Tables(spark, sf).lineitem.select(tag("S", "l_suppkey").alias("s"), tag("O", "l_orderkey").alias("o")).distinct()
     face = lambda p, i, o: F.struct(F.concat_ws(":", p, F.lit(i)).alias("node"), F.col(p).alias("processor"), F.lit(i).alias("type"), F.lit(o).alias("orientation"), F.lit(True).alias("accounted"))
     nodes = f.select(F.explode(F.array(face("s", "Goods", "Output"), face("o", "Waste", "Input"))).alias("f")).select("f.*").distinct()
     flows = f.select(F.concat("s", F.lit(":Goods")).alias("src"), F.concat("o", F.lit(":Waste")).alias("dst"), F.lit(0.5).alias("weight"), NONE("string").alias("back"), F.lit(4.0).alias("scale_change_weight"))

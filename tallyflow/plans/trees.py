@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators import graph as G
 from tallyflow.operators import hierarchy as H
 from tallyflow.operators.solve import Policy, resolve_conflicts
-from tallyflow.plans.registry import Tables, query, rounded
+from tallyflow.plans.registry import Tables, inline, query, rounded
 from tallyflow.runtime import union_all
 
 # World tree: region R<k>, nation N<k>, customer C<k>.
@@ -138,12 +138,12 @@ def _geo_rows(t: Tables):
         F.lit("geo").alias("hierarchy"), tag("R", "r_regionkey").alias("code"), F.lit(None).cast("string").alias("parent_code")
     )
     nations = t.nation.select(F.lit("geo").alias("hierarchy"), tag("N", "n_nationkey").alias("code"), F.lower(tag("R", "n_regionkey")).alias("parent_code"))
-    return regions.unionByName(nations.withColumn("parent_code", F.upper("parent_code")))
+    return regions.unionByName(nations)
 
 
 @query(
     "hierarchy_orphans",
-    "SELECT 'error' AS level, 'parent code not found' AS rule, 'R3' AS key, 'geo' AS message FROM region WHERE r_regionkey = 3",
+    "SELECT 'error' AS level, 'parent code not found' AS rule, 'r3' AS key, 'geo' AS message FROM region WHERE r_regionkey = 3",
 )
 def hierarchy_orphans(spark, sf):
     return H.build_hierarchy(_geo_rows(Tables(spark, sf)))[1]
@@ -154,7 +154,7 @@ def hierarchy_orphans(spark, sf):
     """WITH c AS (SELECT DISTINCT regexp_replace(p_brand, '^Brand#', '') AS code FROM part
       UNION SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 6, '0') FROM part)
     SELECT a.code, max(b.code) AS parent_code FROM c a LEFT JOIN c b
-      ON b.code < a.code AND length(rtrim(b.code, '0')) > 0 AND starts_with(a.code, rtrim(b.code, '0'))
+      ON b.code < a.code AND starts_with(a.code, rtrim(b.code, '0'))
     GROUP BY a.code""",
 )
 def code_list_prefix(spark, sf):
@@ -165,6 +165,19 @@ def code_list_prefix(spark, sf):
     return H.infer_hierarchy(codes)
 
 
+@query(
+    "code_list_total",
+    """WITH c AS (SELECT DISTINCT lpad(CAST(p_partkey * 10 AS VARCHAR), 7, '0') AS code FROM part UNION SELECT '0000000')
+    SELECT a.code, max(b.code) AS parent_code FROM c a LEFT JOIN c b ON b.code < a.code AND starts_with(a.code, rtrim(b.code, '0'))
+    GROUP BY a.code""",
+)
+def code_list_total(spark, sf):
+    """A code of zeros alone is the total above all others."""
+    p = Tables(spark, sf).part
+    codes = p.select(F.lpad((F.col("p_partkey") * 10).cast("string"), 7, "0").alias("code"))
+    return H.infer_hierarchy(codes.unionByName(inline(spark, [("0000000",)], "code string")))
+
+
 @query(
     "hierarchy_codes",
     """SELECT 'geo' AS codelist, n_name AS code, 'nation of ' || r_name AS description, 1 AS level, r_name AS parent_code
@@ -264,7 +277,7 @@ def link_flows(spark, sf):
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -1 - o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.09),
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, -1 - o_custkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     cc(node, component) USING KEY (node) AS (
       SELECT a, a FROM both_ways GROUP BY a
@@ -274,7 +287,7 @@ def link_flows(spark, sf):
 )
 def components(spark, sf):
     t = Tables(spark, sf)
-    e = t.lineitem.filter("l_quantity >= 50 and l_discount >= 0.09").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    e = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_suppkey").alias("src"), (-1 - F.col("o_custkey")).alias("dst")
     )
     return H.components(e)

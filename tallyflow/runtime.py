@@ -23,10 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_roots: dict[str, str] = {}
 
-HOT_MIN_BYTES = 32 << 20  # below one input split no key can overload a task
-HOT_MIN_ROWS = 1_000_000
-HOT_SHARE = 0.005
-HOT_BUCKETS = 64
+ROWS_PER_TASK = 2_000_000  # rows of one key that one task should hold at most
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -86,43 +83,17 @@ def will_broadcast(df: DataFrame) -> bool:
     return 0 <= estimated_bytes(df) <= limit
 
 
-def is_derived(df: DataFrame) -> bool:
-    """Does reading ``df`` again repeat a shuffle?"""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Deduplicate "))
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """(keys, _buckets) of the key values with more than ``rows_per_task`` rows, or None.
 
-
-def row_id(*cols: str):
-    """Deterministic spread of rows that share a key (stable when a task is re-run)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
-
-
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
-    min_bytes: int = HOT_MIN_BYTES,
-) -> DataFrame | None:
-    """Key values holding at least ``share`` of the rows (and ``min_rows`` of them).
-
-    At most ``1/share`` keys can qualify, so the result has a fixed size bound. The count is
-    a partial aggregation: a hot key never reaches one task row by row. Inputs the planner
-    measures below ``min_bytes`` are not searched.
+    The budget is absolute: a key is split in as many pieces as its rows need, whatever its share of the table. The
+    count is a partial aggregation, so a hot key never reaches one task row by row, and the result has at most rows of the
+    table / ``rows_per_task`` rows; it is written, not collected.
     """
-    if estimated_bytes(df) < min_bytes:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    if counts.isEmpty():
         return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    big = counts.filter(F.col("_rows") >= min_rows)
-    rows = big.orderBy(F.desc("_rows")).limit(int(1 / share)).collect()
-    if not rows:
-        return None
-    total = df.count()
-    rows = [r for r in rows if r["_rows"] >= share * total]
-    if not rows:
-        return None
-    schema = counts.select(*keys).schema
-    return small_table(df.sparkSession, [tuple(r[k] for k in keys) for r in rows], schema)
+    return checkpointed(counts.select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("long").alias("_buckets")), "hot")
 
 
 def skew_join(
@@ -130,47 +101,30 @@ def skew_join(
     other: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    min_rows: int = HOT_MIN_ROWS,
-    share: float = HOT_SHARE,
-    buckets: int = HOT_BUCKETS,
     hot: DataFrame | None | bool = True,
-    min_bytes: int = HOT_MIN_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join (inner / left / left_semi / left_anti) that spreads the hot keys of ``big``.
 
-    Rows of a hot key get a salt derived from the row itself; the matching rows of ``other``
-    are repeated once per salt. Cold keys are joined as usual. Pass ``hot`` to reuse a
-    previous detection. A large ``big`` that is the result of shuffles is written first, so
-    that looking for its hot keys does not compute it twice.
+    A side that Spark broadcasts by its own measure moves no row of ``big``; otherwise keys over the budget are looked for.
+    Where there are any, the rows get a running number that is written with them, so that rows that are equal in all columns are
+    told apart and a repeated task sees the same number; rows of a hot key are salted by it and the matching rows of
+    ``other`` are repeated once per salt. Cold keys are joined as usual. Pass ``hot`` to reuse a previous search.
     """
     on = list(on)
-    if hot is True and min_bytes > 0 and will_broadcast(other):
-        return big.join(other, on, how)  # no shuffle, no skew
     if hot is True:
-        if estimated_bytes(big) >= min_bytes and is_derived(big):
-            big = checkpointed(big, "skew")
-        hot = hot_keys(big, on, min_rows, share, min_bytes)
+        hot = None if will_broadcast(other) else hot_keys(big, on, rows_per_task)
     if hot is None or hot is False:
         return big.join(other, on, how)
-    marked = hot.withColumn("_hot", F.lit(True))
-    spread = F.pmod(row_id(*big.columns), F.lit(buckets)).cast("int")
-    no_match = F.lit(False)
+    numbered = checkpointed(big.withColumn("_row", F.monotonically_increasing_id()), "salted")
+    unmatched = F.lit(False)
     for k in on:
-        no_match = no_match | F.col(k).isNull()
-    left = big.join(marked, on, "left").withColumn(
-        "_salt", F.when(F.coalesce(F.col("_hot"), no_match), spread).otherwise(F.lit(0))
-    )
-    right = (
-        other.join(marked, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
-    )
-    return left.drop("_hot").join(right, on + ["_salt"], how).drop("_salt")
+        unmatched = unmatched | F.col(k).isNull()
+    salt = F.when(unmatched, F.col("_row")).when(F.col("_buckets").isNotNull(), F.pmod("_row", "_buckets")).otherwise(F.lit(0))
+    left = numbered.join(hot, on, "left").withColumn("_salt", salt).drop("_buckets", "_row")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_buckets") - 1, F.lit(0)))
+    right = other.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_buckets")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

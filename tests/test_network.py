@@ -127,7 +127,7 @@ def test_upscale(spark):
     cells = spark.createDataFrame([("es", "wheat", 0.7), ("es", "rye", 0.1), ("es", "zero", 0.0)], "geo string, crop string, weight double")
     out = N.upscale(cells, parents, children, ["geo"], ["crop"], "LU", {"processors": procs, "part_of": part_of, "interfaces": faces, "observations": obs})
     assert rows(out["scales"], "src", "dst", "weight") == [("I:LU", "I.R:LU", "0.7")]
-    assert rows(out["issues"], "rule", "key") == [("requested not matched once", "rye")]
+    assert rows(out["issues"], "rule", "key") == [("negligible weights left out", "LU"), ("requested not matched once", "rye")]
 
 
 def test_counterparts(spark):

@@ -16,18 +16,46 @@ def test_skew_join_equals_join(spark, how):
     )
     if how in ("left_semi", "left_anti"):
         other = other.select("k")
-    hot = R.hot_keys(big, ["k"], min_rows=100, share=0.1, min_bytes=0)
-    assert [r["k"] for r in hot.collect()] == [7]
-    salted = R.skew_join(big, other, ["k"], how, min_rows=100, share=0.1, buckets=8, min_bytes=0)
+    hot = R.hot_keys(big, ["k"], rows_per_task=100)
+    assert [(r["k"], r["_buckets"]) for r in hot.collect()] == [(7, 11)]
+    salted = R.skew_join(big, other, ["k"], how, hot=hot)
     key = lambda r: tuple((x is None, x) for x in r)
     cols = big.join(other, ["k"], how).columns
     want = sorted((tuple(r) for r in big.join(other, ["k"], how).select(*cols).collect()), key=key)
     assert sorted((tuple(r) for r in salted.select(*cols).collect()), key=key) == want
 
 
-def test_small_inputs_are_not_searched(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_equal_rows_and_small_shares_are_split(spark, wide, monkeypatch):
+    """One key with 60 % of the rows and one with 0.3 %, all rows of a key equal in all columns; maps are no hindrance."""
+    shape = lambda df: df.withColumn("m", F.create_map(F.lit("a"), "k")) if wide else df
+    rows = spark.range(10_000).select(F.when(F.col("id") < 6000, 1).when(F.col("id") < 6030, 2).otherwise(F.col("id")).cast("long").alias("k"))
+    big = shape(rows.withColumn("x", F.lit(0)))
+    other = spark.range(1, 9000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    hot = R.hot_keys(big, ["k"], rows_per_task=10)
+    assert {r["k"]: r["_buckets"] for r in hot.collect()} == {1: 600, 2: 3}
+    seen = []
+    written = R.checkpointed
+    monkeypatch.setattr(R, "checkpointed", lambda df, label: seen.append(written(df, label)) or seen[-1])
+    joined = R.skew_join(big, other, ["k"], hot=hot)
+    pieces = seen[-1].join(hot, "k").groupBy("k", F.pmod("_row", "_buckets").alias("s")).count()
+    sizes = {k: (n, most) for k, n, most in pieces.groupBy("k").agg(F.count(F.lit(1)), F.max("count")).collect()}
+    assert sizes[1][0] == 600 and sizes[1][1] <= 20 and sizes[2][0] == 3
+    plain = big.join(other, ["k"])
+    total = lambda df: df.agg(F.count(F.lit(1)), F.sum("v"), F.sum("x")).first()
+    assert total(joined) == total(plain) and joined.columns == plain.columns
+
+
+def test_tables_below_the_budget_have_no_hot_keys(spark):
     df = R.small_table(spark, [(1,)] * 50, "k long")
-    assert R.hot_keys(df, ["k"], min_rows=1, share=0.1) is None
+    assert R.hot_keys(df, ["k"]) is None
+
+
+def test_grids_take_map_columns(spark):
+    from tallyflow.operators.cube import code_grid
+
+    left = spark.range(3).select(F.create_map(F.lit("a"), "id").alias("m"))
+    assert code_grid([left, spark.range(4).select(F.col("id").alias("n"))]).count() == 12
 
 
 def test_dense_index(spark):
