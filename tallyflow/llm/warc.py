@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.stores import read_ranges, store
 from tallyflow.llm.texts import arrow_schema
+from tallyflow.runtime import Scratch
 
 MIN_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"  # one capture date: equal inputs give equal archives
@@ -43,9 +44,11 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The text of each record without its last CR LF CR LF."""
-    known = revisits(pages, min_bytes).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    # written, so that its size is known: a small table goes to the pages, and only a large one makes them move
+    known = revisits(pages, min_bytes).select(F.col("page_id").alias("_id"), F.xxhash64("digest").alias("_digest"), "refers_to")
+    known = Scratch(pages.sparkSession, "revisits").save(known)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.xxhash64("digest") == F.col("_digest")), "left")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
