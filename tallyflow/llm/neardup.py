@@ -7,9 +7,11 @@
 3. In each order a row meets the rows before it with which it shares a prefix of ``least_depth`` or more, at most
    ``window`` of them: in a thin region that is the whole region at the least depth, in a crowded one
    the neighbours with the longest common prefixes, so that the depth adapts to the region. Pairs whose whole
-   signatures agree too little are left out; a pair whose ends are already joined through pairs of
-   near-certain likeness in that region adds nothing to a component and is left out, too.
-4. Pairs are confirmed on the full sets, and links give components.
+   signatures agree too little are left out, and so are pairs whose ends other candidates of the region already join: a
+   crowded region of ``n`` rows gives less than ``n`` candidates.
+4. Candidates are confirmed on the full sets, and links give components.
+5. Where a candidate was refused, what it stood for is looked at again: rows that candidates join but links do not
+   go through the forest once more, and every pair of different components is a candidate there.
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
@@ -33,8 +35,8 @@ from tallyflow.runtime import Scratch
 TREES, DEPTH = 16, 8
 LEAST_DEPTH = 4
 WINDOW = 64
+SURE = 0.08  # an estimate this far above the threshold is as good as a link
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
-SURE = 0.08  # an estimate this far above the threshold joins two rows of a region
 
 _random = np.random.default_rng(20240501)
 MULTIPLIERS = _random.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,9 +140,14 @@ def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def region_pairs(ids: np.ndarray, signed: np.ndarray, threshold: float, window: int) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one region in sorted order: each row with the ``window`` rows before it."""
-    parent = list(range(len(ids)))
+def region_pairs(ids: np.ndarray, signed: np.ndarray, apart: np.ndarray | None, threshold: float, window: int) -> Iterator[tuple[int, int]]:
+    """Candidate pairs of one region in sorted order: each row with the ``window`` rows before it.
+
+    Without ``apart`` (components of the rows) the pairs are a forest: the likest first, none whose ends are joined
+    already. With it, they are the near pairs of different components, whatever else joins them but near-certain links."""
+    known, number = (np.arange(len(ids)),) * 2 if apart is None else np.unique(apart, return_inverse=True)
+    parent = list(range(len(known)))
+    enough = threshold - MARGIN if apart is None else min(0.97, threshold + SURE)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -154,15 +161,17 @@ def region_pairs(ids: np.ndarray, signed: np.ndarray, threshold: float, window:
         near = np.flatnonzero(likeness >= threshold - MARGIN)
         for k in near[np.argsort(-likeness[near], kind="stable")].tolist():
             j = first + k
-            a, b = root(i), root(j)
+            a, b = root(int(number[i])), root(int(number[j]))
             if a != b:
                 yield int(ids[j]), int(ids[i])
-                if likeness[k] >= min(0.97, threshold + SURE):
+                if likeness[k] >= enough:
                     parent[a] = b
 
 
 def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, window: int = WINDOW) -> DataFrame:
-    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees."""
+    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees; with a column ``apart``, all near pairs
+    that differ in it."""
+    told = "apart" in representatives.columns
     st, schema = arrow_schema("a long, b long")
     rotated = F.explode(
         F.array(*(
@@ -175,14 +184,14 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the region that may go on in the next batch
+        region: list[tuple[np.ndarray, ...]] = []  # rows of the region that may go on in the next batch
         mark = None
         pairs: list[tuple[int, int]] = []
 
         def close() -> None:
             if region and (len(region) > 1 or len(region[0][0]) > 1):
-                ids = np.concatenate([r[0] for r in region])
-                pairs.extend(region_pairs(ids, np.concatenate([r[1] for r in region]), threshold, window))
+                ids, signed, apart = (np.concatenate(part) for part in zip(*region, strict=True))
+                pairs.extend(region_pairs(ids, signed, apart if told else None, threshold, window))
             region.clear()
 
         def packed() -> pa.RecordBatch:
@@ -195,6 +204,7 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
             if not n:
                 continue
             ids, tree = batch.column("doc_id").to_numpy(), batch.column("tree").to_numpy()
+            apart = batch.column("apart").to_numpy() if told else ids
             signed = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, -1)
             key = np.concatenate([tree[:, None].astype(np.uint8), signed[:, :least_depth]], axis=1)
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
@@ -202,14 +212,15 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
                 if mark is None or (key[start] != mark).any():
                     close()
                     mark = key[start].copy()
-                region.append((ids[start:stop].copy(), signed[start:stop].copy()))
+                region.append((ids[start:stop].copy(), signed[start:stop].copy(), apart[start:stop].copy()))
                 if len(pairs) > 50_000:
                     yield packed()
         close()
         if pairs:
             yield packed()
 
-    rows = representatives.select("doc_id", rotated.alias("r")).select("doc_id", "r.tree", "r.label")
+    kept = ["doc_id", "apart"] if told else ["doc_id"]
+    rows = representatives.select(*kept, rotated.alias("r")).select(*kept, "r.tree", "r.label")
     ordered = rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id")
     return ordered.mapInArrow(run, st).distinct()
 
@@ -217,11 +228,12 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough."""
     st, schema = arrow_schema("a long, b long")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # merge joins at every size: what is a broadcast for a small table is none for a large one
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts, width))
-    sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"
+    sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")).hint("merge"), "b"
     )
 
     def run(batches):
@@ -261,6 +273,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
+def second_look(representatives: DataFrame, pairs: DataFrame, refused: DataFrame, linked: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links between rows that candidates join, some of which were refused, and that links have not joined."""
+    scratch = Scratch(docs.sparkSession, "second")
+    joined = components(pairs)
+    hurt = refused.join(joined.withColumnRenamed("id", "a"), "a").select("component").distinct()
+    rows = joined.join(hurt, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    rows = rows.join(linked.select(F.col("id").alias("doc_id"), F.col("component").alias("apart")), "doc_id", "left")
+    rows = rows.withColumn("apart", F.coalesce("apart", "doc_id"))
+    split = rows.groupBy("group").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high")
+    rows = rows.join(split.select("group"), "group", "left_semi")
+    again = representatives.join(rows.select("doc_id", "apart"), "doc_id")
+    near = scratch.save(forest_pairs(again, threshold / 100))
+    near = near.join(pairs, ["a", "b"], "left_anti")  # these were refused before
+    return scratch.save(confirmed(near, docs, width, threshold))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -274,10 +302,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     )
     later = members.filter("doc_id <> first").select("doc_id")
     representatives = full.select("doc_id", "signature").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    representatives = scratch.save(representatives)
     pairs = scratch.save(forest_pairs(representatives, threshold / 100))
-    links = components(confirmed(pairs, docs, width, threshold))
+    links = scratch.save(confirmed(pairs, docs, width, threshold))
+    linked = components(links)
+    refused = pairs.join(links, ["a", "b"], "left_anti")
+    if not refused.isEmpty():
+        links = links.unionByName(second_look(representatives, pairs, refused, linked, docs, width, threshold))
+        linked = components(links)
     found = signed.select("doc_id", "n_shingles").join(members, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
-    found = found.join(links.select(F.col("id").alias("first"), "component"), "first", "left")
+    found = found.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
     return found.select(
         "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"),
         F.coalesce(F.coalesce("component", "first") == F.col("doc_id"), F.lit(True)).alias("kept"),
