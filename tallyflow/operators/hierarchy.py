@@ -130,40 +130,42 @@ def paths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def with_depth(df: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """Add the depth of ``node`` (0 for roots and free nodes): parents sort before children."""
-    depth = paths(edges).groupBy("node").agg(F.max("depth").alias("depth"))
+    # the longest way up, level by level: the number of paths of a node may be far larger than its depth
+    depth = heights(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
     return (
-        df.join(depth.withColumnRenamed("node", node), node, "left")
+        df.join(depth.select(F.col("node").alias(node), F.col("height").alias("depth")), node, "left")
         .withColumn("depth", F.coalesce("depth", F.lit(0)))
     )
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance): every pair once, with the shortest distance."""
+def closure(edges: DataFrame, starts: DataFrame | None = None, up: bool = False) -> DataFrame:
+    """(ancestor, descendant, distance): every pair once, with the shortest distance.
+
+    With ``starts(node)`` only the pairs below these nodes are walked, or with ``up`` those above them.
+    """
     scratch = Scratch(edges.sparkSession, "closure")
-    step = edges.select(F.col("parent"), F.col("child")).distinct()
-    hot = hot_keys(step, ["parent"])
-    known = frontier = scratch.save(
-        step.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance")),
-        "pairs",
-    )
-    frames = [known]
+    here, there = ("child", "parent") if up else ("parent", "child")
+    step = edges.select(F.col(here).alias("_from"), F.col(there).alias("_to")).distinct()
+    hot = hot_keys(step, ["_from"])
+    first = step
+    if starts is not None:
+        first = step.join(starts.select(F.col("node").alias("_from")).distinct(), "_from", "left_semi")
+    frontier = scratch.save(first.select(F.col("_from").alias("start"), F.col("_to").alias("end"), F.lit(1).alias("distance")), "pairs")
+    frames = [frontier]
     for i in count(2):
         nxt = (
-            skew_join(
-                step,
-                frontier.select("ancestor", F.col("descendant").alias("parent")),
-                ["parent"],
-                hot=hot if hot is not None else False,
-            )
-            .select("ancestor", F.col("child").alias("descendant"))
+            skew_join(step, frontier.select("start", F.col("end").alias("_from")), ["_from"], hot=hot if hot is not None else False)
+            .select("start", F.col("_to").alias("end"))
             .distinct()
-            .join(union_all(frames).select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
+            .join(union_all(frames).select("start", "end"), ["start", "end"], "left_anti")
             .withColumn("distance", F.lit(i))
         )
         frontier = scratch.save(nxt, "pairs")
         if frontier.isEmpty():
-            return union_all(frames)
+            break
         frames.append(frontier)
+    ancestor, descendant = ("end", "start") if up else ("start", "end")
+    return union_all(frames).select(F.col(ancestor).alias("ancestor"), F.col(descendant).alias("descendant"), "distance")
 
 
 def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -289,7 +291,7 @@ def scale_subtree(values: DataFrame, edges: DataFrame, factors: DataFrame) -> Da
 
     Factors of nested subtrees multiply.
     """
-    pairs = closure(edges).select(F.col("ancestor").alias("node"), F.col("descendant"))
+    pairs = closure(edges, factors.select("node")).select(F.col("ancestor").alias("node"), F.col("descendant"))
     logs = factors.unionByName(
         pairs.join(factors, "node").select(F.col("descendant").alias("node"), "factor")
     )
@@ -306,11 +308,9 @@ def link_hops(links: DataFrame, part_of: DataFrame) -> DataFrame:
     Two nodes of different branches are joined by a hop between the siblings below the common
     ancestor; on one branch the way goes straight up or down. (link, hop, src, dst).
     """
-    above = closure(part_of).select(F.col("descendant").alias("node"), "ancestor", "distance")
     ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    chain = ends.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).unionByName(
-        above.join(ends, "node", "left_semi")
-    )
+    above = closure(part_of, ends, up=True).select(F.col("descendant").alias("node"), "ancestor", "distance")
+    chain = ends.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).unionByName(above)
     up = links.join(chain.withColumnRenamed("node", "src"), "src").select(
         "link", "ancestor", F.col("distance").alias("_ds")
     )

@@ -17,6 +17,7 @@ from tallyflow.operators.hierarchy import heights, level_sums, with_child_counts
 from tallyflow.operators.issues import issue, source_priority
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
 
+MERGE_AFTER = 8  # tables of a pass that are then written as one
 KEYS = ["scenario", "period"]
 STATE = KEYS + ["node", "value", "computed", "source", "observer", "direct", "seq"]
 AGGREGATIONS = ("InterfaceTypeAggregation", "PartOfAggregation")
@@ -187,6 +188,12 @@ class _Solver:
         over = union_all([t.select(*STATE) for t in top])
         return base.join(over.select(*KEYS, "node"), KEYS + ["node"], "left_anti").unionByName(over)
 
+    def without(self, new: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
+        """Rows for nodes that none of the tables holds: one anti-join, however many there are."""
+        if not tables:
+            return new
+        return new.join(union_all([t.select(*KEYS, "node") for t in tables]), KEYS + ["node"], "left_anti")
+
     def graph_pass(
         self, source: str, inputs: DataFrame, hot, results: DataFrame, changed: list[DataFrame]
     ) -> list[DataFrame]:
@@ -203,11 +210,12 @@ class _Solver:
             part = inputs.join(targets, on + ["node"], "left_semi")
             known = self.overlay(known0, found)
             new = propagate(part, known, KEYS, hot)
-            for t in (*mine, *found):
-                new = new.join(t.select(*KEYS, "node"), KEYS + ["node"], "left_anti")
+            new = self.without(new, (*mine, *found))
             new = self.scratch.save(self.settle(new, results, source), source)
             if new.isEmpty():
                 return found
+            if len(found) >= MERGE_AFTER:  # the plan of a round stays as large as that of the first
+                found = [self.scratch.save(union_all(found), source)]
             found.append(new)
             frontier = new
 
@@ -229,9 +237,7 @@ class _Solver:
             self.seq += 1
             sums = level_sums(leveled.filter(F.col("height") == h), union_all(done), KEYS, phase, hot)
             here = base.filter(F.col("height") == h).drop("height")
-            fresh = sums.withColumn("direct", F.lit(True))
-            for t in mine:
-                fresh = fresh.join(t.select(*KEYS, "node"), KEYS + ["node"], "left_anti")
+            fresh = self.without(sums.withColumn("direct", F.lit(True)), mine)
             new = self.scratch.save(self.settle(fresh, here, source), source)
             if not new.isEmpty():
                 found.append(new)

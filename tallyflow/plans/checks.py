@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators import filters as Q
 from tallyflow.operators import hierarchy as H
 from tallyflow.operators import issues as V
-from tallyflow.plans.registry import Tables, query
+from tallyflow.plans.registry import Tables, inline, query
 from tallyflow.plans.trees import TREE, tag, tree
 from tallyflow.runtime import union_all
 
@@ -226,7 +226,7 @@ def lookup_by_attr(spark, sf):
 def select_processors(spark, sf):
     t = Tables(spark, sf)
     procs = t.customer.select(tag("C", "c_custkey").alias("processor"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    picked = Q.select_processors(procs, "segment in ('BUILDING', 'HOUSEHOLD') and c_acctbal > 0", "R2", H.closure(tree(t)))
+    picked = Q.select_processors(procs, "segment in ('BUILDING', 'HOUSEHOLD') and c_acctbal > 0", "R2", H.closure(tree(t), inline(spark, [("R2",)], "node string")))
     return picked.select("processor", "segment")
 
 

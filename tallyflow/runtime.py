@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_roots: dict[str, str] = {}
+_written: dict[str, list[str]] = {}  # folders of intermediate tables, by application
 
 ROWS_PER_TASK = 2_000_000  # rows of one key that one task should hold at most
 
@@ -54,6 +55,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.path)
         self._n = 0
 
     def new_path(self, label: str = "t") -> str:
@@ -66,6 +68,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application and return the number of folders. DataFrames that
+    operators have returned read from them: write what is wanted first."""
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def checkpointed(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession, label).save(df, label)
 

@@ -70,3 +70,13 @@ def test_scratch_keeps_the_schema_of_empty_tables(spark):
     saved = s.save(spark.range(5).filter("id > 9"))
     assert saved.count() == 0 and saved.columns == ["id"]
     assert s.path.startswith(R.checkpoint_root(spark))
+
+
+def test_clean_up_leaves_no_table(spark):
+    import os
+
+    scratch = R.Scratch(spark, "t")
+    scratch.save(spark.range(3))
+    folder = scratch.path.removeprefix("file://")
+    assert os.path.isdir(folder) and R.clean_up(spark) >= 1
+    assert not os.path.exists(folder) and R.clean_up(spark) == 0
