@@ -192,12 +192,6 @@ def matrix(
     )
 
 
-def pair_columns(results: DataFrame) -> list[tuple[str, str]]:
-    """(interface, orientation) pairs present: the columns a matrix without selector has."""
-    rows = results.select("interface", "orientation").distinct().orderBy("interface", "orientation").collect()
-    return [(r[0], r[1]) for r in rows]
-
-
 # -- intensive to extensive -------------------------------------------------------------
 def to_extensive(flows: DataFrame, funds: DataFrame, units: DataFrame) -> DataFrame:
     """Flows per unit of a fund, multiplied by the fund.
