@@ -98,7 +98,8 @@ class IsolationForest:
         limit = math.ceil(math.log2(max(2, sample)))
         self.trees = []
         for t in range(trees):
-            part = rows[t::trees][:sample] if len(rows) >= trees * 2 else rows
+            # every tree has rows of its own; a small table gives each tree a draw from all of it
+            part = rows[t::trees] if len(rows) >= trees * sample else rows[random.choice(len(rows), min(sample, len(rows)), replace=False)]
             nodes: list[list[float]] = []  # column, value, left, right, path
 
             def grow(x: np.ndarray, depth: int) -> int:
