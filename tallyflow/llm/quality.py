@@ -3,8 +3,8 @@
 Every text gets counts (words, symbols, repeated lines, repeated five-word windows); two base rules fail documents
 outright. The forest isolates documents by random splits on the rates of these counts: anomalies need few
 splits, so that their mean path is short. The forest is grown on ``TREES`` samples of ``SAMPLE`` rows each, chosen by a hash over the
-whole table; every row is scored. The threshold is calibrated on labelled rows: the lowest score that
-still keeps all but ``MAX_LOSS`` of the good documents (without good labels nothing is rejected by score).
+whole table; every row is scored. The threshold is calibrated on labelled rows: it rejects as many bad ones as it can while a lost
+good row costs ten times a kept bad one, and never more than ``MAX_LOSS`` of the good (without bad labels nothing is rejected by score).
 
 A null or empty text has no words and fails the base rules. Repeated rows are scored one by one, further columns are not read; a
 doc_id with several labels is good if one says so. Rows whose crc32(doc_id as text) is divisible by 5 are left out of the
@@ -30,7 +30,8 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of the words
 TREES, SAMPLE = 64, 256
-MAX_LOSS = 0.002
+MAX_LOSS = 0.01  # share of the good labelled rows
+LOSS_WEIGHT = 10
 STEPS = 1000  # scores are calibrated in thousandths
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 RATES = ("symbols_a_word", "symbols_a_letter", "symbols_a_line", "repeated", "word_length")
@@ -161,16 +162,22 @@ def anomaly_scores(stats: DataFrame, forest: IsolationForest | None) -> DataFram
 
 
 def calibrated_threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> int:
-    """Lowest score (thousandths) that no more than ``max_loss`` of the good labelled rows exceed."""
-    good = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    counts = scored.filter(~base_failed()).join(good.filter("quality = 1"), "doc_id").groupBy("anomaly").count()
-    by_score = sorted((r["anomaly"], r["count"]) for r in counts.collect())  # at most STEPS rows
-    total, above, threshold = sum(n for _, n in by_score), 0, STEPS
-    for score, n in reversed(by_score):
-        threshold = score
-        if above + n > max_loss * total:
+    """Score (thousandths) above which documents are rejected: of those that lose at most ``max_loss`` of the good labelled
+    rows, the one with the least share of bad rows kept, where a lost good row weighs ``LOSS_WEIGHT`` times as much."""
+    told = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    counts = scored.filter(~base_failed()).join(told, "doc_id").groupBy("anomaly").agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
+    )
+    rows = sorted(((r["anomaly"], r["good"], r["bad"]) for r in counts.collect()), reverse=True)  # at most STEPS rows
+    good, bad = max(1, sum(r[1] for r in rows)), max(1, sum(r[2] for r in rows))
+    threshold, least, lost, caught = STEPS, 1.0, 0, 0
+    for score, g, b in rows:
+        lost, caught = lost + g, caught + b
+        if lost > max_loss * good:
             break
-        above += n
+        cost = LOSS_WEIGHT * lost / good + 1 - caught / bad
+        if cost < least:
+            threshold, least = score - 1, cost
     return threshold
 
 
