@@ -34,6 +34,7 @@ from tallyflow.llm.stores import read_ranges, store
 from tallyflow.llm.texts import arrow_schema, slices
 
 WIDTH = 2  # bytes an id
+TEXT_A_SHARD = 16 << 20  # bytes of text of a shard, about; ids take some three quarters of it
 KEYS_PER_BUCKET = 10_000
 KEYS_PER_SEED = 3  # mean number of keys that share a seed
 NULL_KEY = -(1 << 63)
@@ -73,7 +74,9 @@ def write_shards(
             if out is not None:
                 out.close()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ordered = rows.repartitionByRange(max(1, -(-size // TEXT_A_SHARD)), id_col).sortWithinPartitions(id_col)
     ordered.mapInArrow(run, st).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(st).parquet(f"{folder}/manifest")
 

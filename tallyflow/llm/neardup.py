@@ -35,6 +35,7 @@ from tallyflow.runtime import Scratch
 TREES, DEPTH = 16, 8
 LEAST_DEPTH = 4
 WINDOW = 64
+ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
 SURE = 0.08  # an estimate this far above the threshold is as good as a link
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
 
@@ -221,7 +222,9 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
 
     kept = ["doc_id", "apart"] if told else ["doc_id"]
     rows = representatives.select(*kept, rotated.alias("r")).select(*kept, "r.tree", "r.label")
-    ordered = rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id")
+    parts = -(-representatives.count() * TREES // ROWS_A_TASK)
+    parts = max(parts, int(representatives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, "tree", "label").sortWithinPartitions("tree", "label", "doc_id")
     return ordered.mapInArrow(run, st).distinct()
 
 
