@@ -11,7 +11,7 @@
    crowded region of ``n`` rows gives less than ``n`` candidates.
 4. Candidates are confirmed on the full sets, and links give components.
 5. Where a candidate was refused, what it stood for is looked at again: rows that candidates join but links do not
-   go through the forest once more, and every pair of different components is a candidate there.
+   go through the forest twice more, first with the likest pairs of different components, then with all that are left.
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
@@ -35,6 +35,7 @@ from tallyflow.runtime import Scratch
 TREES, DEPTH = 16, 8
 LEAST_DEPTH = 4
 WINDOW = 64
+LIKEST = 2  # pairs of a row with another component in the first of two second looks
 ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
 SURE = 0.08  # an estimate this far above the threshold is as good as a link
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
@@ -141,11 +142,12 @@ def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def region_pairs(ids: np.ndarray, signed: np.ndarray, apart: np.ndarray | None, threshold: float, window: int) -> Iterator[tuple[int, int]]:
+def region_pairs(ids: np.ndarray, signed: np.ndarray, apart: np.ndarray | None, threshold: float, window: int, most: int | None = None) -> Iterator[tuple[int, int]]:
     """Candidate pairs of one region in sorted order: each row with the ``window`` rows before it.
 
     Without ``apart`` (components of the rows) the pairs are a forest: the likest first, none whose ends are joined
-    already. With it, they are the near pairs of different components, whatever else joins them but near-certain links."""
+    already. With it, they are the near pairs of different components, whatever else joins them but near-certain links; ``most``
+    keeps a row to its likest pairs with each other component."""
     known, number = (np.arange(len(ids)),) * 2 if apart is None else np.unique(apart, return_inverse=True)
     parent = list(range(len(known)))
     enough = threshold - MARGIN if apart is None else min(0.97, threshold + SURE)
@@ -160,16 +162,18 @@ def region_pairs(ids: np.ndarray, signed: np.ndarray, apart: np.ndarray | None,
         first = max(0, i - window)
         likeness = agreement(signed[first:i], signed[i])
         near = np.flatnonzero(likeness >= threshold - MARGIN)
+        met: dict[int, int] = {}
         for k in near[np.argsort(-likeness[near], kind="stable")].tolist():
             j = first + k
             a, b = root(int(number[i])), root(int(number[j]))
-            if a != b:
+            if a != b and (most is None or met.get(b, 0) < most):
+                met[b] = met.get(b, 0) + 1
                 yield int(ids[j]), int(ids[i])
                 if likeness[k] >= enough:
                     parent[a] = b
 
 
-def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, window: int = WINDOW) -> DataFrame:
+def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, window: int = WINDOW, most: int | None = None) -> DataFrame:
     """Candidate pairs (a < b) of (doc_id, signature) rows from all trees; with a column ``apart``, all near pairs
     that differ in it."""
     told = "apart" in representatives.columns
@@ -192,7 +196,7 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
         def close() -> None:
             if region and (len(region) > 1 or len(region[0][0]) > 1):
                 ids, signed, apart = (np.concatenate(part) for part in zip(*region, strict=True))
-                pairs.extend(region_pairs(ids, signed, apart if told else None, threshold, window))
+                pairs.extend(region_pairs(ids, signed, apart if told else None, threshold, window, most))
             region.clear()
 
         def packed() -> pa.RecordBatch:
@@ -232,7 +236,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) ->
     """The pairs whose full shingle sets are alike enough."""
     st, schema = arrow_schema("a long, b long")
     # merge joins at every size: what is a broadcast for a small table is none for a large one
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
+    ends = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+    wanted = ends[0].unionByName(ends[1]).distinct().hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts, width))
     sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a").join(
@@ -276,9 +281,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def second_look(representatives: DataFrame, pairs: DataFrame, refused: DataFrame, linked: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links between rows that candidates join, some of which were refused, and that links have not joined."""
-    scratch = Scratch(docs.sparkSession, "second")
+def second_look(representatives: DataFrame, pairs: DataFrame, refused: DataFrame, linked: DataFrame, threshold: int, most: int | None) -> DataFrame:
+    """Candidates between rows that ``pairs`` join, some of which were refused, and that links have not joined."""
+    scratch = Scratch(representatives.sparkSession, "second")
     joined = components(pairs)
     hurt = refused.join(joined.withColumnRenamed("id", "a"), "a").select("component").distinct()
     rows = joined.join(hurt, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
@@ -286,10 +291,9 @@ def second_look(representatives: DataFrame, pairs: DataFrame, refused: DataFrame
     rows = rows.withColumn("apart", F.coalesce("apart", "doc_id"))
     split = rows.groupBy("group").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high")
     rows = rows.join(split.select("group"), "group", "left_semi")
-    again = representatives.join(rows.select("doc_id", "apart"), "doc_id")
-    near = scratch.save(forest_pairs(again, threshold / 100))
-    near = near.join(pairs, ["a", "b"], "left_anti")  # these were refused before
-    return scratch.save(confirmed(near, docs, width, threshold))
+    again = scratch.save(representatives.join(rows.select("doc_id", "apart"), "doc_id"))
+    near = forest_pairs(again, threshold / 100, most=most)
+    return scratch.save(near.join(pairs, ["a", "b"], "left_anti"))  # those were looked at before
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -309,9 +313,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     pairs = scratch.save(forest_pairs(representatives, threshold / 100))
     links = scratch.save(confirmed(pairs, docs, width, threshold))
     linked = components(links)
-    refused = pairs.join(links, ["a", "b"], "left_anti")
-    if not refused.isEmpty():
-        links = links.unionByName(second_look(representatives, pairs, refused, linked, docs, width, threshold))
+    for most in (LIKEST, None):  # first what joins components most likely, then all that is left
+        refused = pairs.join(links, ["a", "b"], "left_anti")
+        if refused.isEmpty():
+            break
+        near = second_look(representatives, pairs, refused, linked, threshold, most)
+        pairs = scratch.save(pairs.unionByName(near))
+        links = scratch.save(links.unionByName(confirmed(near, docs, width, threshold)))
         linked = components(links)
     found = signed.select("doc_id", "n_shingles").join(members, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = found.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
