@@ -30,7 +30,8 @@ from tallyflow.runtime import Scratch
 MAX_EXAMPLES = 16_384
 MAX_CANDIDATES = 32_768
 MAX_TERMS = 2_048
-LEAST_CHI2 = 24.0  # of some 30 000 unrelated terms about none goes so far
+LEAST_LIFT = 10  # times as frequent among toxic examples: what is common everywhere tells little
+LEAST_CHI2 = 40.0  # of some 30 000 unrelated terms about none goes so far
 NEIGHBOURS = 16
 BLOCK = 64
 PRIOR_MASS = 0.25
@@ -104,7 +105,7 @@ def choose_terms(examples: DataFrame) -> list[str]:
         c, d, n = toxic - a, clean - b, toxic + clean
         bottom = (a + b) * (c + d) * (a + c) * (b + d)
         chi2 = n * (a * d - b * c) ** 2 / bottom if bottom else 0.0
-        if a * clean > b * toxic and chi2 >= LEAST_CHI2:
+        if a * clean >= LEAST_LIFT * b * toxic and chi2 >= LEAST_CHI2:
             scored.append((-chi2, term))
     return [t for _, t in sorted(scored)[:MAX_TERMS]]
 
@@ -133,11 +134,21 @@ class TermCounter:
         return keys, [counts[k] for k in keys]
 
 
+_counter: list[TermCounter] = []
+
+
+def worker_counter(terms: list[str]) -> TermCounter:
+    """The worker's counter: the words that it has met serve all tasks that the worker runs over these terms."""
+    if not _counter or list(_counter[0].number) != terms:
+        _counter[:] = [TermCounter(terms)]
+    return _counter[0]
+
+
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, terms, counts) of each row."""
 
     def make():
-        counter = TermCounter(terms)
+        counter = worker_counter(terms)
         return lambda doc_id, text: ((doc_id, *counter(text)),)
 
     return map_rows(docs, ["doc_id", "text"], make, "doc_id long, terms array<int>, counts array<int>")
@@ -300,7 +311,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        counter, scorer = TermCounter(shared.value.terms), Scorer(shared.value)
+        counter, scorer = worker_counter(shared.value.terms), Scorer(shared.value)
         return lambda text: scorer(*counter(text))[0] < THRESHOLD
 
     return keep_rows(docs, make)
