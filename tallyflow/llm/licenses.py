@@ -4,9 +4,10 @@ A text is lower-cased (A-Z) and cut into words of letters, digits and all charac
 phrases of ``PHRASES`` are counted where they stand word for word. ``NOTICES`` are searched with errors: a notice of which
 ``k`` letters may be wrong is split into ``k + 1`` pieces, one of which must stand unharmed (pigeonhole). Places of a
 piece are found exactly; around each, the regex library's bounded-error matching tells whether the notice is there, with how many errors and
-from where to where. Errors are counted in bytes of UTF-8.
+from where to where. Errors are counted in bytes of UTF-8. A notice that stands without an error counts with 0 errors, unless it is itself one of the phrases
+(of the same label) and so counted already.
 
-``score`` is 1 with an exact phrase, else 1 - errors / length of the best notice, else 0. A null or empty text has no words and no labels (empty strings). Very
+``score`` is 1 with an exact phrase, else 1 - errors / length of the best notice (1 for one without errors), else 0. A null or empty text has no words and no labels (empty strings). Very
 long texts are scanned whole. Repeated rows each give a row; further columns are not read.
 """
 
@@ -64,7 +65,7 @@ class Notice:
         self.pattern = regex.compile(rb"(?b)(?<![^ ])(?:" + regex.escape(self.text, special_only=True) + rb"){e<=%d}(?![^ ])" % self.errors)
 
     def find(self, text: bytes) -> Iterator[tuple[int, int, int]]:
-        """(start, end, errors) of the places with at least one error, in order of discovery."""
+        """(start, end, errors) of the places, 0 errors included, in order of discovery."""
         seen, spans = set(), set()
         for offset, piece in self.pieces:
             at = text.find(piece)
@@ -75,7 +76,7 @@ class Notice:
                     stop = min(len(text), at - offset + len(self.text) + self.errors)
                     # one byte more on each side shows the search whether a word goes on
                     for m in self.pattern.finditer(text, max(0, start - 1), min(len(text), stop + 1)):
-                        if any(m.fuzzy_counts) and m.span() not in spans and word_borders(text, *m.span()):
+                        if m.span() not in spans and word_borders(text, *m.span()):
                             spans.add(m.span())
                             yield *m.span(), sum(m.fuzzy_counts)
                 at = text.find(piece, at + 1)
@@ -108,7 +109,10 @@ def scan_documents(docs: DataFrame, phrases: dict[str, str] | None = None, notic
                 (text.count(b" ", 0, at), label, phrase.count(b" ") + 1, 0) for phrase, label in exact for at in places(text, phrase)
             )
             near = sorted(
-                (text.count(b" ", 0, a), n.label, text.count(b" ", a, b) + 1, e, len(n.text)) for n in fuzzy for a, b, e in n.find(text)
+                (text.count(b" ", 0, a), n.label, text.count(b" ", a, b) + 1, e, len(n.text))
+                for n in fuzzy
+                for a, b, e in n.find(text)
+                if e or (n.text, n.label) not in exact
             )
             score = 1.0 if found else max((1 - x[3] / x[4] for x in near), default=0.0)
             spans = [[{"label": x[1], "first_word": x[0], "n_words": x[2], "errors": x[3]} for x in group] for group in (found, near)]

@@ -323,6 +323,21 @@ def test_license_places(spark):
     assert (found[5], found[6], found[7]) == ("apache", "mit", "mpl") and found[0] == found[1] == "" and found[9] == "cc-by"
 
 
+def test_verbatim_notices_count(spark):
+    """Every notice without an error gives its label and a score of 1, once: as a phrase or as a notice."""
+    notices = list(licenses.NOTICES.items())
+    texts_ = [f"Some words, {p.title()}: and after" for p, _ in notices] + ["GNU Lesser General Public Licence", "mozilla public"]
+    rows = licenses.scan_documents(make_docs(spark, texts_)).withColumn("labels", licenses.label_list("exact", "fuzzy")).collect()
+    got = {r.doc_id: r for r in rows}
+    for k, (p, label) in enumerate(notices):
+        r = got[k]
+        assert (r.labels, r.score) == (label, 1.0)
+        assert bool(r.exact) == any(f" {x} " in f" {p} " for x in licenses.PHRASES)
+        assert [tuple(x) for x in r.fuzzy] == ([] if p in licenses.PHRASES else [(label, 2, len(p.split()), 0)])
+    near, none = got[len(notices)], got[len(notices) + 1]
+    assert near.labels == "lgpl" and 0 < near.score < 1 and (none.labels, none.score) == ("", 0.0)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for x in a:
