@@ -4,14 +4,12 @@
    equal sets fall together before anything is compared. The smallest id of a set represents it.
 2. A signature of ``TREES * DEPTH`` minima, one byte each, is taken of each representative. Tree ``t`` of the forest is the
    order of all signatures rotated by ``t * DEPTH``: a range-partitioned sort of the whole table.
-3. In each order a row meets the rows before it with which it shares a prefix of ``least_depth`` or more, at most
-   ``window`` of them: in a thin region that is the whole region at the least depth, in a crowded one
-   the neighbours with the longest common prefixes, so that the depth adapts to the region. Pairs whose whole
-   signatures agree too little are left out, and so are pairs whose ends other candidates of the region already join: a
-   crowded region of ``n`` rows gives less than ``n`` candidates.
+3. Rows that share a prefix of ``least_depth`` in one order are a region. All rows of a region are compared by their whole
+   signatures, and pairs that agree enough are near; a forest of near pairs joins what near pairs join, so that a
+   crowded region of ``n`` rows gives less than ``n`` candidates. A region of more than ``REGION`` rows is cut into blocks, and each two blocks meet.
 4. Candidates are confirmed on the full sets, and links give components.
-5. Where a candidate was refused, what it stood for is looked at again: rows that candidates join but links do not
-   go through the forest twice more, first with the likest pairs of different components, then with all that are left.
+5. A group is what candidates join. Where its links do not join all of it, all pairs of the group are compared on their full sets (in blocks
+   of ``GROUP`` rows, each two of which meet), and the links between different components are added: nothing is united but by a link, and no near pair is left out.
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
@@ -26,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.texts import arrow_schema, slices
@@ -34,10 +32,10 @@ from tallyflow.runtime import Scratch
 
 TREES, DEPTH = 16, 8
 LEAST_DEPTH = 4
-WINDOW = 64
-LIKEST = 2  # pairs of a row with another component in the first of two second looks
+REGION = 2048  # rows of a region that are compared at once
+GROUP = 256  # rows of a group whose full sets are compared at once
+COLUMNS = 4096  # shingles counted at once
 ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
-SURE = 0.08  # an estimate this far above the threshold is as good as a link
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
 
 _random = np.random.default_rng(20240501)
@@ -142,41 +140,30 @@ def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def region_pairs(ids: np.ndarray, signed: np.ndarray, apart: np.ndarray | None, threshold: float, window: int, most: int | None = None) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one region in sorted order: each row with the ``window`` rows before it.
-
-    Without ``apart`` (components of the rows) the pairs are a forest: the likest first, none whose ends are joined
-    already. With it, they are the near pairs of different components, whatever else joins them but near-certain links; ``most``
-    keeps a row to its likest pairs with each other component."""
-    known, number = (np.arange(len(ids)),) * 2 if apart is None else np.unique(apart, return_inverse=True)
-    parent = list(range(len(known)))
-    enough = threshold - MARGIN if apart is None else min(0.97, threshold + SURE)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+def region_forest(ids: np.ndarray, signed: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Near pairs that join all rows of a region which near pairs join, the likest of each row first."""
+    label = np.arange(len(ids))
     for i in range(1, len(ids)):
-        first = max(0, i - window)
-        likeness = agreement(signed[first:i], signed[i])
+        likeness = agreement(signed[:i], signed[i])
         near = np.flatnonzero(likeness >= threshold - MARGIN)
-        met: dict[int, int] = {}
-        for k in near[np.argsort(-likeness[near], kind="stable")].tolist():
-            j = first + k
-            a, b = root(int(number[i])), root(int(number[j]))
-            if a != b and (most is None or met.get(b, 0) < most):
-                met[b] = met.get(b, 0) + 1
+        if len(near):
+            near = near[np.argsort(-likeness[near], kind="stable")]
+            others, at = np.unique(label[near], return_index=True)
+            for j in near[at].tolist():
                 yield int(ids[j]), int(ids[i])
-                if likeness[k] >= enough:
-                    parent[a] = b
+            label[:i][np.isin(label[:i], others)] = i
+
+
+def in_blocks(rows: DataFrame, blocks: Column, key: str = "doc_id") -> DataFrame:
+    """Each row once for each pair of ``blocks`` blocks that has its own, with the number of the pair as ``block``."""
+    mine = F.pmod(F.xxhash64(key), blocks)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, mine) * blocks + F.greatest(k, mine))
+    return rows.withColumn("block", F.explode(pair))
 
 
-def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, window: int = WINDOW, most: int | None = None) -> DataFrame:
-    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees; with a column ``apart``, all near pairs
-    that differ in it."""
-    told = "apart" in representatives.columns
+def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, region: int | None = None) -> DataFrame:
+    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees."""
+    most = region or REGION
     st, schema = arrow_schema("a long, b long")
     rotated = F.explode(
         F.array(*(
@@ -189,15 +176,14 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region: list[tuple[np.ndarray, ...]] = []  # rows of the region that may go on in the next batch
+        rows: list[tuple[np.ndarray, ...]] = []  # rows of the region that may go on in the next batch
         mark = None
         pairs: list[tuple[int, int]] = []
 
         def close() -> None:
-            if region and (len(region) > 1 or len(region[0][0]) > 1):
-                ids, signed, apart = (np.concatenate(part) for part in zip(*region, strict=True))
-                pairs.extend(region_pairs(ids, signed, apart if told else None, threshold, window, most))
-            region.clear()
+            if rows and (len(rows) > 1 or len(rows[0][0]) > 1):
+                pairs.extend(region_forest(*(np.concatenate(part) for part in zip(*rows, strict=True)), threshold))
+            rows.clear()
 
         def packed() -> pa.RecordBatch:
             low, high = (np.array([f(p) for p in pairs], np.int64) for f in (min, max))
@@ -208,38 +194,49 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
             n = batch.num_rows
             if not n:
                 continue
-            ids, tree = batch.column("doc_id").to_numpy(), batch.column("tree").to_numpy()
-            apart = batch.column("apart").to_numpy() if told else ids
+            ids, tree, block = (batch.column(c).to_numpy() for c in ("doc_id", "tree", "block"))
             signed = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, -1)
-            key = np.concatenate([tree[:, None].astype(np.uint8), signed[:, :least_depth]], axis=1)
+            key = np.concatenate([tree[:, None].astype(np.int64), block[:, None], signed[:, :least_depth]], axis=1)
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
             for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
                 if mark is None or (key[start] != mark).any():
                     close()
                     mark = key[start].copy()
-                region.append((ids[start:stop].copy(), signed[start:stop].copy(), apart[start:stop].copy()))
+                rows.append((ids[start:stop].copy(), signed[start:stop].copy()))
                 if len(pairs) > 50_000:
                     yield packed()
         close()
         if pairs:
             yield packed()
 
-    kept = ["doc_id", "apart"] if told else ["doc_id"]
-    rows = representatives.select(*kept, rotated.alias("r")).select(*kept, "r.tree", "r.label")
+    prefix = F.substring("label", 1, least_depth)
+    forest = representatives.select("doc_id", rotated.alias("r")).select("doc_id", "r.tree", "r.label")
+    crowded = forest.groupBy("tree", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    crowded = Scratch(representatives.sparkSession, "crowded").save(crowded.select("tree", "prefix", F.ceil(F.col("n") / most).alias("blocks")))
+    if crowded.isEmpty():
+        forest = forest.withColumn("block", F.lit(0).cast("long"))
+    else:
+        met = forest.withColumn("prefix", prefix).join(crowded, ["tree", "prefix"], "left")
+        forest = in_blocks(met, F.coalesce("blocks", F.lit(1).cast("long"))).select("doc_id", "tree", "label", "block")
     parts = -(-representatives.count() * TREES // ROWS_A_TASK)
     parts = max(parts, int(representatives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "tree", "label").sortWithinPartitions("tree", "label", "doc_id")
-    return ordered.mapInArrow(run, st).distinct()
+    place = (F.col("tree"), prefix, F.col("block"))
+    ordered = forest.repartitionByRange(parts, *place).sortWithinPartitions(*place, "doc_id")
+    return ordered.select("doc_id", "tree", "label", "block").mapInArrow(run, st).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The pairs whose full shingle sets are alike enough."""
-    st, schema = arrow_schema("a long, b long")
+def sets_of(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the ends of the pairs."""
     # merge joins at every size: what is a broadcast for a small table is none for a large one
     ends = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
     wanted = ends[0].unionByName(ends[1]).distinct().hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts, width))
+    return Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts, width))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full shingle sets are alike enough."""
+    st, schema = arrow_schema("a long, b long")
     sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")).hint("merge"), "b"
     )
@@ -281,19 +278,54 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def second_look(representatives: DataFrame, pairs: DataFrame, refused: DataFrame, linked: DataFrame, threshold: int, most: int | None) -> DataFrame:
-    """Candidates between rows that ``pairs`` join, some of which were refused, and that links have not joined."""
-    scratch = Scratch(representatives.sparkSession, "second")
-    joined = components(pairs)
-    hurt = refused.join(joined.withColumnRenamed("id", "a"), "a").select("component").distinct()
-    rows = joined.join(hurt, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each two of the sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # what only one set has is common to none
+    row, code = row[often[code]], (np.cumsum(often) - 1)[code[often[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both, columns = np.zeros((len(sets), len(sets))), int(often.sum())
+    for at in range(0, columns, COLUMNS):  # bounded memory for very long texts
+        start, stop = np.searchsorted(code, [at, at + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, columns - at)), np.float32)
+        has[row[start:stop], code[start:stop] - at] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def group_links(ids: np.ndarray, apart: np.ndarray, sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, int]]:
+    """Links (a < b) that join all components ``apart`` of the rows which links between the rows join."""
+    both, size = shared_counts(sets), np.array([len(s) for s in sets])
+    link = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+    label = np.unique(apart, return_inverse=True)[1]
+    for i in range(1, len(ids)):
+        near = np.flatnonzero(link[i, :i] & (label[:i] != label[i]))
+        others, at = np.unique(label[near], return_index=True)
+        for j in near[at].tolist():
+            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+        label[np.isin(label, others)] = label[i]
+
+
+def missing_links(pairs: DataFrame, linked: DataFrame, sets: DataFrame, threshold: int, group: int | None = None) -> DataFrame:
+    """Links between components (``linked``) of rows that candidates join, from all pairs of these rows."""
+    scratch, most = Scratch(pairs.sparkSession, "groups"), group or GROUP
+    st, schema = arrow_schema("a long, b long")
+    rows = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     rows = rows.join(linked.select(F.col("id").alias("doc_id"), F.col("component").alias("apart")), "doc_id", "left")
-    rows = rows.withColumn("apart", F.coalesce("apart", "doc_id"))
-    split = rows.groupBy("group").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high")
-    rows = rows.join(split.select("group"), "group", "left_semi")
-    again = scratch.save(representatives.join(rows.select("doc_id", "apart"), "doc_id"))
-    near = forest_pairs(again, threshold / 100, most=most)
-    return scratch.save(near.join(pairs, ["a", "b"], "left_anti"))  # those were looked at before
+    rows = scratch.save(rows.withColumn("apart", F.coalesce("apart", "doc_id")))
+    split = rows.groupBy("group").agg(F.min("apart").alias("low"), F.max("apart").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    rows = rows.join(split.select("group", F.ceil(F.col("n") / most).alias("blocks")), "group")
+    rows = rows.join(sets.hint("merge"), "doc_id")
+    rows = in_blocks(rows, F.col("blocks")).select("group", "block", "doc_id", "apart", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        new = list(group_links(*(table.column(c).to_numpy() for c in ("doc_id", "apart")), found, threshold))
+        return pa.Table.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return rows.groupBy("group", "block").applyInArrow(run, st).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -311,16 +343,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     representatives = full.select("doc_id", "signature").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     representatives = scratch.save(representatives)
     pairs = scratch.save(forest_pairs(representatives, threshold / 100))
-    links = scratch.save(confirmed(pairs, docs, width, threshold))
+    sets = sets_of(pairs, docs, width)
+    links = scratch.save(confirmed(pairs, sets, threshold))
     linked = components(links)
-    for most in (LIKEST, None):  # first what joins components most likely, then all that is left
-        refused = pairs.join(links, ["a", "b"], "left_anti")
-        if refused.isEmpty():
-            break
-        near = second_look(representatives, pairs, refused, linked, threshold, most)
-        pairs = scratch.save(pairs.unionByName(near))
-        links = scratch.save(links.unionByName(confirmed(near, docs, width, threshold)))
-        linked = components(links)
+    more = scratch.save(missing_links(pairs, linked, sets, threshold))
+    if not more.isEmpty():
+        linked = components(links.unionByName(more))
     found = signed.select("doc_id", "n_shingles").join(members, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = found.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
     return found.select(

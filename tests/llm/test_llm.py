@@ -512,6 +512,34 @@ def test_near_duplicates_agree_with_all_pairs(spark, width, threshold):
     }
 
 
+def test_crowded_regions_are_searched_whole(spark):
+    """Two near signatures between which 200 others stand in every order, in one block and in several."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (202, neardup.TREES, neardup.DEPTH), np.uint8)
+    rows[:, :, :4], rows[:, :, 4] = 7, 128
+    rows[1] = rows[0]
+    rows[0, :, 4], rows[1, :, 4] = 0, 255
+    frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, signature binary")
+    assert [tuple(r) for r in neardup.forest_pairs(frame, 0.85).collect()] == [(0, 1)]
+    assert [tuple(r) for r in neardup.forest_pairs(frame, 0.85, region=50).collect()] == [(0, 1)]
+
+
+def test_groups_are_united_by_links_only(spark):
+    """0-1 is a candidate and no link, 1-2 is a link, 0-2 is a link that no candidate names; 3 is alone, 4-5 are one already."""
+    words = [f"w{k}" for k in range(100)]
+    many = [" ".join(x) for x in (words[:90], words[10:], words[5:95], ["x", *words[50:]], ["y"] * 4, ["y"] * 5)]
+    sets = neardup.shingle_sets(make_docs(spark, many), 1)
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
+    links = spark.createDataFrame([(1, 2), (4, 5)], "a long, b long")
+    for group in (None, 1, 2):
+        more = neardup.missing_links(pairs, neardup.components(links), sets, 85, group).collect()
+        assert [tuple(r) for r in more] == [(0, 2)]
+    rng = random.Random(4)
+    plain = [set(rng.sample(range(60), 40)) for _ in range(9)]
+    counts = neardup.shared_counts([np.array(sorted(x), np.uint64) for x in plain])
+    assert all(counts[a, b] == len(plain[a] & plain[b]) for a in range(9) for b in range(9) if a != b)
+
+
 def test_near_duplicates_with_ties(spark):
     text = prose(random.Random(1), 50)
     docs = make_docs(spark, [text, text, text, "other words here now"], [4, 4, None, 9])
