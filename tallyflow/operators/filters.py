@@ -50,9 +50,11 @@ def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bo
         elif (kind := df.schema[name].dataType).simpleString() == "string":
             # codes without letters: the plain comparison can be pushed to the scan
             df = df.filter(F.col(name).isin(codes))
-        else:
+        elif isinstance(kind, (T.IntegralType, T.FractionalType, T.DateType)):
             # codes of the column's own type can be pushed; a code that is no such value selects nothing
             df = df.filter(F.col(name).isin([c for c in codes if is_value(c, kind)]))
+        else:
+            df = df.filter(F.col(name).cast("string").isin(codes))
     return df
 
 

@@ -137,3 +137,11 @@ def test_text_functions(spark):
     assert [r[0] for r in s.select(X.key_value_map(F.col("s"))).collect()] == [{"a": "1", "b": "x y"}, {}, {}]
     n = small_table(spark, [("9 lives-x",), ("good name",)], "s string")
     assert [r[0] for r in n.select(X.identifier_name(F.col("s"))).collect()] == ["id_9_lives_x", "good_name"]
+
+
+def test_codes_without_letters_on_a_timestamp(spark):
+    from tallyflow.operators.filters import filter_dims
+
+    stamps = spark.sql("SELECT timestamp(x) AS ts FROM VALUES ('2024-01-01 00:00:00'), ('2024-01-02 03:04:05') AS t(x)")
+    assert filter_dims(stamps, {"ts": ["2024-01-01 00:00:00", "7"]}).count() == 1
+    assert filter_dims(stamps, {"TS": ["2024-01-03 00:00:00"]}).count() == 0
