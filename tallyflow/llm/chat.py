@@ -63,8 +63,9 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 
 def sibling_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected): each conversation up to its last assistant turn, against the same with that
-    turn exchanged for the last assistant turn of its sibling (ids 2k and 2k + 1; without one, the turn is left out)."""
+    """(conv_id, chosen, rejected, tail): each conversation up to its last assistant turn, against the same with that
+    turn exchanged for the last assistant turn of its sibling (ids 2k and 2k + 1; without one, the turn is left out). ``tail`` has
+    the turns after that turn, which belong to neither. Rows with a null conv_id belong to no conversation and are dropped."""
     talks = conversations(turns.filter("conv_id IS NOT NULL"))
     place = F.array_position(F.reverse(F.transform("messages", lambda m: m["role"])), F.lit("assistant"))
     talks = talks.withColumn("last", F.when(place > 0, (F.size("messages") - place + 1).cast("int")))
@@ -77,4 +78,5 @@ def sibling_pairs(turns: DataFrame) -> DataFrame:
         "conv_id",
         F.when(F.col("last").isNull(), F.col("messages")).otherwise(F.slice("messages", F.lit(1), F.col("last"))).alias("chosen"),
         F.when(F.col("last").isNull(), F.col("messages")).otherwise(F.concat(before, F.coalesce("reply", none))).alias("rejected"),
+        F.when(F.col("last").isNull(), none).otherwise(F.slice("messages", F.col("last") + 1, F.size("messages"))).alias("tail"),
     )

@@ -414,6 +414,12 @@ def test_sibling_pairs(spark):
     assert chat.format_preferences(chat.sibling_pairs(frame.filter("false"))).count() == 0
 
 
+def test_sibling_pairs_keep_the_tail(spark):
+    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "A"), (0, 2, "user", "bye"), (0, 3, "user", "so"), (1, 0, "assistant", "B"), (2, 0, "user", "x")]
+    rows = chat.format_preferences(chat.sibling_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.conv_id: [m.text for m in r.tail] for r in rows} == {0: ["bye", "so"], 1: [], 2: []}
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
