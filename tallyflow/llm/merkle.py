@@ -3,8 +3,8 @@
 A text is cut at line ends into paragraphs; runs of paragraphs form sections. Where a section ends is told by
 the digest of its last paragraph, so that an inserted paragraph disturbs its own section and no other. A paragraph's node is the digest of
 its text, a section's node the digest of its paragraphs' nodes, the root that of the sections' nodes: equal roots mean equal
-texts, and where roots differ only sections, and then paragraphs, that differ need to be looked at. Below a paragraph
-stand short pieces whose ends are told by their letters; they grade how much of a paragraph is left.
+texts, and where roots differ only sections, and then paragraphs, that differ need to be looked at. Beside the tree
+stands the set of distinct short pieces of the text, whose ends are told by their letters; it grades how much of a text is left.
 
 A null text is the empty text, which has one empty paragraph. Repeated rows each get a fingerprint. Further columns stay as they are; the names
 that are added are stated where they are added.
