@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash and an LSH forest.
 
 1. Each text becomes its set of distinct word shingles; one 64-bit digest pair stands for the whole set, so that
-   equal sets fall together before anything is compared. The smallest id of a set represents it.
+   equal sets fall together before anything is compared. A text under the smallest id of a set represents it.
 2. A signature of ``TREES * DEPTH`` minima, one byte each, is taken of each representative. Tree ``t`` of the forest is the
    order of all signatures rotated by ``t * DEPTH``: a range-partitioned sort of the whole table.
 3. Rows that share a prefix of ``least_depth`` in one order are a region. All rows of a region are compared by their whole
@@ -13,7 +13,7 @@
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
-kept. Rows that share an id share its component if they have the same text. Further columns are not read.
+kept. Rows with the same id and text share a component; other texts under the same id are documents of their own. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -117,8 +117,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature); digest and signature are null for an empty set."""
-    st, schema = arrow_schema("doc_id long, n_shingles long, digest string, signature binary")
+    """(doc_id, text_key, n_shingles, digest, signature); digest and signature are null for an empty set."""
+    st, schema = arrow_schema("doc_id long, text_key string, n_shingles long, digest string, signature binary")
 
     def run(batches):
         shingler = Shingler(width)
@@ -128,10 +128,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 signed.append(signature(s) if len(s) else None)
-            columns = [part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip((n, digest, signed), list(schema)[1:], strict=True))]
+            columns = [*map(part.column, ("doc_id", "text_key")), *(pa.array(c, f.type) for c, f in zip((n, digest, signed), list(schema)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, st)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, st)
 
 
 def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -225,13 +225,13 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
     return ordered.select("doc_id", "tree", "label", "block").mapInArrow(run, st).distinct()
 
 
-def sets_of(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the ends of the pairs."""
+def sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the ends of the pairs, which are numbers of ``nodes``."""
     # merge joins at every size: what is a broadcast for a small table is none for a large one
-    ends = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
-    wanted = ends[0].unionByName(ends[1]).distinct().hint("merge")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts, width))
+    ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
+    wanted = nodes.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "text_key")
+    texts = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    return Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), width))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -328,37 +328,43 @@ def missing_links(pairs: DataFrame, linked: DataFrame, sets: DataFrame, threshol
     return rows.groupBy("group", "block").applyInArrow(run, st).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
+def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of each row; ``text_key`` is the digest of the text."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
     signed = scratch.save(signatures(docs, width))
-    full = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    groups = full.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = scratch.save(groups.filter("n > 1").select("digest", "first"))
-    members = scratch.save(
-        full.select("doc_id", "digest").join(shared, "digest").select("doc_id", "first").distinct()
-    )
-    later = members.filter("doc_id <> first").select("doc_id")
-    representatives = full.select("doc_id", "signature").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    representatives = scratch.save(representatives)
-    pairs = scratch.save(forest_pairs(representatives, threshold / 100))
-    sets = sets_of(pairs, docs, width)
+    real = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    full = signed.filter(real)
+    groups = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), F.first("signature").alias("signature"))
+    nodes = groups.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("k.doc_id").alias("first"), "k.text_key", "signature")
+    nodes = scratch.save(nodes)
+    pairs = scratch.save(forest_pairs(nodes.select(F.col("node").alias("doc_id"), "signature"), threshold / 100))
+    sets = sets_of(pairs, nodes, docs, width)
     links = scratch.save(confirmed(pairs, sets, threshold))
     linked = components(links)
     more = scratch.save(missing_links(pairs, linked, sets, threshold))
     if not more.isEmpty():
         linked = components(links.unionByName(more))
-    found = signed.select("doc_id", "n_shingles").join(members, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
-    found = found.join(linked.select(F.col("id").alias("first"), "component"), "first", "left")
-    return found.select(
-        "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"),
-        F.coalesce(F.coalesce("component", "first") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    # the smallest id leads a component; of its texts, one
+    sides = nodes.select("node", "digest", "first").join(linked.withColumnRenamed("id", "node"), "node", "left")
+    lead = sides.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "digest")).alias("lead"))
+    sides = sides.join(lead, "component", "left").select(
+        "digest", F.coalesce("lead.first", "first").alias("component_id"), F.coalesce(F.col("lead.digest") == F.col("digest"), F.lit(True)).alias("leads")
     )
+    names = ["doc_id", "text_key", "n_shingles", "component_id"]
+    found = full.join(sides, "digest").select(*names, ((F.col("component_id") == F.col("doc_id")) & F.col("leads")).alias("kept"))
+    rest = signed.filter(~real).withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(rest.select(*names, F.lit(True).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row."""
+    return judged(docs, width, threshold).drop("text_key")
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """Rows of ``docs``, all columns, without the documents of a component that do not have its smallest id."""
-    gone = near_duplicates(docs, width, threshold).filter(~F.col("kept")).select("doc_id").distinct()
+    """Rows of ``docs``, all columns, without the documents of a component but the one that leads it."""
+    gone = judged(docs, width, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     gone = Scratch(docs.sparkSession, "dropped").save(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("long") == gone["_id"]) & (F.md5(docs["text"]) == gone["_key"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -555,6 +555,12 @@ def test_near_duplicates_with_ties(spark):
     assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs).count() == 4
 
 
+def test_texts_under_one_id_are_judged_alone(spark):
+    a, b, c = (prose(random.Random(k), 60, 5000) for k in range(3))
+    docs = make_docs(spark, [a, a, b, c, c + " end", b + " end"], [1, 7, 7, 9, 9, 12])
+    assert sorted((r.doc_id, r.text in (c, c + " end") or r.text) for r in neardup.keep_one(docs).collect()) == [(1, a), (7, b), (9, True)]
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
