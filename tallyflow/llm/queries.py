@@ -203,3 +203,91 @@ def op6_preferences(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "n_prompt_turns", "prompt_sha256", "chosen_sha256", _masked("chosen_mask").alias("chosen_masked"),
         "rejected_sha256", _masked("rejected_mask").alias("rejected_masked"),
     )
+
+
+_PLACED = """list_transform(range(1, len(m_{0}) + 1), lambda i: struct_pack(
+    s := (coalesce(list_sum(list_transform(g_{0}[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m_{0}[:i - 1], lambda x: length(x))), 0))::BIGINT,
+    t := m_{0}[i]))"""
+_HOT = """
+    h_{kind} AS (SELECT row, s, p, row_number() OVER (PARTITION BY row, s ORDER BY p) AS k,
+                        max(p) OVER (PARTITION BY row, s ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+                 FROM (SELECT row, s, unnest(list_filter(range(0, length(t) - {width} + 1), lambda p:
+                         regexp_full_match(substr(t, p + 1, {width}), '[{cls}]+')
+                         AND length(regexp_replace(substr(t, p + 1, {width}), '[^0-9]', '', 'g')) BETWEEN 2 AND {width} - 2
+                         AND list_sum(list_transform(list_distinct(string_split(substr(t, p + 1, {width}), '')), lambda c:
+                               round((length(substr(t, p + 1, {width})) - length(replace(substr(t, p + 1, {width}), c, '')))
+                                     * log2(length(substr(t, p + 1, {width})) - length(replace(substr(t, p + 1, {width}), c, ''))) * 1000000))) <= {most})) AS p
+                       FROM c)),
+    r_{kind} AS (SELECT row, s, min(p) AS first, max(p) + {width} AS last
+                 FROM (SELECT *, sum(CASE WHEN before IS NULL OR before + {width} < p THEN 1 ELSE 0 END) OVER (PARTITION BY row, s ORDER BY p) AS part FROM h_{kind})
+                 GROUP BY row, s, part)"""
+
+
+def _secret_sql() -> str:
+    from tallyflow.llm import secret_scan as scan
+
+    names = {"entropy_hex": "0-9a-f", "entropy_upper": "0-9A-Z", "entropy_mixed": "0-9a-zA-Z+/_-"}
+    hot = ",".join(_HOT.format(kind=c.kind, width=c.window, most=c.most, cls=names[c.kind]) for c in scan.CLASSES)
+    patterns = {"assign": scan.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "c": scan.CANDIDATE.replace("{20,4096}", "+")}
+    quoted = {k: "'" + v.replace("'", "''") + "'" for k, v in patterns.items()}
+    found = ", ".join(f"regexp_extract_all(text, {p}) AS m_{k}, regexp_split_to_array(text, {p}) AS g_{k}" for k, p in quoted.items())
+    allowed = " OR ".join(f"regexp_matches(t, '{p}')" for p in scan.ALLOWED)
+    least = {"assign": f"length(regexp_extract(t, {quoted['assign']}, 2)) >= 12", "access": "length(t) >= 18", "hex": "length(t) >= 16"}
+    base = " UNION ALL ".join(
+        f"SELECT row, '{k}' AS kind, {n} AS place, s, s + length(t) AS e FROM (SELECT row, x.s AS s, x.t AS t FROM (SELECT row, unnest(p_{k}) AS x FROM b)) WHERE {least[k]}"
+        for n, k in enumerate(least)
+    )
+    more = " UNION ALL ".join(f"SELECT row, '{c.kind}', {n}, s + first, s + last FROM r_{c.kind}" for n, c in enumerate(scan.CLASSES, 3))
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    a AS (SELECT row, {found} FROM d),
+    b AS (SELECT row, {', '.join(f"{_PLACED.format(k)} AS p_{k}" for k in quoted)} FROM a),
+    c AS (SELECT row, x.s AS s, x.t AS t FROM (SELECT row, unnest(p_c) AS x FROM b)
+          WHERE length(x.t) BETWEEN 20 AND 4096 AND regexp_matches(x.t, '[0-9]') AND regexp_matches(x.t, '[A-Za-z]') AND NOT ({allowed.replace('(t,', '(x.t,')})),
+    {hot},
+    base AS ({base}), every AS (FROM base UNION ALL {more}),
+    n AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                 {text} AS t FROM base GROUP BY row),
+    o AS (SELECT row, {text} AS t FROM every GROUP BY row)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(n.t, '')) AS base_sha256, coalesce(o.t, '') AS spans
+    FROM d LEFT JOIN n USING (row) LEFT JOIN o USING (row)"""
+
+
+@query("op11_secrets", _secret_sql())
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm import secret_scan as scan
+
+    return scan.scan(table(spark, folder, "documents")).select(
+        "doc_id",
+        *(scan.count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(F.encode(scan.listed("base"), "UTF-8"), 256).alias("base_sha256"),
+        scan.listed("spans").alias("spans"),
+    )
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op12_ranking",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts
+               FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT count(*)::BIGINT AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+    e AS (SELECT row, t, count(*)::BIGINT AS tf FROM (SELECT row, unnest(ts) AS t FROM d) GROUP BY ALL),
+    w AS (SELECT t, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM e, c GROUP BY t, nn),
+    m AS (SELECT row, doc_id, 100 - 25 + ((25 * len(ts)::BIGINT * nn) // ll) AS m FROM d, c WHERE len(ts) > 0),
+    q AS (SELECT item, item_id, t, count(*)::BIGINT AS n
+          FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t FROM benchmark)
+          GROUP BY ALL),
+    s AS (SELECT item, item_id, row, doc_id, sum(n * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM q JOIN w USING (t) JOIN e USING (t) JOIN m USING (row) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS k FROM s WHERE score > 0)
+    SELECT item_id, k::INTEGER AS rank, doc_id, score FROM r WHERE k <= 20""",
+)
+def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.ranking import rank_documents
+
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
