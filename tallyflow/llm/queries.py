@@ -291,3 +291,32 @@ def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
     from tallyflow.llm.ranking import rank_documents
 
     return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda r, x:
+    list_reduce(list_concat([xor(r, x)], list_transform(range(8), lambda k: 0::BIGINT)), lambda v, z: xor(v // 2, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+                      struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS m FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT c, list(m ORDER BY k) AS ms FROM o GROUP BY c),
+    h AS (SELECT c, ms, xor({_CRC32}, 4294967295) % 9 AS h FROM t),
+    r AS (SELECT h.c, list_concat(coalesce(b.ms, [])[:h], h.ms[h + 1:]) AS ms FROM h LEFT JOIN t b ON b.c = h.c - h.c % 5),
+    p AS (SELECT c, ms, len(ms) AS n, unnest(range(0, len(ms) + 1)) AS d FROM r),
+    x AS (SELECT c, n, d, ms[:d] AS key, CASE WHEN d > 0 THEN strlen(ms[d].text) ELSE 0 END AS bytes, ms[:d - 1] AS up FROM p),
+    g AS (SELECT d, key, CASE WHEN d > 0 THEN any_value(up) END AS up, min(c) AS c, count(*) AS n_convs, any_value(bytes) AS bytes,
+                 string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends FROM x GROUP BY d, key),
+    j AS (SELECT g.*, a.c AS parent FROM g LEFT JOIN g a ON a.d = g.d - 1 AND a.key = g.up),
+    f AS (SELECT j.*, (SELECT count(*) FROM j y WHERE y.d = j.d + 1 AND y.up = j.key) AS n_children FROM j),
+    s AS (SELECT a.d, a.key, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.bytes)::BIGINT AS saved
+          FROM f JOIN x a ON a.c = f.c AND a.d <= f.d GROUP BY a.d, a.key)
+    SELECT f.c AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved AS saved_tokens,
+           sha256(coalesce(f.ends, '')) AS ends_sha256 FROM f JOIN s ON s.d = f.d AND s.key = f.key""",
+)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyflow.llm.prefix_trie import trie
+
+    return trie(table(spark, folder, "conversations"))
