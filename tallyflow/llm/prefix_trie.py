@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyflow.llm.texts import slices
 from tallyflow.runtime import Scratch, skew_join, union_all
 
-CAPACITY = 65_536  # turns of a container that is not burst
+CAPACITY = 512  # turns of a container that is not burst: small, so that a common first turn is dealt out
 FIRST_WINDOW, WIDER = 8, 8
 BLOCK = 65_536  # turns of a conversation that are summed up together
 PIECE = 1 << 20  # bytes of joined ids that are handed on together
