@@ -5,16 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.operators.cube import code_grid
+from tallyflow.operators.incremental import MOST_TABLES, KeptState
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import (
     Scratch,
     checkpointed,
     hot_keys,
     skew_join,
+    sorted_numbers,
     union_all,
 )
 
@@ -161,71 +163,188 @@ def propagate(
     )
 
 
+SIDES = ("d", "r")
+VERSION_BITS = 18  # beside the 45 of a sorted number: a later value of the same input comes first
+
+
+class Propagation:
+    """Semi-naive propagation: a round reads the edges that leave the frontier and the kept state of the nodes that they reach.
+
+    The state of a node holds for its direct and its reverse inputs the sum of the known terms, how many are known, and the first known
+    term in name order (by sorted numbers of the input names, so that all of it has a fixed width). A row of the
+    frontier brings its value, the difference to the value brought before and whether it is known for the first time (``fresh``), so that
+    replaced values correct the sums. Nodes get a value once: rows of a determined or given node are let go. The number of the round travels with the
+    rows, so that all rounds run the same compiled code.
+    """
+
+    def __init__(self, inputs: DataFrame, keys: Sequence[str], scratch: Scratch, label: str = "propagate"):
+        self.keys, self.scratch, self.label = list(keys), scratch, label
+        self.on = [k for k in edge_keys(inputs) if k in self.keys]
+        # inputs without weight can never contribute; they only count in n_inputs
+        usable = inputs.filter("weight is not null").withColumnRenamed("input", "_input")
+        usable = usable.select(*self.on, "_input", "node", "weight", "direct", "n_inputs", "split")
+        usable, splits = scratch.save_counted(usable, f"{label}-edges", F.col("split"))
+        if splits:
+            numbers, _ = sorted_numbers(usable.filter("split"), "_input", "_place", scratch)
+            usable = usable.join(numbers, "_input", "left").withColumn("_place", F.when(F.col("split"), F.col("_place")))
+            self.edges = scratch.save(usable, f"{label}-numbered")
+        else:
+            self.edges = usable.withColumn("_place", F.lit(None).cast("long"))
+        self.hot = hot_keys(self.edges, [*self.on, "_input"])
+        columns: dict[str, tuple[str, Column]] = {}
+        for s in SIDES:
+            columns |= {f"sum_{s}": ("double", F.sum(f"sum_{s}")), f"have_{s}": ("long", F.sum(f"have_{s}")), f"n_{s}": ("long", F.max(f"n_{s}"))}
+            columns |= {f"split_{s}": ("boolean", F.max(f"split_{s}")), f"place_{s}": ("long", F.min(f"place_{s}"))}
+            columns[f"one_{s}"] = ("double", F.min_by(f"one_{s}", f"place_{s}"))
+        columns |= {"seen": ("double", F.max_by("seen", "at")), "at": ("long", F.max("at")), "known": ("boolean", F.max("known"))}
+        self.state = KeptState(scratch, [*self.keys, "node"], columns, label)
+        self.found: list[DataFrame] = []
+        self.round = 0
+
+    def give(self, known: DataFrame, rows: int) -> None:
+        """Nodes (keys, node) that have a value already and are not to be determined."""
+        self.state.append(known.select(*self.keys, "node", F.lit(True).alias("known")), rows)
+
+    def bring(self, values: DataFrame, rows: int) -> None:
+        """Remember (keys, node, value) as seen; a node that is determined later tells its difference to it."""
+        self.state.append(values.select(*self.keys, "node", F.col("value").alias("seen"), F.col("round").alias("at")), rows)
+
+    def _delta(self, frontier: DataFrame) -> DataFrame:
+        right = frontier.select(*self.keys, F.col("node").alias("_input"), "value", "diff", "fresh", "round")
+        rows = skew_join(self.edges, right, [*self.on, "_input"], hot=self.hot if self.hot is not None else False)
+        place = F.shiftleft("_place", VERSION_BITS) + F.lit((1 << VERSION_BITS) - 1) - F.col("round") % (1 << VERSION_BITS)
+        sums = [F.max(F.col("round") + 1).alias("round")]
+        for s, side in (("d", F.col("direct")), ("r", ~F.col("direct"))):
+            first = F.when(side & F.col("split"), place)
+            sums += [
+                F.sum(F.when(side, F.col("weight") * F.col("diff"))).alias(f"sum_{s}"),
+                F.sum(F.when(side, F.col("fresh"))).alias(f"have_{s}"),
+                F.max(F.when(side, F.col("n_inputs"))).alias(f"n_{s}"),
+                F.max(F.when(side, F.col("split"))).alias(f"split_{s}"),
+                F.min_by(F.col("weight") * F.col("value"), first).alias(f"one_{s}"),
+                F.min(first).alias(f"place_{s}"),
+            ]
+        return rows.groupBy(*self.keys, "node").agg(*sums)
+
+    def step(self, frontier: DataFrame) -> DataFrame | None:
+        """One round: the next frontier, or None when nothing new is determined. ``frontier`` (keys, node, value, diff, fresh)."""
+        self.round += 1
+        delta, reached = self.scratch.save_counted(self._delta(frontier), f"{self.label}-delta")
+        if not reached:
+            return None
+        both = self.state.beside(delta)
+
+        def solved(s: str) -> Column:
+            new, old = F.col(f"place_{s}"), F.col(f"old_place_{s}")
+            one = F.when(old.isNull() | (new < old), F.col(f"one_{s}")).otherwise(F.col(f"old_one_{s}"))
+            have = F.coalesce(f"have_{s}", F.lit(0)) + F.coalesce(f"old_have_{s}", F.lit(0))
+            total = F.coalesce(f"sum_{s}", F.lit(0.0)) + F.coalesce(f"old_sum_{s}", F.lit(0.0))
+            split = F.coalesce(f"split_{s}", f"old_split_{s}")
+            return F.when(split, one).when(have == F.coalesce(f"n_{s}", f"old_n_{s}"), total)
+
+        open_ = ~F.coalesce("old_known", F.lit(False))
+        rows = both.filter(open_).withColumn("value", F.coalesce(*map(solved, SIDES))).withColumn("direct", solved("d").isNotNull())
+        kept = [f"{c}_{s}" for s in SIDES for c in ("sum", "have", "n", "split", "one", "place")]
+        diff = F.col("value") - F.coalesce("old_seen", F.lit(0.0))
+        rows = rows.select(
+            *self.keys, "node", *kept, F.when(F.col("value").isNotNull(), True).alias("known"), "value", "direct", diff.alias("diff"),
+            F.col("old_seen").isNull().cast("long").alias("fresh"), "round",
+        )
+        table, n = self.scratch.save_counted(rows, self.label)
+        if not n:
+            return None
+        self.state.append(table.drop("value", "direct", "diff", "fresh", "round"), n)
+        new = table.filter("known")
+        self.found.append(new)
+        return new
+
+    def run(self, frontier: DataFrame) -> list[DataFrame]:
+        """Rounds until nothing new is determined: rows (keys, node, value, direct, round) of each."""
+        self.found = []
+        while frontier is not None:
+            if len(self.found) > MOST_TABLES:
+                self.found = [self.scratch.save(union_all(self.found), f"{self.label}-found")]
+            frontier = self.step(frontier)
+        return self.found
+
+
+def fresh(values: DataFrame, at: int = 0) -> DataFrame:
+    """A frontier of values that are known for the first time."""
+    more = {"diff": F.col("value"), "fresh": F.lit(1).cast("long"), "round": F.lit(at).cast("long")}
+    return values.withColumns(more)
+
+
 def compute_values(
     inputs: DataFrame, known: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Repeat the step until nothing new is known. Given values are never replaced.
 
     Level-synchronous: a node stays unknown until the inputs it needs are known, so a cycle
-    without a given value stays unknown. Only nodes next to a value found in the previous
-    round are evaluated again. (keys, node, value, computed).
+    without a given value stays unknown. A round reads the edges beside the values found in the previous
+    round and the kept state of the nodes there. (keys, node, value, computed).
     """
     keys = list(keys)
     scratch = Scratch(inputs.sparkSession, "propagate")
-    inputs = scratch.save(inputs, "inputs")
-    on = [k for k in edge_keys(inputs) if k in keys]
-    hub = hot_keys(inputs, on + ["input"])
-    hot = hub.withColumnRenamed("input", "_input") if hub is not None else None
+    work = Propagation(inputs, keys, scratch)
     given = known.filter("value is not null").select(*keys, "node", F.col("value").cast("double").alias("value"))
-    done = [scratch.save(given.withColumn("computed", F.lit(False)), "given")]
-    frontier = done[0]
-    while True:
-        touched = frontier.select(*on, F.col("node").alias("input")).distinct()
-        targets = skew_join(inputs, touched, on + ["input"], "left_semi", hot=hub if hub is not None else False).select(*on, "node").distinct()
-        new = (
-            propagate(inputs.join(targets, on + ["node"], "left_semi"), union_all(done), keys, hot)
-            .join(union_all(done).select(*keys, "node"), keys + ["node"], "left_anti")
-            .select(*keys, "node", "value", F.lit(True).alias("computed"))
-        )
-        frontier = scratch.save(new, "round")
-        if frontier.isEmpty():
-            return union_all(done)
-        done.append(frontier)
+    given, n = scratch.save_counted(given, "given")
+    work.give(given, n)
+    found = work.run(fresh(given)) if n else []
+    computed = [f.select(*keys, "node", "value", F.lit(True).alias("computed")) for f in found]
+    return union_all([given.withColumn("computed", F.lit(False)), *computed])
 
 
 def cascade(definitions: DataFrame, values: DataFrame) -> DataFrame:
     """Linear definitions between codes: ``definitions(code, term, coefficient)`` reads
-    code = sum of coefficient x term. A definition with one unknown term is solved for it."""
+    code = sum of coefficient x term. A definition with one unknown term is solved for it.
+
+    What is kept of an equation is the sum of its known terms, their number and the exclusive or of their variables' hashes: when one variable
+    is left, the exclusive or of all names it. A round reads the equations that hold a variable found in the round before.
+    """
     scratch = Scratch(definitions.sparkSession, "cascade")
-    n = definitions.groupBy("code").agg(F.count(F.lit(1)).alias("_n"))
     # every equation as one row per variable: sum of coefficient x variable = 0
     terms = definitions.select(F.col("code").alias("eq"), F.col("term").alias("node"), F.col("coefficient").cast("double"))
-    lhs = n.select(F.col("code").alias("eq"), F.col("code").alias("node"), F.lit(-1.0).alias("coefficient"))
+    lhs = definitions.select(F.col("code").alias("eq"), F.col("code").alias("node"), F.lit(-1.0).alias("coefficient")).distinct()
     rows = terms.unionByName(lhs).groupBy("eq", "node").agg(F.sum("coefficient").alias("coefficient"))
-    sizes = rows.groupBy("eq").agg(F.count(F.lit(1)).alias("size"))
-    rows = scratch.save(rows.join(sizes, "eq"), "equations")
-    known = scratch.save(values.select("node", F.col("value").cast("double").alias("value")), "given")
-    done = [known]
-    while True:
-        all_known = union_all(done)
-        state = skew_join(rows, all_known, ["node"], "left")
-        sums = state.groupBy("eq").agg(
-            F.sum(F.when(F.col("value").isNotNull(), F.col("coefficient") * F.col("value"))).alias("_sum"),
-            F.count("value").alias("_have"),
-            F.max("size").alias("_size"),
-            F.max(F.when(F.col("value").isNull(), F.col("node"))).alias("node"),
-            F.max(F.when(F.col("value").isNull(), F.col("coefficient"))).alias("_c"),
-        )
-        new = (
-            sums.filter((F.col("_have") == F.col("_size") - 1) & (F.col("_c") != 0))
-            .select("node", F.try_divide(-F.coalesce("_sum", F.lit(0.0)), F.col("_c")).alias("value"), "eq")
-            .groupBy("node")
-            .agg(F.min_by("value", "eq").alias("value"))
-        )
-        found = scratch.save(new, "round")
-        if found.isEmpty():
-            return union_all(done)
-        done.append(found)
+    rows = rows.withColumn("_hash", F.xxhash64("node"))
+    sizes = rows.groupBy("eq").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("_hash").alias("all"))
+    rows = scratch.save(skew_join(rows, sizes, ["eq"]), "equations")
+    hot = hot_keys(rows, ["node"])
+    columns = {"sum": ("double", F.sum("sum")), "have": ("long", F.sum("have")), "seen": ("long", F.bit_xor("seen"))}
+    state = KeptState(scratch, ["eq"], columns, "equation")
+    names = KeptState(scratch, ["node"], {"known": ("boolean", F.max("known"))}, "variable")
+    given, n = scratch.save_counted(values.select("node", F.col("value").cast("double").alias("value")), "given")
+    done, frontier = [given], given
+    while n:
+        names.append(frontier.select("node", F.lit(True).alias("known")), n)
+        near = skew_join(rows, frontier, ["node"], hot=hot if hot is not None else False)
+        delta = near.groupBy("eq").agg(
+            F.sum(F.col("coefficient") * F.col("value")).alias("sum"), F.count(F.lit(1)).alias("have"), F.bit_xor("_hash").alias("seen"),
+            F.max("size").alias("size"), F.max("all").alias("all"),
+        )
+        delta, reached = scratch.save_counted(delta, "delta")
+        if not reached:
+            break
+        both = state.beside(delta)
+        none = F.lit(0).cast("long")
+        both = both.select(
+            "eq", "sum", "have", "seen",
+            (F.col("sum") + F.coalesce("old_sum", F.lit(0.0))).alias("_sum"),
+            (F.col("size") - F.col("have") - F.coalesce("old_have", none)).alias("_left"),
+            F.col("all").bitwiseXOR(F.col("seen")).bitwiseXOR(F.coalesce("old_seen", none)).alias("_hash"),
+        )
+        both, touched = scratch.save_counted(both, "touched")
+        state.append(both.select("eq", "sum", "have", "seen"), touched)
+        last = rows.select("eq", "_hash", "node", "coefficient").join(both.filter("_left = 1"), ["eq", "_hash"]).filter("coefficient <> 0")
+        # several equations may name one variable: the first in name order gives its value
+        new = last.groupBy("node").agg(F.min_by(F.try_divide(-F.col("_sum"), F.col("coefficient")), F.col("eq")).alias("value"))
+        new = names.beside(scratch.save(new, "ready")).filter("old_known is null").select("node", "value")
+        frontier, n = scratch.save_counted(new, "round")
+        if n:
+            done.append(frontier)
+        if len(done) > MOST_TABLES:
+            done = [scratch.save(union_all(done), "found")]
+    return union_all(done)
 
 
 # -- checks -----------------------------------------------------------------------------

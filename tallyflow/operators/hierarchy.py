@@ -172,47 +172,64 @@ def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, height): longest way down to a leaf. A cycle raises ``ValueError``."""
     scratch = scratch or Scratch(edges.sparkSession, "heights")
     step = edges.select("parent", "child").distinct()
-    level = scratch.save(step.select(F.col("parent").alias("node")).distinct(), "above-1")
     nodes = step.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
     levels, size = [nodes.withColumn("height", F.lit(0))], -1
-    while True:
-        n = level.count()
-        if n == 0:
-            break
+    level, n = scratch.save_counted(step.select(F.col("parent").alias("node")).distinct(), "above-1")
+    while n:
         if n == size:
             raise ValueError("the hierarchy has a cycle")
         size = n
         levels.append(level.withColumn("height", F.lit(len(levels))))
-        level = scratch.save(
-            step.join(level.withColumnRenamed("node", "child"), "child", "left_semi")
-            .select(F.col("parent").alias("node"))
-            .distinct(),
-            f"above-{len(levels)}",
-        )
+        above = step.join(level.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+        level, n = scratch.save_counted(above, f"above-{len(levels)}")
     return scratch.save(union_all(levels).groupBy("node").agg(F.max("height").alias("height")), "heights")
 
 
 # -- roll-up ----------------------------------------------------------------------------
-def level_sums(edges: DataFrame, known: DataFrame, keys: Sequence[str], policy: str, hot=None) -> DataFrame:
-    """Sum of weight x value of the known children per (keys, parent).
+class Levels:
+    """A hierarchy by height, with what its sweeps share: the height of every node and edges that know the heights of both ends."""
+
+    def __init__(self, edges: DataFrame, scratch: Scratch, label: str = "tree"):
+        self.scratch, self.label = scratch, label
+        self.tops = heights(edges, scratch)
+        self.top = self.tops.agg(F.max("height")).first()[0] or 0
+        over = self.tops.select(F.col("node").alias("parent"), "height")
+        under = self.tops.select(F.col("node").alias("child"), F.col("height").alias("below"))
+        rows = with_child_counts(edges.select("parent", "child", F.coalesce("weight", F.lit(1.0)).alias("weight"))).join(over, "parent").join(under, "child")
+        self.edges = scratch.save_by(rows, f"{label}-edges", "below")
+        self.hot = hot_keys(self.edges, ["child"])
+
+    def sweep(self, keys: Sequence[str], policy: str) -> Sweep:
+        return Sweep(self, keys, policy)
+
+
+class Sweep:
+    """One bottom-up pass. The values of a level are read once, when they are added: they leave their share of every parent's
+    sum, addressed to the parent's height, where the level of that height finds it."""
+
+    def __init__(self, tree: Levels, keys: Sequence[str], policy: str):
+        if policy not in ("Invalidate", "UseZero"):
+            raise ValueError(f"unknown missing value policy {policy}")
+        self.tree, self.keys, self.policy = tree, list(keys), policy
+        self.shares: list[DataFrame] = []
+
+    def add(self, height: int, values: DataFrame) -> None:
+        """Values (keys, node, value) of all nodes of a height."""
+        edges = self.tree.edges.filter(F.col("below") == height).drop("below").withColumnRenamed("child", "node")
+        hot = self.tree.hot.withColumnRenamed("child", "node") if self.tree.hot is not None else False
+        rows = skew_join(edges, values.select(*self.keys, "node", "value"), ["node"], hot=hot)
+        shares = rows.groupBy(*self.keys, F.col("parent").alias("node"), "height").agg(
+            F.sum(F.col("value") * F.col("weight")).alias("value"), F.count(F.lit(1)).alias("known"), F.max("n_children").alias("n")
+        )
+        self.shares.append(self.tree.scratch.save_by(shares, f"{self.tree.label}-shares", "height"))
 
-    ``edges`` carries ``n_children``; Invalidate keeps a parent only when all are known.
-    """
-    keys = list(keys)
-    joined = skew_join(
-        edges.withColumnRenamed("child", "node"), known.select(*keys, "node", "value"), ["node"],
-        hot=hot if hot is not None else False,
-    )
-    sums = joined.groupBy(*keys, F.col("parent").alias("node")).agg(
-        F.sum(F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("value"),
-        F.count(F.lit(1)).alias("_known"),
-        F.max("n_children").alias("_n"),
-    )
-    if policy == "Invalidate":
-        sums = sums.filter("_known = _n")
-    elif policy != "UseZero":
-        raise ValueError(f"unknown missing value policy {policy}")
-    return sums.drop("_known", "_n")
+    def sums(self, height: int | None = None) -> DataFrame:
+        """(keys, node, value) of the parents of a height, or of all; Invalidate keeps a parent only when all its children are known."""
+        rows = [s if height is None else s.filter(F.col("height") == height) for s in self.shares]
+        sums = union_all(rows).groupBy(*self.keys, "node").agg(F.sum("value").alias("value"), F.sum("known").alias("_known"), F.max("n").alias("_n"))
+        if self.policy == "Invalidate":
+            sums = sums.filter("_known = _n")
+        return sums.drop("_known", "_n")
 
 
 def with_child_counts(edges: DataFrame) -> DataFrame:
@@ -239,32 +256,24 @@ def rollup(
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
     edges = edges.select("parent", "child", "weight")
-    tops = heights(edges, scratch)
-    top = tops.agg(F.max("height")).first()[0] or 0
-    leveled = scratch.save(
-        with_child_counts(edges).join(tops.select(F.col("node").alias("parent"), "height"), "parent"), "edges"
-    )
-    hot = hot_keys(leveled, ["child"])
-    own = scratch.save(
-        values.filter("value is not null")
-        .select(*keys, "node", F.col("value").cast("double").alias("value"))
-        .join(tops, "node", "left")
-        .withColumn("height", F.coalesce("height", F.lit(0))),
-        "own",
-    )
-    done = [own.filter("height = 0").select(*keys, "node", "value", F.lit(False).alias("computed"))]
-    for h in range(1, top + 1):
-        sums = level_sums(leveled.filter(F.col("height") == h), union_all(done), keys, policy, hot)
+    tree = Levels(edges, scratch)
+    own = values.filter("value is not null").select(*keys, "node", F.col("value").cast("double").alias("value"))
+    own = own.join(tree.tops, "node", "left").withColumn("height", F.coalesce("height", F.lit(0)))
+    own = scratch.save_by(own, "own", "height")
+    sweep = tree.sweep(keys, policy)
+
+    def level(h: int) -> DataFrame:
+        sums = sweep.sums(h)
         mine = own.filter(F.col("height") == h).select(*keys, "node", F.col("value").alias("_own"))
-        prefer_own = conflict == "TakeUpper"
-        first, second = ("_own", "value") if prefer_own else ("value", "_own")
-        level = sums.join(mine, keys + ["node"], "full_outer").select(
-            *keys,
-            "node",
-            F.coalesce(first, second).alias("value"),
-            (F.col("_own").isNull() if prefer_own else F.col("value").isNotNull()).alias("computed"),
-        )
-        done.append(scratch.save(level, f"level-{h}"))
+        first, second = ("_own", "value") if conflict == "TakeUpper" else ("value", "_own")
+        computed = F.col("_own").isNull() if conflict == "TakeUpper" else F.col("value").isNotNull()
+        both = sums.join(mine, keys + ["node"], "full_outer")
+        return both.select(*keys, "node", F.coalesce(first, second).alias("value"), computed.alias("computed"))
+
+    done = [own.filter("height = 0").select(*keys, "node", "value", F.lit(False).alias("computed"))]
+    for h in range(1, tree.top + 1):
+        sweep.add(h - 1, done[-1])
+        done.append(scratch.save(level(h), f"level-{h}"))
     return union_all(done)
 
 

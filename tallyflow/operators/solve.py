@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.operators.graph import computation_edges, edge_keys, propagate
-from tallyflow.operators.hierarchy import heights, level_sums, with_child_counts
+from tallyflow.operators.graph import Propagation, computation_edges, edge_keys, fresh
+from tallyflow.operators.hierarchy import Levels
+from tallyflow.operators.incremental import MOST_TABLES, KeptState
 from tallyflow.operators.issues import issue, source_priority
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
 
-MERGE_AFTER = 8  # tables of a pass that are then written as one
 KEYS = ["scenario", "period"]
 STATE = KEYS + ["node", "value", "computed", "source", "observer", "direct", "seq"]
 AGGREGATIONS = ("InterfaceTypeAggregation", "PartOfAggregation")
@@ -154,21 +154,24 @@ class _Solver:
         self.policies, self.default = policies, default
         self.seq = 0
         self.own: dict[str, list[DataFrame]] = {}  # values computed by each source
+        self.told: dict[str, DataFrame] = {}  # values in force at the last pass of each graph
+        self.clashed = False
+        self.replaced = False  # may a value in force have been replaced?
         self.conflicts: list[DataFrame] = []
 
     # every new row: state columns of the value in force, has_conflict, dismissed struct
     def settle(self, candidates: DataFrame, existing: DataFrame, source: str) -> DataFrame:
-        """Candidates (keys, node, value, direct) against the values in force."""
+        """Candidates (keys, node, value, direct, seq) against the values in force."""
         old = F.struct(*STATE[3:])
         have = existing.select(*KEYS, "node", old.alias("_old"))
-        joined = candidates.join(have, KEYS + ["node"], "left")
+        joined = candidates.withColumn("seq", F.col("seq").cast("int")).join(have, KEYS + ["node"], "left")
         new = F.struct(
             F.col("value"),
             F.lit(True).alias("computed"),
             F.lit(source).alias("source"),
             F.lit(None).cast("string").alias("observer"),
             F.col("direct"),
-            F.lit(self.seq).alias("seq"),
+            F.col("seq"),
         )
         wins = _per_scenario(
             self.policies,
@@ -195,54 +198,56 @@ class _Solver:
         return new.join(union_all([t.select(*KEYS, "node") for t in tables]), KEYS + ["node"], "left_anti")
 
     def graph_pass(
-        self, source: str, inputs: DataFrame, hot, results: DataFrame, changed: list[DataFrame]
+        self, source: str, work: Propagation, results: DataFrame, changed: list[DataFrame], active: DataFrame
     ) -> list[DataFrame]:
-        """Rounds over one graph, looking only at the nodes next to a changed value."""
+        """Rounds over one graph. What the source knows of its nodes is kept from pass to pass; it is told the values that
+        were set since its last pass, or, once values in force may be replaced, those that differ from what it was told."""
         mine = self.own[source]
-        known0 = self.overlay(results, mine)
-        on = edge_keys(inputs)
-        found: list[DataFrame] = []
-        frontier = union_all([c.select(*KEYS, "node") for c in changed])
-        while True:
-            self.seq += 1
-            touched = frontier.select(*on, F.col("node").alias("input")).distinct()
-            targets = inputs.join(touched, on + ["input"], "left_semi").select(*on, "node").distinct()
-            part = inputs.join(targets, on + ["node"], "left_semi")
-            known = self.overlay(known0, found)
-            new = propagate(part, known, KEYS, hot)
-            new = self.without(new, (*mine, *found))
-            new = self.scratch.save(self.settle(new, results, source), source)
-            if new.isEmpty():
-                return found
-            if len(found) >= MERGE_AFTER:  # the plan of a round stays as large as that of the first
-                found = [self.scratch.save(union_all(found), source)]
-            found.append(new)
-            frontier = new
+        if self.replaced:
+            now = self.without(results.select(*KEYS, "node", "value"), mine)
+            before = self.told.get(source, results.limit(0)).select(*KEYS, "node", F.col("value").alias("_before"))
+            told = now.join(before, KEYS + ["node"], "left").filter("_before is null or _before <> value")
+            told = told.withColumn("diff", F.col("value") - F.coalesce("_before", F.lit(0.0))).withColumn("fresh", F.col("_before").isNull().cast("long"))
+            told, n = self.scratch.save_counted(told.drop("_before").withColumn("round", F.lit(work.round).cast("long")), f"{source}-told")
+            if not n:
+                return []
+        else:  # written tables as they are
+            told = fresh(union_all([c.select(*KEYS, "node", "value") for c in changed]).join(active, KEYS, "left_semi"), work.round)
+            n = 1
+        self.told[source] = results
+        work.bring(told, n)
+        since = self.seq - work.round
+        found = work.run(told)
+        if not found:
+            return []
+        new = union_all(found).select(*KEYS, "node", "value", "direct", (F.lit(since) + F.col("round")).alias("seq"))
+        self.seq = since + work.round
+        return [self.scratch.save(self.settle(new, results, source), source)]
 
     def level_pass(
-        self, source: str, leveled: DataFrame, top: int, tops: DataFrame, hot, results: DataFrame, phase: str,
-        changed: list[DataFrame] | None,
+        self, source: str, tree: Levels, results: DataFrame, phase: str, changed: list[DataFrame] | None
     ) -> list[DataFrame]:
         """One bottom-up sweep; left out when no changed value lies in the hierarchy."""
         if changed is not None:
             moved = union_all([c.select("node") for c in changed])
-            if moved.join(tops, "node", "left_semi").isEmpty():
+            if moved.join(tree.tops, "node", "left_semi").isEmpty():
                 return []
         mine = self.own[source]
-        base = self.overlay(results, mine).join(tops, "node")
-        base = self.scratch.save(base, f"{source}-base")
-        done = [base.filter("height = 0").select(*KEYS, "node", "value")]
+        base = self.overlay(results, mine).join(tree.tops, "node")
+        base = self.scratch.save_by(base, f"{source}-base", "height")
+        sweep = tree.sweep(KEYS, phase)
+        sweep.add(0, base.filter("height = 0").select(*KEYS, "node", "value"))
         found: list[DataFrame] = []
-        for h in range(1, top + 1):
+        for h in range(1, tree.top + 1):
             self.seq += 1
-            sums = level_sums(leveled.filter(F.col("height") == h), union_all(done), KEYS, phase, hot)
             here = base.filter(F.col("height") == h).drop("height")
-            fresh = self.without(sums.withColumn("direct", F.lit(True)), mine)
-            new = self.scratch.save(self.settle(fresh, here, source), source)
-            if not new.isEmpty():
+            fresh_ = self.without(sweep.sums(h).withColumns({"direct": F.lit(True), "seq": F.lit(self.seq)}), mine)
+            new, n = self.scratch.save_counted(self.settle(fresh_, here, source), source)
+            if n:
                 found.append(new)
                 here = self.overlay(here, [new])
-            done.append(here.select(*KEYS, "node", "value"))
+            if h < tree.top:
+                sweep.add(h, here.select(*KEYS, "node", "value"))
         return found
 
 
@@ -281,12 +286,8 @@ def solve(
     passes: list[tuple[str, Callable[[DataFrame, str, list[DataFrame] | None], list[DataFrame]]]] = []
     for source, edges in (("Flow", network.flow), ("Scale", network.scale), ("ScaleChange", network.scale_change)):
         if edges is not None:
-            inputs = s.scratch.save(computation_edges(edges), f"{source}-inputs")
-            hot = hot_keys(inputs, edge_keys(inputs) + ["input"])
-            hot = hot.withColumnRenamed("input", "_input") if hot is not None else None
-            passes.append(
-                (source, lambda r, phase, changed, a=source, b=inputs, c=hot: s.graph_pass(a, b, c, r, changed))
-            )
+            work = Propagation(computation_edges(edges), KEYS, s.scratch, source)
+            passes.append((source, lambda r, phase, changed, active, a=source, b=work: s.graph_pass(a, b, r, changed, active)))
     for source, edges in (("InterfaceTypeAggregation", network.type_edges), ("PartOfAggregation", network.part_of)):
         if edges is not None:
             if "weight" not in edges.columns:
@@ -294,23 +295,8 @@ def solve(
             if "scenario" in edges.columns:
                 raise ValueError("hierarchy weights per scenario: use scenario_part_of")
             edges = edges.select("parent", "child", "weight")
-            tops = heights(edges, s.scratch)
-            top = tops.agg(F.max("height")).first()[0] or 0
-            leveled = s.scratch.save(
-                with_child_counts(edges).join(
-                    tops.select(F.col("node").alias("parent"), "height"), "parent"
-                ),
-                f"{source}-edges",
-            )
-            hot = hot_keys(leveled.withColumnRenamed("child", "node"), ["node"])
-            passes.append(
-                (
-                    source,
-                    lambda r, phase, changed, a=source, b=leveled, c=top, d=tops, e=hot: s.level_pass(
-                        a, b, c, d, e, r, phase, changed
-                    ),
-                )
-            )
+            tree = Levels(edges, s.scratch, source)
+            passes.append((source, lambda r, phase, changed, active, a=source, b=tree: s.level_pass(a, b, r, phase, changed)))
     s.own = {source: [] for source, _ in passes}
     # values set since the last pass of each source: a pass without any is skipped
     changed: dict[str, list[DataFrame]] = {source: [results] for source, _ in passes}
@@ -320,7 +306,8 @@ def solve(
     phases = ["Invalidate"]
     if zero or default.missing == "UseZero":
         phases.append("UseZero")
-    clashed = False
+    # values in force as written tables: nothing is copied while no value is replaced
+    frames: list[DataFrame] = [results]
     for phase in phases:
         active = groups
         if phase == "UseZero":
@@ -329,33 +316,37 @@ def solve(
                 else groups if default.missing == "UseZero"
                 else groups.filter(F.col("scenario").isin(zero))
             )
-        counts = s.scratch.save(results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
-        first_round = True
-        while not active.isEmpty():
-            frozen = results.join(active, KEYS, "left_anti")
-            live = results.join(active, KEYS, "left_semi")
+        first_round, left = True, 0 if active.isEmpty() else 1
+        while left:
+            live = union_all(frames).join(active, KEYS, "left_semi")
+            grown: list[DataFrame] = []  # groups with a node that had no value
             for source, run in passes:
                 # a new policy concerns every node of a hierarchy, not only changed ones
                 sweep = first_round and source in AGGREGATIONS
                 seen, changed[source] = changed[source], []
-                found = run(live, phase, None if sweep else seen) if seen or sweep else []
+                found = run(live, phase, None if sweep else seen, active) if seen or sweep else []
                 if found:
                     for other in changed:
                         if other != source:
                             changed[other] = changed[other] + found
-                    lost = union_all(found).filter("lost is not null")
+                    new = union_all(found)
+                    grown.append(new.filter("lost is null").select(*KEYS))
+                    lost = new.filter("lost is not null")
                     if not lost.isEmpty():
-                        clashed = True
+                        s.clashed = s.replaced = True
                         s.conflicts.append(lost)
                     s.own[source] = s.own[source] + [f.select(*STATE) for f in found]
-                if clashed:
+                if s.clashed:
                     # values of this source are in force again, as after each of its passes
                     mine = [m.join(active, KEYS, "left_semi") for m in s.own[source]]
                     live = s.scratch.save(s.overlay(live, mine), "live")
-                elif found:
+                elif found and s.replaced:
                     live = live.unionByName(union_all([f.select(*STATE) for f in found]))
+                elif found:
+                    frames += [f.select(*STATE) for f in found]
+                    live = union_all(frames).join(active, KEYS, "left_semi")
             if pending is not None and sibling is not None:
-                evaluated = s.scratch.save(
+                evaluated, n = s.scratch.save_counted(
                     sibling(pending.join(active, KEYS, "left_semi"), live)
                     .filter("value is not null")
                     .select(
@@ -364,23 +355,23 @@ def solve(
                     ),
                     "siblings",
                 )
-                live = s.overlay(live, [evaluated])
-                if not evaluated.isEmpty():
-                    changed = {source: frames + [evaluated] for source, frames in changed.items()}
-                pending = s.scratch.save(
-                    pending.join(evaluated.select(*KEYS, "node"), KEYS + ["node"], "left_anti"), "pending"
-                )
+                if n:
+                    s.replaced = True
+                    grown.append(evaluated.join(live.select(*KEYS, "node"), KEYS + ["node"], "left_anti").select(*KEYS))
+                    live = s.overlay(live, [evaluated])
+                    changed = {source: frames_ + [evaluated] for source, frames_ in changed.items()}
+                    pending = s.scratch.save(
+                        pending.join(evaluated.select(*KEYS, "node"), KEYS + ["node"], "left_anti"), "pending"
+                    )
             first_round = False
-            if not any(changed.values()):
-                results = s.scratch.save(frozen.unionByName(live), "results")
+            if s.replaced:
+                frames = [s.scratch.save(union_all(frames).join(active, KEYS, "left_anti").unionByName(live), "results")]
+            elif len(frames) > MOST_TABLES:
+                frames = [s.scratch.save(union_all(frames), "results")]
+            if not grown or not any(changed.values()):
                 break
-            results = s.scratch.save(frozen.unionByName(live), "results")
-            grown = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).join(
-                counts.select(*KEYS, F.col("n").alias("_m")), KEYS
-            )
-            grown = s.scratch.save(grown.withColumn("_grew", F.col("n") > F.col("_m")), "counts")
-            active = grown.filter("_grew").select(*KEYS).join(active, KEYS, "left_semi")
-            counts = grown.select(*KEYS, "n")
+            active, left = s.scratch.save_counted(union_all(grown).distinct(), "active")
+    results = union_all(frames)
 
     if s.conflicts:
         log = union_all(s.conflicts)
@@ -415,6 +406,54 @@ def scenario_part_of(network: Network, observations: DataFrame, scenarios: Seque
 INTERNAL_SUBSYSTEMS = ("local", "environment")
 
 
+class _ScopeSums:
+    """What is known of the internal and external parts of each node's children in one structure, kept between the rounds."""
+
+    def __init__(self, scratch: Scratch, label: str, edges: DataFrame, totals: DataFrame):
+        self.scratch, self.label = scratch, label
+        on = edge_keys(edges) + ["child"]
+        total = totals.select(*KEYS, F.col("node").alias("child"), F.col("value").alias("total"))
+        rows = skew_join(edges, total, on, hot=hot_keys(edges, on) or False)
+        self.rows = scratch.save(rows.select(*KEYS, "node", "child", "weight", "same", "total"), f"{label}-children")
+        self.hot = hot_keys(self.rows, [*KEYS, "child"]) or False
+        columns = {"n": ("long", F.max("n")), "have": ("long", F.sum("have")), "internal": ("double", F.sum("internal")), "external": ("double", F.sum("external"))}
+        self.state = KeptState(scratch, [*KEYS, "node"], columns, f"scope-{label}")
+        self.told: int | None = None
+
+    def tell(self, done: list[DataFrame]) -> DataFrame | None:
+        """Nodes (keys, node, internal, external, source) all of whose children are settled, after the parts of ``done``."""
+        frames = []
+        if self.told is None:  # children in another system count as external from the start
+            self.told = 0
+            other = F.when(~F.col("same"), 1).otherwise(0).cast("long")
+            frames.append(self.rows.select(*KEYS, "node", other.alias("have"), F.lit(None).cast("double").alias("internal"), F.when(~F.col("same"), F.col("weight") * F.col("total")).alias("external")))
+        if done[self.told :]:
+            parts = union_all(done[self.told :]).select(*KEYS, F.col("node").alias("child"), "internal", "external")
+            near = skew_join(self.rows.filter("same").select(*KEYS, "node", "child", "weight"), parts, [*KEYS, "child"], hot=self.hot)
+            one = F.lit(1).cast("long").alias("have")
+            frames.append(near.select(*KEYS, "node", one, (F.col("weight") * F.col("internal")).alias("internal"), (F.col("weight") * F.col("external")).alias("external")))
+        self.told = len(done)
+        if not frames:
+            return None
+        first = not self.state.tables
+        delta = union_all(frames).groupBy(*KEYS, "node").agg(F.sum("have").alias("have"), F.sum("internal").alias("internal"), F.sum("external").alias("external"))
+        if first:
+            delta = delta.join(self.rows.groupBy(*KEYS, "node").agg(F.count(F.lit(1)).alias("n")), [*KEYS, "node"])
+        delta, n = self.scratch.save_counted(delta, f"scope-{self.label}-delta")
+        if not n:
+            return None
+        both = self.state.beside(delta)
+        self.state.append(delta, n)
+
+        def total(c: str) -> Column:
+            return F.when(F.col(c).isNull(), F.col(f"old_{c}")).otherwise(F.col(c) + F.coalesce(f"old_{c}", F.lit(0.0)))
+
+        have = F.col("have") + F.coalesce("old_have", F.lit(0))
+        ready = both.filter(have == (F.col("n") if first else F.col("old_n")))
+        ready = ready.select(*KEYS, "node", total("internal").alias("internal"), total("external").alias("external"), F.lit(self.label).alias("source"))
+        return self.scratch.save(ready.filter("internal is not null or external is not null"), f"scope-{self.label}-ready")
+
+
 def scope_split(values: DataFrame, network: Network, nodes: DataFrame) -> DataFrame:
     """Internal and external part of every result.
 
@@ -448,9 +487,9 @@ def scope_split(values: DataFrame, network: Network, nodes: DataFrame) -> DataFr
             ),
             label,
         )
-        on = edge_keys(e) + ["child"]
-        return label, e, hot_keys(e, on)
+        return _ScopeSums(scratch, label, e, totals)
 
+    totals = scratch.save(values.select(*KEYS, "node", "value", "computed", "source"), "totals")
     normal = [
         structure(network.flow, "dst", "src", "weight", "Flow"),
         structure(network.part_of, "parent", "child", "weight", "PartOfAggregation"),
@@ -459,46 +498,36 @@ def scope_split(values: DataFrame, network: Network, nodes: DataFrame) -> DataFr
     normal = [n for n in normal if n is not None]
     backward = structure(network.flow, "src", "dst", "reverse_weight", "Flow")
 
-    totals = scratch.save(values.select(*KEYS, "node", "value", "computed", "source"), "totals")
     marked = totals.filter(~F.col("computed") | (F.col("source") == "Scale")).select(
         *KEYS, "node", F.col("value").alias("internal"), F.lit(None).cast("double").alias("external"), "source"
     )
-    done = [scratch.save(marked, "marked")]
+    known = KeptState(scratch, [*KEYS, "node"], {"known": ("boolean", F.max("known"))}, "scope-known")
+    done: list[DataFrame] = []
 
-    def advance(label: str, edges: DataFrame, hot) -> bool:
-        on = edge_keys(edges) + ["child"]
-        # one row per node on both sides: put together before the edges are read
-        total = totals.select(*KEYS, F.col("node").alias("child"), F.col("value").alias("total"))
-        parts = union_all(done).select(*KEYS, F.col("node").alias("child"), "internal", "external")
-        state = total.join(parts, KEYS + ["child"], "left")
-        rows = skew_join(edges, state, on, hot=hot if hot is not None else False)
-        settled = ~F.col("same") | F.col("internal").isNotNull() | F.col("external").isNotNull()
-        inner = F.when(F.col("same"), F.col("internal"))
-        outer = F.when(F.col("same"), F.col("external")).otherwise(F.col("total"))
-        sums = (
-            rows.groupBy(*KEYS, "node")
-            .agg(
-                F.every(settled).alias("_ready"),
-                F.sum(F.col("weight") * inner).alias("internal"),
-                F.sum(F.col("weight") * outer).alias("external"),
-            )
-            .filter("_ready and (internal is not null or external is not null)")
-            .select(*KEYS, "node", "internal", "external", F.lit(label).alias("source"))
-            .join(union_all(done).select(*KEYS, "node"), KEYS + ["node"], "left_anti")
-        )
-        new = scratch.save(sums, "round")
-        if new.isEmpty():
+    def settle(parts: DataFrame, n: int) -> None:
+        done.append(parts)
+        known.append(parts.select(*KEYS, "node", F.lit(True).alias("known")), n)
+
+    settle(*scratch.save_counted(marked, "marked"))
+
+    def advance(sums: _ScopeSums) -> bool:
+        """Tell a structure the parts that were found since it was asked last; does it determine new ones?"""
+        ready = sums.tell(done)
+        if ready is None:
             return False
-        done.append(new)
-        return True
+        new = known.beside(ready).filter("old_known is null").drop("old_known")
+        new, n = scratch.save_counted(new, "round")
+        if n:
+            settle(new, n)
+        return n > 0
 
     def run(structures) -> bool:
         moved_any = False
         moved = True
         while moved:
             moved = False
-            for label, edges, hot in structures:
-                while advance(label, edges, hot):
+            for sums in structures:
+                while advance(sums):
                     moved = moved_any = True
         return moved_any
 

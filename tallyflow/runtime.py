@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,6 +67,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_by(self, df: DataFrame, label: str, column: str) -> DataFrame:
+        """Written in one folder for each value of ``column``: a filter on it reads these folders only."""
+        path = self.new_path(label)
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def save_counted(self, df: DataFrame, label: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+        """The written table and how many of its rows ``counted`` holds for (all by default), counted while they are written. A repeated
+        task may be counted twice: take the number for its order of magnitude, and for exact only where it is 0."""
+        seen = Observation()
+        rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        return self.save(df.observe(seen, rows.alias("rows")), label), seen.get["rows"]
+
 
 def clean_up(spark: SparkSession) -> int:
     """Delete the intermediate tables of this application and return the number of folders. DataFrames that
@@ -146,6 +159,22 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+SORT_PARTS = 4_096  # ranges of a sorted numbering: 12 bits, beside 33 bits of places inside a range
+NUMBER_BITS = 45
+
+
+def sorted_numbers(df: DataFrame, col: str, name: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(``col``, ``name``): the distinct values with numbers below 2^45 in their order, and how many there are.
+
+    The values are sorted across the cluster in ranges; numbers have gaps between the ranges, so that no range waits for another. They are
+    written, so that every reader sees the same. A number takes the place of a text wherever only the order matters: it has a
+    fixed width, and aggregates over it stay hash aggregates."""
+    parts = min(SORT_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    ordered = values.repartitionByRange(parts, col).sortWithinPartitions(col)
+    return scratch.save_counted(ordered.withColumn(name, F.monotonically_increasing_id()), f"{name}-numbers")
+
+
 def dense_index(df: DataFrame, group: Sequence[str], col: str, name: str) -> DataFrame:
     """Number the distinct values of ``col`` 0..n-1 inside each group without a one-task window.
 
