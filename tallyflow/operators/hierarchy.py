@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyflow.operators.cycles import cyclic_parts
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
 
+NAMED = 20  # members of cycles that an error names; ``cycle_issues`` lists all
+
 
 # -- building ---------------------------------------------------------------------------
 def build_hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +172,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, up: bool = False)
 
 
 def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, height): longest way down to a leaf. A cycle raises ``ValueError``."""
+    """(node, height): longest way down to a leaf. A cycle raises ``ValueError`` that names members of cycles."""
     scratch = scratch or Scratch(edges.sparkSession, "heights")
     step = edges.select("parent", "child").distinct()
     nodes = step.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
@@ -177,7 +180,8 @@ def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     level, n = scratch.save_counted(step.select(F.col("parent").alias("node")).distinct(), "above-1")
     while n:
         if n == size:
-            raise ValueError("the hierarchy has a cycle")
+            members = [r["node"] for r in cyclic_parts(step, "parent", "child").orderBy("node").limit(NAMED).collect()]
+            raise ValueError("the hierarchy has a cycle: " + ", ".join(map(str, members)))
         size = n
         levels.append(level.withColumn("height", F.lit(len(levels))))
         above = step.join(level.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()

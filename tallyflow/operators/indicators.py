@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import in_interval
 from tallyflow.operators.filters import select_results
-from tallyflow.operators.scenarios import names_in, parameter_maps
+from tallyflow.functions.formulas import names_in
+from tallyflow.operators.scenarios import parameter_maps
 from tallyflow.runtime import skew_join, union_all
 
 LOCAL_KEYS = ["scenario", "period", "scope", "processor"]

@@ -1,28 +1,24 @@
 """Scenario parameters and expressions (J-16, J-17, P-01..P-05).
 
-Formulas are Spark SQL expression texts. Values that differ per row are grouped by their
-text: every distinct text becomes one projection, evaluated by the JVM.
+Formulas are Spark SQL expression texts. They are grouped by their shape (``functions.formulas``): a shape becomes one branch of
+a projection, evaluated by the JVM, whatever the number of texts that have it. What formulas over parameters give depends on the
+scenario and the text only: it is computed once for each distinct text of a scenario.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.functions.formulas import is_linear, linear_terms, shape, shape_sql
 from tallyflow.operators.cube import code_grid
-from tallyflow.runtime import Scratch, union_all
+from tallyflow.operators.cycles import cyclic_parts
+from tallyflow.runtime import Scratch, skew_join, union_all
 
-PAGE = 100  # distinct formulas evaluated by one projection; further ones go to further pages
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?!\s*\()\b")
-
-
-def names_in(text: str) -> set[str]:
-    """Identifiers of a formula, function names and quoted text left out, in lower case."""
-    bare = re.sub(r"'[^']*'", " ", text)
-    return {m.group(0).lower() for m in NAME.finditer(bare)}
+SHAPES = 200  # shapes evaluated by one projection; further ones go to further projections
 
 
 def scenario_grid(df: DataFrame, scenarios: Sequence[str]) -> DataFrame:
@@ -45,73 +41,140 @@ def scenario_params(params: DataFrame, overrides: DataFrame, scenarios: Sequence
     )
 
 
+def _number(text: str) -> Column:
+    return F.col(text).try_cast("double")
+
+
+def _is_formula(text: str) -> Column:
+    return F.col(text).isNotNull() & _number(text).isNull()
+
+
+def compute(shaped: DataFrame, out: str) -> DataFrame:
+    """Add ``out`` to rows with ``_f`` (a shape, see ``formulas.shape``) and ``_values``, the values of its names."""
+    shapes = [r["s"] for r in shaped.select(F.col("_f.shape").alias("s")).distinct().orderBy("s").toLocalIterator()]  # few, whatever the texts
+    if not shapes:
+        return shaped.withColumn(out, F.lit(None).cast("double"))
+
+    def value(page: list[str]) -> Column:
+        chosen = F.when(F.lit(False), F.lit(None).cast("double"))
+        for s in page:
+            sql = shape_sql(s, "_f.numbers", "_values")
+            if sql is None:
+                continue
+            branch = F.expr(sql).try_cast("double")
+            try:
+                shaped.select(branch)
+            except AnalysisException:  # no formula, or a function that nobody knows: it cannot be computed
+                continue
+            chosen = chosen.when(F.col("_f.shape") == s, branch)
+        return chosen
+
+    pages = [shapes[at : at + SHAPES] for at in range(0, len(shapes), SHAPES)]
+    if len(pages) == 1:
+        return shaped.withColumn(out, value(shapes))
+    return union_all([shaped.filter(F.col("_f.shape").isin(page)).withColumn(out, value(page)) for page in pages])
+
+
 def evaluate(df: DataFrame, text: str, variables: str, out: str) -> DataFrame:
     """Add ``out``: the number given by the formula in column ``text``.
 
     ``variables`` is a ``map<string,double>`` column with lower-case names. A name that is not
     in the map makes the result NULL, as does a formula that cannot be computed.
     """
-    number = F.col(text).try_cast("double")
-    formulas = df.filter(number.isNull() & F.col(text).isNotNull()).select(text).distinct()
-    plain = df.withColumn(out, number)
-    pages, page = [], []
-    for row in formulas.orderBy(text).toLocalIterator():  # formula texts of the definitions
-        page.append(row[text])
-        if len(page) == PAGE:
-            pages.append(page)
-            page = []
-    if page:
-        pages.append(page)
-    if not pages:
-        return plain
-    frames = [plain.filter(number.isNotNull() | F.col(text).isNull())]
-    for page in pages:
-        used = sorted(set().union(*[names_in(f) for f in page]))
-        part = df.filter(F.col(text).isin(page))
-        # a variable may be called like a column of the table: formulas see a table of their own
-        keep = [F.col(c).alias(f"_keep_{c}") for c in df.columns]
-        wide = part.select(*keep, *[F.element_at(F.col(variables), F.lit(u)).alias(u) for u in used])
-        value = None
-        for f in page:
-            cond = F.col(f"_keep_{text}") == f
-            e = F.expr(f).try_cast("double") if not f.strip().startswith("'") else F.lit(None).cast("double")
-            value = F.when(cond, e) if value is None else value.when(cond, e)
-        frames.append(wide.select(*[F.col(f"_keep_{c}").alias(c) for c in df.columns], value.alias(out)))
-    return union_all(frames)
+    plain = df.filter(~_is_formula(text)).withColumn(out, _number(text))
+    rows = df.filter(_is_formula(text)).withColumn("_f", shape(F.col(text)))
+    rows = rows.withColumn("_values", F.transform("_f.names", lambda n: F.element_at(F.col(variables), n)))
+    return plain.unionByName(compute(rows, out).drop("_f", "_values"))
+
+
+def text_values(texts: DataFrame, params: DataFrame) -> DataFrame:
+    """(scenario, text, value) of distinct formulas ``texts(scenario, text)`` over ``params(scenario, name, value)``.
+
+    Linear formulas are coefficient tables: one row for each term, joined with the parameters and summed up. Of the others each is joined with the
+    parameters that it names. No scenario's parameters ever stand in one row. A name without a value gives NULL.
+    """
+    known = params.filter("value is not null").select("scenario", F.lower("name").alias("_n"), F.col("value").alias("_x"))
+    linear = texts.filter(is_linear(F.col("text")))
+    terms = linear.select("scenario", "text", F.explode(linear_terms(F.col("text"))).alias("_t")).select("scenario", "text", F.col("_t.name").alias("_n"), "_t.coefficient")
+    joined = skew_join(terms, known, ["scenario", "_n"], "left")
+    x = F.when(F.col("_n").isNull(), F.lit(1.0)).otherwise(F.col("_x"))
+    sums = joined.groupBy("scenario", "text").agg(F.sum(F.col("coefficient") * x).alias("_s"), F.every(x.isNotNull()).alias("_all"))
+    linear = sums.select("scenario", "text", F.when(F.col("_all"), F.col("_s")).alias("value"))
+
+    rest = texts.filter(~is_linear(F.col("text"))).withColumn("_f", shape(F.col("text")))
+    named = rest.select("scenario", "text", F.posexplode("_f.names").alias("_i", "_n"))
+    named = skew_join(named, known, ["scenario", "_n"], "left").groupBy("scenario", "text").agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_v"))
+    rest = rest.join(named, ["scenario", "text"], "left").withColumn("_values", F.coalesce(F.transform("_v", lambda p: p["_x"]), F.array().cast("array<double>")))
+    return linear.unionByName(compute(rest, "value").select("scenario", "text", "value"))
+
+
+def evaluate_texts(df: DataFrame, text: str, params: DataFrame, out: str) -> DataFrame:
+    """Add ``out`` to rows with ``scenario``: a number, or the value of a formula over the scenario's parameters."""
+    texts = df.filter(_is_formula(text)).select("scenario", F.col(text).alias("text")).distinct()
+    values = Scratch(df.sparkSession, "formulas").save(text_values(texts, params), "values").withColumnRenamed("value", "_formula")
+    rows = skew_join(df, values.withColumnRenamed("text", text), ["scenario", text], "left")
+    return rows.withColumn(out, F.coalesce(_number(text), F.col("_formula"))).drop("_formula")
 
 
 def eval_params(grid: DataFrame) -> DataFrame:
     """(scenario, name, value, text): parameters that depend on parameters, level by level.
 
-    Raises ``ValueError`` naming the parameters that form a cycle or use an unknown name.
+    Raises ``ValueError`` that names the members of cycles, and the parameters that use an unknown name or depend on one of both.
     """
+    solved, issues = solve_params(grid)
+    found = [(r["rule"], r["key"]) for r in issues.select("rule", "key").distinct().orderBy("rule", "key").collect()]
+    if found:
+        raise ValueError("parameters: " + "; ".join(f"{rule}: {key}" for rule, key in found))
+    return solved
+
+
+def solve_params(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parameters with their values, issue rows): a parameter in a cycle, one that uses a name nobody declares or that cannot be computed,
+    and one that waits for such a one are told apart. Issues (level, rule, key, message) are one row a parameter and scenario."""
     scratch = Scratch(grid.sparkSession, "params")
-    typed = grid.withColumn("_k", F.lower("name"))
     is_text = F.lower("type").isin("code", "string")
-    texts = typed.filter(is_text).select("scenario", "name", F.lit(None).cast("double").alias("value"), F.col("expr").alias("text"))
-    todo = scratch.save(typed.filter(~is_text), "todo")
-    solved: list[DataFrame] = []
+    texts = grid.filter(is_text).select("scenario", "name", F.lit(None).cast("double").alias("value"), F.col("expr").alias("text"))
+    numeric = grid.filter(~is_text).withColumn("_k", F.lower("name"))
+    needs = F.array_distinct(F.when(_is_formula("expr"), shape(F.col("expr"))["names"]).otherwise(F.array().cast("array<string>")))
+    numeric = scratch.save(numeric.withColumn("_needs", needs), "todo")
+    todo, solved = numeric, []
     while True:
-        if solved:
-            entries = union_all(solved).select("scenario", F.struct(F.lower("name"), "value").alias("_e"))
-            # one map per scenario; its size is the number of declared parameters
-            maps = entries.groupBy("scenario").agg(F.map_from_entries(F.collect_list("_e")).alias("_vars"))
-            rows = todo.join(maps, "scenario", "left").withColumn(
-                "_vars", F.coalesce("_vars", F.create_map().cast("map<string,double>"))
-            )
-        else:
-            rows = todo.withColumn("_vars", F.create_map().cast("map<string,double>"))
-        new = evaluate(rows, "expr", "_vars", "_value").filter("_value is not null")
-        found = scratch.save(new.select("scenario", "name", F.col("_value").alias("value")), "solved")
-        if found.isEmpty():
+        values = union_all(solved) if solved else numeric.select("scenario", "name", F.lit(None).cast("double").alias("value")).limit(0)
+        ready = todo.filter(F.size("_needs") == 0)
+        if solved:  # only parameters all of whose names are known are computed
+            have = todo.select("scenario", "name", "expr", F.explode("_needs").alias("_k"), F.size("_needs").alias("_n"))
+            have = have.join(values.select("scenario", F.lower("name").alias("_k")), ["scenario", "_k"])
+            counts = have.groupBy("scenario", "name", "expr").agg(F.count(F.lit(1)).alias("_have"), F.max("_n").alias("_n")).filter("_have = _n")
+            ready = counts.select("scenario", "name", "expr")
+        rows = evaluate_texts(ready.select("scenario", "name", "expr"), "expr", values, "value")
+        found, n = scratch.save_counted(rows.filter("value is not null").select("scenario", "name", "value"), "solved")
+        if not n:
             break
         solved.append(found)
         todo = scratch.save(todo.join(found.select("scenario", "name"), ["scenario", "name"], "left_anti"), "todo")
-    left = [r["name"] for r in todo.select("name").distinct().orderBy("name").collect()]
-    if left:
-        raise ValueError("parameters in a cycle or with unknown names: " + ", ".join(left))
     numbers = [s.withColumn("text", F.lit(None).cast("string")) for s in solved]
-    return union_all([texts, *numbers])
+    return union_all([texts, *numbers]), _param_issues(todo, numeric, scratch)
+
+
+def _param_issues(todo: DataFrame, declared: DataFrame, scratch: Scratch) -> DataFrame:
+    key = lambda c: F.concat_ws(":", "scenario", c)
+    uses = todo.select("scenario", "_k", F.explode("_needs").alias("_u"))
+    waits = uses.join(todo.select("scenario", F.col("_k").alias("_u")), ["scenario", "_u"])
+    parts = cyclic_parts(waits.select(key("_u").alias("src"), key("_k").alias("dst")))
+    circle = scratch.save(parts.select(F.col("node").alias("_id"), F.lit(True).alias("_circle"), F.col("part").alias("_part")), "circles")
+    unknown = uses.join(declared.select("scenario", F.col("_k").alias("_u")).distinct(), ["scenario", "_u"], "left_anti")
+    unknown = unknown.groupBy("scenario", "_k").agg(F.min("_u").alias("_unknown"))
+    rows = todo.withColumn("_id", key("_k")).join(circle, "_id", "left").join(unknown, ["scenario", "_k"], "left")
+    waiting = waits.select("scenario", "_k").distinct().withColumn("_waits", F.lit(True))
+    rows = rows.join(waiting, ["scenario", "_k"], "left")
+    rule = (
+        F.when(F.col("_circle"), F.lit("parameter in a cycle"))
+        .when(F.col("_unknown").isNotNull(), F.lit("parameter uses an unknown name"))
+        .when(F.col("_waits"), F.lit("parameter depends on one without value"))
+        .otherwise(F.lit("parameter cannot be computed"))
+    )
+    message = F.coalesce(F.when(F.col("_circle"), F.col("_part")), F.col("_unknown"), F.col("expr"))
+    return rows.select(F.lit("error").alias("level"), rule.alias("rule"), key("name").alias("key"), message.alias("message"))
 
 
 def parameter_maps(params: DataFrame) -> DataFrame:
@@ -140,9 +203,7 @@ def eval_observations(
     ``obs(period, node, processor, expr, observer)``. Numbers and formulas over parameters are
     evaluated; what is left refers to sibling interfaces and is ``pending``.
     """
-    rows = scenario_grid(obs, scenarios).join(parameter_maps(params), "scenario", "left")
-    rows = rows.withColumn("vars", F.coalesce("vars", F.create_map().cast("map<string,double>")))
-    done = evaluate(rows, "expr", "vars", "value").drop("vars")
+    done = evaluate_texts(scenario_grid(obs, scenarios), "expr", params, "value")
     return done.filter("value is not null"), done.filter("value is null and expr is not null").drop("value")
 
 
@@ -150,22 +211,21 @@ def sibling_evaluator(params: DataFrame, interfaces: DataFrame) -> Callable[[Dat
     """Evaluator of pending observations for ``solve``: formulas over the interfaces of the same
     processor. ``interfaces(node, processor, interface)``; parameters keep priority."""
     sides = interfaces.select("node", F.col("processor").alias("_proc"), F.lower("interface").alias("_i"))
-    maps = parameter_maps(params)
 
     def run(pending: DataFrame, values: DataFrame) -> DataFrame:
-        texts = [r["expr"] for r in pending.select("expr").distinct().toLocalIterator()]  # formula texts
-        used = sorted(set().union(*[names_in(x) for x in texts])) if texts else [""]
-        wanted = pending.select("scenario", "period", F.col("processor").alias("_proc")).distinct()
+        place = ["scenario", "period", "_proc"]
+        used = pending.select("scenario", "period", F.col("processor").alias("_proc"), F.explode(shape(F.col("expr"))["names"]).alias("_i")).distinct()
         known = (
             values.select("scenario", "period", "node", "value")
-            .join(sides.filter(F.col("_i").isin(used)), "node")
-            .join(wanted, ["scenario", "period", "_proc"], "left_semi")
+            .join(sides, "node")
+            .join(used, [*place, "_i"], "left_semi")
             .groupBy("scenario", "period", F.col("_proc").alias("processor"))
-            # at most one entry per name that occurs in a formula, however large the processor
+            # at most one entry per name that occurs in the processor's formulas, however large it is
             .agg(F.map_from_entries(F.collect_list(F.struct("_i", "value"))).alias("_near"))
         )
+        named = params.withColumn("_i", F.lower("name")).join(used.select("_i").distinct(), "_i", "left_semi").drop("_i")
         empty = F.create_map().cast("map<string,double>")
-        rows = pending.join(known, ["scenario", "period", "processor"], "left").join(maps, "scenario", "left")
+        rows = pending.join(known, ["scenario", "period", "processor"], "left").join(parameter_maps(named), "scenario", "left")
         near, far = F.coalesce("_near", empty), F.coalesce("vars", empty)
         near = F.map_filter(near, lambda k, v: ~F.map_contains_key(far, k))
         rows = rows.withColumn("_all", F.map_concat(near, far)).drop("_near", "vars")
@@ -179,6 +239,5 @@ def eval_weights(edges: DataFrame, params: DataFrame, scenarios: Sequence[str],
     text = F.col(weight).cast("string")
     if edges.filter(text.isNotNull() & text.try_cast("double").isNull()).isEmpty():
         return edges.withColumn(weight, text.try_cast("double"))
-    rows = scenario_grid(edges.withColumn(weight, text), scenarios).join(parameter_maps(params), "scenario", "left")
-    rows = rows.withColumn("vars", F.coalesce("vars", F.create_map().cast("map<string,double>")))
-    return evaluate(rows, weight, "vars", "_w").withColumn(weight, F.col("_w")).drop("_w", "vars")
+    rows = scenario_grid(edges.withColumn(weight, text), scenarios)
+    return evaluate_texts(rows, weight, params, "_w").withColumn(weight, F.col("_w")).drop("_w")
