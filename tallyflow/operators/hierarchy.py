@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyflow.operators.cube import code_grid
 from tallyflow.operators.cycles import cyclic_parts
 from tallyflow.operators.issues import issue
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
@@ -191,19 +192,40 @@ def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 # -- roll-up ----------------------------------------------------------------------------
 class Levels:
-    """A hierarchy by height, with what its sweeps share: the height of every node and edges that know the heights of both ends."""
+    """A hierarchy by height, with what its sweeps share: the height of every node and edges that know the heights of both ends.
+
+    Edges may carry a ``scenario``: rows without one are common to all scenarios, rows with one hold in their scenario, beside the common ones or,
+    for the same parent and child, instead of them. They are kept as differences to the common edge, so that a scenario costs as
+    much as it differs. Heights are those of all edges together, an order that suits every scenario."""
 
     def __init__(self, edges: DataFrame, scratch: Scratch, label: str = "tree"):
-        self.scratch, self.label = scratch, label
+        self.scratch, self.label, self.differ = scratch, label, "scenario" in edges.columns
+        weighted = edges.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         self.tops = heights(edges, scratch)
         self.top = self.tops.agg(F.max("height")).first()[0] or 0
         over = self.tops.select(F.col("node").alias("parent"), "height")
         under = self.tops.select(F.col("node").alias("child"), F.col("height").alias("below"))
-        rows = with_child_counts(edges.select("parent", "child", F.coalesce("weight", F.lit(1.0)).alias("weight"))).join(over, "parent").join(under, "child")
-        self.edges = scratch.save_by(rows, f"{label}-edges", "below")
+        common = weighted.filter("scenario is null") if self.differ else weighted
+        rows = with_child_counts(common.select("parent", "child", "weight")).withColumn("one", F.lit(1).cast("long"))
+        if self.differ:
+            there = common.select("parent", "child", F.col("weight").alias("_common"))
+            own = weighted.filter("scenario is not null").join(there, ["parent", "child"], "left")
+            own = own.select(
+                "parent", "child", (F.col("weight") - F.coalesce("_common", F.lit(0.0))).alias("weight"), F.lit(0).cast("long").alias("n_children"),
+                F.col("_common").isNull().cast("long").alias("one"), "scenario",
+            )
+            rows = rows.withColumn("scenario", F.lit(None).cast("string")).unionByName(own)
+        self.edges = scratch.save_by(rows.join(over, "parent").join(under, "child"), f"{label}-edges", "below")
         self.hot = hot_keys(self.edges, ["child"])
+        if self.differ:
+            self.added = scratch.save(
+                self.edges.filter("scenario is not null").groupBy("scenario", F.col("parent").alias("node")).agg(F.sum("one").alias("_added")), f"{label}-added"
+            )
+            self.common = scratch.save(self.edges.filter("scenario is null").groupBy(F.col("parent").alias("node")).agg(F.max("n_children").alias("_common")), f"{label}-common")
 
     def sweep(self, keys: Sequence[str], policy: str) -> Sweep:
+        if self.differ and "scenario" not in keys:
+            raise ValueError("edges that differ between scenarios need values with a scenario")
         return Sweep(self, keys, policy)
 
 
@@ -221,9 +243,14 @@ class Sweep:
         """Values (keys, node, value) of all nodes of a height."""
         edges = self.tree.edges.filter(F.col("below") == height).drop("below").withColumnRenamed("child", "node")
         hot = self.tree.hot.withColumnRenamed("child", "node") if self.tree.hot is not None else False
-        rows = skew_join(edges, values.select(*self.keys, "node", "value"), ["node"], hot=hot)
+        values = values.select(*self.keys, "node", "value")
+        if self.tree.differ:
+            rows = skew_join(edges.filter("scenario is null").drop("scenario"), values, ["node"], hot=hot)
+            rows = rows.unionByName(skew_join(edges.filter("scenario is not null"), values, ["scenario", "node"], hot=False))
+        else:
+            rows = skew_join(edges, values, ["node"], hot=hot)
         shares = rows.groupBy(*self.keys, F.col("parent").alias("node"), "height").agg(
-            F.sum(F.col("value") * F.col("weight")).alias("value"), F.count(F.lit(1)).alias("known"), F.max("n_children").alias("n")
+            F.sum(F.col("value") * F.col("weight")).alias("value"), F.sum("one").alias("known"), F.max("n_children").alias("n")
         )
         self.shares.append(self.tree.scratch.save_by(shares, f"{self.tree.label}-shares", "height"))
 
@@ -231,9 +258,23 @@ class Sweep:
         """(keys, node, value) of the parents of a height, or of all; Invalidate keeps a parent only when all its children are known."""
         rows = [s if height is None else s.filter(F.col("height") == height) for s in self.shares]
         sums = union_all(rows).groupBy(*self.keys, "node").agg(F.sum("value").alias("value"), F.sum("known").alias("_known"), F.max("n").alias("_n"))
-        if self.policy == "Invalidate":
+        if self.policy == "Invalidate" and self.tree.differ:
+            sums = sums.join(self.tree.common, "node", "left").join(self.tree.added, ["scenario", "node"], "left")
+            zero = F.lit(0).cast("long")
+            sums = sums.filter(F.col("_known") == F.coalesce("_common", zero) + F.coalesce("_added", zero)).drop("_common", "_added")
+        elif self.policy == "Invalidate":
             sums = sums.filter("_known = _n")
-        return sums.drop("_known", "_n")
+        return sums.filter("_known > 0").drop("_known", "_n")
+
+
+def scenario_edges(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Every edge in every scenario where it holds: (scenario, parent, child, weight) from common and differing edges."""
+    if "scenario" not in edges.columns:
+        return edges
+    own = edges.filter("scenario is not null")
+    common = code_grid([edges.filter("scenario is null").drop("scenario"), scenarios.select("scenario").distinct()])
+    common = common.join(own.select("scenario", "parent", "child"), ["scenario", "parent", "child"], "left_anti")
+    return common.unionByName(own.select(*common.columns))
 
 
 def with_child_counts(edges: DataFrame) -> DataFrame:
@@ -259,7 +300,7 @@ def rollup(
     scratch = Scratch(edges.sparkSession, "rollup")
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
-    edges = edges.select("parent", "child", "weight")
+    edges = edges.select("parent", "child", "weight", *(["scenario"] if "scenario" in edges.columns else []))
     tree = Levels(edges, scratch)
     own = values.filter("value is not null").select(*keys, "node", F.col("value").cast("double").alias("value"))
     own = own.join(tree.tops, "node", "left").withColumn("height", F.coalesce("height", F.lit(0)))

@@ -234,10 +234,18 @@ def sibling_evaluator(params: DataFrame, interfaces: DataFrame) -> Callable[[Dat
     return run
 
 
-def eval_weights(edges: DataFrame, params: DataFrame, scenarios: Sequence[str], weight: str = "weight") -> DataFrame:
-    """Edge weights given as text. Edges get a ``scenario`` column only when a formula needs it."""
+def eval_weights(
+    edges: DataFrame, params: DataFrame, scenarios: Sequence[str], weight: str = "weight", shared: bool = False
+) -> DataFrame:
+    """Edge weights given as text. Edges get a ``scenario`` column only when a formula needs it; with ``shared``
+    the edges whose weight is a number stay common to all scenarios (scenario NULL)."""
     text = F.col(weight).cast("string")
     if edges.filter(text.isNotNull() & text.try_cast("double").isNull()).isEmpty():
         return edges.withColumn(weight, text.try_cast("double"))
-    rows = scenario_grid(edges.withColumn(weight, text), scenarios)
-    return evaluate_texts(rows, weight, params, "_w").withColumn(weight, F.col("_w")).drop("_w")
+    rows = edges.withColumn(weight, text)
+    plain = rows.filter(~_is_formula(weight))
+    rows = scenario_grid(rows.filter(_is_formula(weight)) if shared else rows, scenarios)
+    done = evaluate_texts(rows, weight, params, "_w").withColumn(weight, F.col("_w")).drop("_w")
+    if not shared:
+        return done
+    return done.unionByName(plain.withColumn(weight, _number(weight)).withColumn("scenario", F.lit(None).cast("string")))

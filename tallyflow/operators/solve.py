@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.operators.graph import Propagation, computation_edges, edge_keys, fresh
-from tallyflow.operators.hierarchy import Levels
+from tallyflow.operators.hierarchy import Levels, scenario_edges
 from tallyflow.operators.incremental import MOST_TABLES, KeptState
 from tallyflow.operators.issues import issue, source_priority
 from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
@@ -47,7 +47,8 @@ class Policy:
 @dataclass
 class Network:
     """Edge tables of a model. Graph edges are ``(src, dst, weight[, reverse_weight, src_split,
-    dst_split])``, hierarchy edges ``(parent, child[, weight])``; scenario / period are optional."""
+    dst_split])``, hierarchy edges ``(parent, child[, weight])``; scenario / period are optional. Hierarchy edges
+    without a scenario are common to all; those with one hold in it, instead of a common edge between the same nodes."""
 
     flow: DataFrame | None = None
     scale: DataFrame | None = None
@@ -292,9 +293,7 @@ def solve(
         if edges is not None:
             if "weight" not in edges.columns:
                 edges = edges.withColumn("weight", F.lit(1.0))
-            if "scenario" in edges.columns:
-                raise ValueError("hierarchy weights per scenario: use scenario_part_of")
-            edges = edges.select("parent", "child", "weight")
+            edges = edges.select("parent", "child", "weight", *(["scenario"] if "scenario" in edges.columns else []))
             tree = Levels(edges, s.scratch, source)
             passes.append((source, lambda r, phase, changed, active, a=source, b=tree: s.level_pass(a, b, r, phase, changed)))
     s.own = {source: [] for source, _ in passes}
@@ -391,16 +390,6 @@ def solve(
     return Solution(full, results, pending)
 
 
-def scenario_part_of(network: Network, observations: DataFrame, scenarios: Sequence[str], **kw) -> list[Solution]:
-    """Hierarchy weights that differ between scenarios: one solve per scenario of the definition."""
-    out = []
-    for name in scenarios:
-        edges = network.part_of.filter(F.col("scenario") == name).drop("scenario")
-        one = Network(network.flow, network.scale, network.scale_change, network.type_edges, edges)
-        out.append(solve(one, observations.filter(F.col("scenario") == name), **kw))
-    return out
-
-
 # -- scope ------------------------------------------------------------------------------
 # Subsystem types counted as internal.
 INTERNAL_SUBSYSTEMS = ("local", "environment")
@@ -472,6 +461,8 @@ def scope_split(values: DataFrame, network: Network, nodes: DataFrame) -> DataFr
     def structure(df: DataFrame | None, parent: str, child: str, weight: str, label: str):
         if df is None:
             return None
+        if "parent" in df.columns:
+            df = scenario_edges(df, values)
         w = F.col(weight) if weight in df.columns else F.lit(1.0)
         e = df.select(
             *[k for k in KEYS if k in df.columns],
@@ -582,8 +573,9 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
         if edges is None:
             continue
         w = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-        inputs = edges.select(F.col("parent").alias("node"), F.col("child").alias("input"), w.alias("weight"))
-        rows = skew_join(inputs, made.filter(F.col("source") == source), ["node"])
+        edges = scenario_edges(edges.withColumn("weight", w), values)
+        inputs = edges.select(*edge_keys(edges), F.col("parent").alias("node"), F.col("child").alias("input"), "weight")
+        rows = skew_join(inputs, made.filter(F.col("source") == source), [*edge_keys(edges), "node"])
         rows = skew_join(rows, origin, KEYS + ["input"]).filter("_at < _seq")
         frames.append(rows.select(*KEYS, "input", "node", "source", "weight", "_v"))
     return union_all(frames).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators import filters as Q
 from tallyflow.operators import hierarchy as H
 from tallyflow.operators import issues as V
-from tallyflow.plans.registry import Tables, inline, query
+from tallyflow.plans.registry import PAIRED_SQL, Tables, inline, paired, query
 from tallyflow.plans.trees import TREE, tag, tree
 from tallyflow.runtime import union_all
 
@@ -107,7 +107,7 @@ def issues_attribute_types(spark, sf):
 
 @query(
     "issues_flow_orientation",
-    f"""WITH RECURSIVE {TREE}, f AS (SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS src, 'N' || CAST(c_nationkey AS VARCHAR) AS dst FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_nationkey <> c_nationkey
+    f"""WITH RECURSIVE {TREE}, f AS (SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS src, 'N' || CAST(c_nationkey AS VARCHAR) AS dst FROM {PAIRED_SQL} WHERE s_nationkey <> c_nationkey
       UNION SELECT parent, child FROM tree WHERE parent LIKE 'R%'),
     o AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS node, CASE WHEN n_regionkey < 2 THEN 'Input' ELSE 'Output' END AS o FROM nation UNION ALL SELECT 'R' || CAST(r_regionkey AS VARCHAR), 'Input' FROM region),
     j AS (SELECT f.*, a.o AS ao, b.o AS bo, EXISTS (SELECT 1 FROM tree t WHERE (a.o = 'Output' AND t.parent = f.dst AND t.child = f.src) OR (a.o = 'Input' AND t.parent = f.src AND t.child = f.dst)) AS kin
@@ -117,7 +117,7 @@ def issues_attribute_types(spark, sf):
 )
 def issues_flow_orientation(spark, sf):
     t = Tables(spark, sf)
-    f = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).filter("s_nationkey <> c_nationkey").select(
+    f = paired(t).filter("s_nationkey <> c_nationkey").select(
         tag("N", "s_nationkey").alias("src"), tag("N", "c_nationkey").alias("dst")
     )
     part_of = tree(t).select("parent", "child")
@@ -195,14 +195,15 @@ def issues_pivot_too_large(spark, sf):
 
 @query(
     "issues_behave_as",
-    """WITH i AS (SELECT DISTINCT user_id AS p, event_type AS e FROM events WHERE value > 100),
+    """WITH i AS (SELECT DISTINCT user_id AS p, event_type || '_' || CAST(event_id % 10 AS VARCHAR) AS e FROM events),
     b AS (SELECT user_id AS child, max(u2) AS other FROM (SELECT DISTINCT user_id, user_id + 1 AS u2 FROM events) GROUP BY 1)
     SELECT 'error' AS level, 'behave-as interface missing' AS rule, CAST(child AS VARCHAR) || ':' || e AS key, CAST(other AS VARCHAR) AS message
     FROM b JOIN i ON i.p = other WHERE NOT EXISTS (SELECT 1 FROM i k WHERE k.p = child AND k.e = i.e)""",
 )
 def issues_behave_as(spark, sf):
     e = Tables(spark, sf).events
-    faces = e.filter("value > 100").select(F.col("user_id").alias("processor"), F.col("event_type").alias("interface")).distinct()
+    interface = F.concat_ws("_", "event_type", (F.col("event_id") % 10).cast("string"))
+    faces = e.select(F.col("user_id").alias("processor"), interface.alias("interface")).distinct()
     b = e.select(F.lit("all").alias("parent"), F.col("user_id").alias("child"), (F.col("user_id") + 1).alias("behave_as")).distinct()
     return V.behave_as_gaps(b, faces)
 

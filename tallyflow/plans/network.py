@@ -9,7 +9,7 @@ from tallyflow.operators import graph as G
 from tallyflow.operators import network as N
 from tallyflow.operators import scenarios as P
 from tallyflow.operators import solve as S
-from tallyflow.plans.registry import Tables, inline, query, rounded
+from tallyflow.plans.registry import PAIRED_SQL, Tables, inline, paired, query, rounded
 from tallyflow.plans.trees import tag
 from tallyflow.runtime import union_all
 
@@ -271,7 +271,7 @@ def _clone_model(t: Tables):
 
 
 def _scaling_rows(t: Tables):
-    return t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(
+    return paired(t).select(
         tag("C", "c_custkey").alias("invoking"), tag("S", "s_suppkey").alias("requested"), F.lit("Land").alias("invoking_interface"), F.lit("Land").alias("requested_interface"),
         F.when(F.col("s_acctbal") < 0, "Scale").when(F.col("s_acctbal") > 5000, "CloneAndScale").otherwise("CloneScaled").alias("scaling_type"), F.lit("2.5").alias("scale"), F.lit("Copy").alias("new_name"),
     )
@@ -279,8 +279,8 @@ def _scaling_rows(t: Tables):
 
 @query(
     "scalings_scale_edges",
-    """SELECT 'C' || CAST(c_custkey AS VARCHAR) || ':Land' AS src, CASE WHEN s_acctbal < 0 THEN 'S' || CAST(s_suppkey AS VARCHAR) ELSE 'C' || CAST(c_custkey AS VARCHAR) || '.Copy' END || ':Land' AS dst, '2.5' AS weight
-    FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_acctbal < 0 OR s_acctbal > 5000""",
+    f"""SELECT 'C' || CAST(c_custkey AS VARCHAR) || ':Land' AS src, CASE WHEN s_acctbal < 0 THEN 'S' || CAST(s_suppkey AS VARCHAR) ELSE 'C' || CAST(c_custkey AS VARCHAR) || '.Copy' END || ':Land' AS dst, '2.5' AS weight
+    FROM {PAIRED_SQL} WHERE s_acctbal < 0 OR s_acctbal > 5000""",
 )
 def scalings_scale_edges(spark, sf):
     t = Tables(spark, sf)
@@ -289,9 +289,9 @@ def scalings_scale_edges(spark, sf):
 
 @query(
     "scalings_observations",
-    """SELECT 'S' || CAST(s_suppkey AS VARCHAR) || ':Land' AS node, round(s_acctbal, 4) AS value, 'Land' AS relative_to FROM supplier
+    f"""SELECT 'S' || CAST(s_suppkey AS VARCHAR) || ':Land' AS node, round(s_acctbal, 4) AS value, 'Land' AS relative_to FROM supplier
     UNION ALL SELECT 'C' || CAST(c_custkey AS VARCHAR) || '.Copy:Land', round(CASE WHEN s_acctbal > 5000 THEN s_acctbal ELSE 2.5 * s_acctbal END, 4), CASE WHEN s_acctbal > 5000 THEN 'Land' END
-    FROM supplier JOIN customer ON c_custkey = s_suppkey WHERE s_acctbal >= 0""",
+    FROM {PAIRED_SQL} WHERE s_acctbal >= 0""",
 )
 def scalings_observations(spark, sf):
     t = Tables(spark, sf)
@@ -301,8 +301,8 @@ def scalings_observations(spark, sf):
 
 @query(
     "clone_subtrees",
-    """SELECT 'C' || CAST(c_custkey AS VARCHAR) || '.Copy' || s AS processor, 'N' || CAST(c_nationkey AS VARCHAR) AS system, 'Local' AS subsystem, true AS accounted
-    FROM supplier JOIN customer ON c_custkey = s_suppkey, LATERAL (SELECT unnest(['', '.Part' || CAST(s_suppkey AS VARCHAR)]) AS s) WHERE s_acctbal >= 0""",
+    f"""SELECT 'C' || CAST(c_custkey AS VARCHAR) || '.Copy' || s AS processor, 'N' || CAST(c_nationkey AS VARCHAR) AS system, 'Local' AS subsystem, true AS accounted
+    FROM {PAIRED_SQL}, LATERAL (SELECT unnest(['', '.Part' || CAST(s_suppkey AS VARCHAR)]) AS s) WHERE s_acctbal >= 0""",
 )
 def clone_subtrees(spark, sf):
     t = Tables(spark, sf)
@@ -312,13 +312,13 @@ def clone_subtrees(spark, sf):
 
 @query(
     "upscale",
-    """WITH cell AS (SELECT c_custkey, s_suppkey, c_acctbal / 10000 AS w FROM customer JOIN supplier ON c_custkey = s_suppkey)
+    f"""WITH cell AS (SELECT c_custkey, s_suppkey, c_acctbal / 10000 AS w FROM {PAIRED_SQL})
     SELECT 'C' || CAST(c_custkey AS VARCHAR) || ':Land' AS src, 'C' || CAST(c_custkey AS VARCHAR) || '.S' || CAST(s_suppkey AS VARCHAR) || ':Land' AS dst, round(w, 6) AS weight FROM cell WHERE abs(w) > 1e-6""",
 )
 def upscale(spark, sf):
     t = Tables(spark, sf)
     procs, part_of, faces, obs = _clone_model(t)
-    cells = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey")).select(F.col("c_name"), F.col("s_name"), (F.col("c_acctbal") / 10000).alias("weight"))
+    cells = paired(t).select(F.col("c_name"), F.col("s_name"), (F.col("c_acctbal") / 10000).alias("weight"))
     parents = t.customer.select(tag("C", "c_custkey").alias("processor"), "c_name")
     children = t.supplier.select(tag("S", "s_suppkey").alias("processor"), "s_name")
     out = N.upscale(cells, parents, children, ["c_name"], ["s_name"], "Land", {"processors": procs, "part_of": part_of, "interfaces": faces, "observations": obs})
@@ -539,14 +539,14 @@ def result_table(spark, sf):
 
 @query(
     "flow_edges",
-    """WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS period, o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+    f"""WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS period, o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
     SELECT 'base' AS scenario, period, 'C' || CAST(o_custkey AS VARCHAR) || ':Money' AS source, 'S' || CAST(s_suppkey AS VARCHAR) || ':Money' AS target, round(v, 2) AS value,
-      c_mktsegment AS source_level, 'supplier' AS target_level FROM r JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey""",
+      c_mktsegment AS source_level, 'supplier' AS target_level FROM r JOIN {PAIRED_SQL} ON c_custkey = o_custkey""",
 )
 def flow_edges(spark, sf):
-    """Customers pay the suppliers of their nation."""
+    """Every customer pays a supplier."""
     t = Tables(spark, sf)
-    flows = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey")).select(
+    flows = paired(t).select(
         F.concat(F.lit("x."), tag("C", "c_custkey")).alias("source_processor"), F.lit("Money").alias("source_interface"), tag("S", "s_suppkey").alias("target_processor"), F.lit("Money").alias("target_interface")
     )
     cols = (NONE("string").alias("system"), NONE("string").alias("subsystem"), NONE("string").alias("sphere"))

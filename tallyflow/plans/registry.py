@@ -37,6 +37,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+#: Every customer with one supplier, the suppliers in turn.
+PAIRED_SQL = "(SELECT * FROM (SELECT *, c_custkey % (SELECT count(*) FROM supplier) AS pick FROM customer) JOIN supplier ON s_suppkey = pick)"
+
+
+def paired(t: Tables) -> DataFrame:
+    n = t.supplier.count()
+    return t.customer.withColumn("_pick", F.col("c_custkey") % n).join(t.supplier, F.col("_pick") == F.col("s_suppkey")).drop("_pick")
+
+
 def rounded(df: DataFrame, digits: int = 4, *cols: str) -> DataFrame:
     names = cols or [c for c, t in df.dtypes if t == "double"]
     return df.withColumns({c: F.round(c, digits) for c in names})

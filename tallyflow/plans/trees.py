@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators import graph as G
 from tallyflow.operators import hierarchy as H
 from tallyflow.operators.solve import Policy, resolve_conflicts
-from tallyflow.plans.registry import Tables, inline, query, rounded
+from tallyflow.plans.registry import PAIRED_SQL, Tables, inline, paired, query, rounded
 from tallyflow.runtime import union_all
 
 # World tree: region R<k>, nation N<k>, customer C<k>.
@@ -242,11 +242,11 @@ def scale_subtree(spark, sf):
     return rounded(H.scale_subtree(v, tree(t), k), 4)
 
 
-# Links: every supplier sells to the customer with its number; both sit below their nation.
-LINK_HOPS = """
+# Links: every customer has a supplier; both sit below their nation.
+LINK_HOPS = f"""
 place AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS node, 'N' || CAST(c_nationkey AS VARCHAR) AS n, 'R' || CAST(n_regionkey AS VARCHAR) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), 'N' || CAST(s_nationkey AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR) FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-link AS (SELECT s_suppkey AS link, 'S' || CAST(s_suppkey AS VARCHAR) AS src, 'C' || CAST(c_custkey AS VARCHAR) AS dst, abs(s_acctbal) AS extension FROM supplier JOIN customer ON c_custkey = s_suppkey),
+link AS (SELECT c_custkey AS link, 'S' || CAST(s_suppkey AS VARCHAR) AS src, 'C' || CAST(c_custkey AS VARCHAR) AS dst, abs(s_acctbal) AS extension FROM {PAIRED_SQL}),
 stops AS (SELECT link, extension, CASE WHEN a.n = b.n THEN [src, dst] WHEN a.r = b.r THEN [src, a.n, b.n, dst] ELSE [src, a.n, a.r, b.r, b.n, dst] END AS s
   FROM link JOIN place a ON a.node = src JOIN place b ON b.node = dst),
 hops AS (SELECT link, extension, CAST(i AS INT) AS hop, s[i] AS src, s[i + 1] AS dst FROM (SELECT link, extension, s, unnest(range(1, len(s))) AS i FROM stops))
@@ -254,8 +254,8 @@ hops AS (SELECT link, extension, CAST(i AS INT) AS hop, s[i] AS src, s[i + 1] AS
 
 
 def _links(t: Tables):
-    links = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(
-        F.col("s_suppkey").alias("link"), tag("S", "s_suppkey").alias("src"), tag("C", "c_custkey").alias("dst"),
+    links = paired(t).select(
+        F.col("c_custkey").alias("link"), tag("S", "s_suppkey").alias("src"), tag("C", "c_custkey").alias("dst"),
         F.abs("s_acctbal").alias("extension"),
     )
     part_of = tree(t).select("parent", "child").unionByName(

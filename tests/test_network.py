@@ -236,5 +236,5 @@ def test_match_names_and_selection(spark):
 def test_weights_per_scenario(spark):
     tree = spark.createDataFrame([("s", "P", "a", 2.0), ("t", "P", "a", 5.0)], "scenario string, parent string, child string, weight double")
     obs = spark.createDataFrame([("s", "1", "a", 1.0), ("t", "1", "a", 1.0)], "scenario string, period string, node string, value double")
-    one, two = S.scenario_part_of(S.Network(part_of=tree), obs, ["s", "t"])
-    assert {(r["scenario"], r["value"]) for x in (one, two) for r in x.values.filter("node = 'P'").collect()} == {("s", 2.0), ("t", 5.0)}
+    values = S.solve(S.Network(part_of=tree), obs).values
+    assert {(r["scenario"], r["value"]) for r in values.filter("node = 'P'").collect()} == {("s", 2.0), ("t", 5.0)}
