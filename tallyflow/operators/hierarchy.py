@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from tallyflow.operators.cube import code_grid
 from tallyflow.operators.cycles import cyclic_parts
 from tallyflow.operators.issues import issue
-from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
+from tallyflow.runtime import POSITION, Scratch, declared_first, hot_keys, skew_join, union_all
 
 NAMED = 20  # members of cycles that an error names; ``cycle_issues`` lists all
 
@@ -24,7 +24,9 @@ NAMED = 20  # members of cycles that an error names; ``cycle_issues`` lists all
 # -- building ---------------------------------------------------------------------------
 def build_hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows(hierarchy, code, parent_code, ...)`` to edges plus the parents that do not exist."""
-    codes = rows.groupBy("hierarchy", F.lower("code").alias("_k")).agg(F.min("code").alias("parent"))
+    place = [POSITION] if POSITION in rows.columns else []
+    spelled = rows.select("hierarchy", F.lower("code").alias("_k"), F.col("code").alias("parent"), *place)
+    codes = declared_first(spelled, ["hierarchy", "_k"]).select("hierarchy", "_k", "parent")
     with_parent = rows.filter(F.trim(F.coalesce("parent_code", F.lit(""))) != "").withColumn(
         "_k", F.lower("parent_code")
     )

@@ -10,19 +10,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.runtime import skew_join
+from tallyflow.runtime import POSITION, declared_first, skew_join
 
 MAPPING_KEY = ["origin_dim", "origin_code", "dest_dim", "dest_code"]
 
 
 def build_mapping(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mapping table and the repeated (origin, destination) pairs, compared ignoring case."""
-    lowered = [F.lower(c).alias("_" + c) for c in MAPPING_KEY]
-    counted = rows.groupBy(*lowered).agg(
-        *[F.min(c).alias(c) for c in MAPPING_KEY],
-        F.min(F.coalesce(F.col("weight"), F.lit(1.0))).alias("weight"),
-        F.count(F.lit(1)).alias("_n"),
+    """Mapping table and the repeated (origin, destination) pairs, compared ignoring case: the first declaration counts."""
+    place = [POSITION] if POSITION in rows.columns else []
+    keyed = rows.select(
+        *[F.lower(c).alias("_" + c) for c in MAPPING_KEY], *MAPPING_KEY, F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"), *place
     )
+    counted = declared_first(keyed, ["_" + c for c in MAPPING_KEY])
     repeated = counted.filter("_n > 1").select(
         F.lit("error").alias("level"),
         F.lit("repeated mapping").alias("rule"),
@@ -93,11 +92,10 @@ def apply_mappings(
 
 
 def map_many_to_one(df: DataFrame, mapping: DataFrame, origin: str, dest: str) -> DataFrame:
-    """Left join that keeps unmatched rows; ``mapping(origin_code, dest_code)`` has one row per origin."""
-    side = (
-        mapping.groupBy(F.lower("origin_code").alias("_code"))
-        .agg(F.min("dest_code").alias(dest))
-    )
+    """Left join that keeps unmatched rows; of several rows of an origin in
+    ``mapping(origin_code, dest_code)`` the first counts."""
+    place = [POSITION] if POSITION in mapping.columns else []
+    side = declared_first(mapping.select(F.lower("origin_code").alias("_code"), F.col("dest_code").alias(dest), *place), ["_code"]).select("_code", dest)
     keyed = df.withColumn("_code", F.lower(F.col(origin).cast("string")))
     return skew_join(keyed, side, ["_code"], "left").drop("_code")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalar import multiply_text, wildcard_regex
 from tallyflow.operators.issues import issue
-from tallyflow.runtime import ROWS_PER_TASK, Scratch, hot_keys, skew_join, union_all
+from tallyflow.runtime import POSITION, ROWS_PER_TASK, Scratch, declared_first, first_value, hot_keys, skew_join, union_all
 
 NODE = lambda p="processor", i="interface": F.concat_ws(":", F.col(p), F.col(i))
 
@@ -83,10 +83,7 @@ def build_interface_types(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     in the same hierarchy."""
     base = rows.withColumn("hierarchy", F.coalesce("hierarchy", F.lit("_default")))
     rest = [c for c in base.columns if c not in ("hierarchy", "type")]
-    one = base.groupBy("hierarchy", F.lower("type").alias("_k")).agg(
-        F.min(F.struct("type", *rest)).alias("_r"), F.count(F.lit(1)).alias("_n")
-    )
-    types = one.select("hierarchy", "_k", "_r.*", "_n")
+    types = declared_first(base.withColumn("_k", F.lower("type")).select("hierarchy", "_k", "type", *rest), ["hierarchy", "_k"])
     repeated = types.filter("_n > 1").select(*issue("warning", "repeated interface type", F.col("type"), F.col("hierarchy")))
     known = types.select("hierarchy", F.col("_k").alias("_p"), F.col("type").alias("_parent"))
     orphans = (
@@ -116,11 +113,9 @@ def build_processors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     simple = ~F.col("processor").contains(".")
     rest = [c for c in rows.columns if c not in ("processor", "parent", "parent_weight", "behave_as")]
     created = r.filter(simple)
-    first = created.groupBy("_k").agg(
-        F.min(F.struct("processor", *rest)).alias("_r"),
-        F.count_if(F.col("parent").isNull()).alias("_bare"),
-    )
-    processors = first.select("_r.*", "_k").withColumn(
+    first = declared_first(created.select("_k", "processor", *rest), ["_k"]).drop("_n")
+    bare = created.groupBy("_k").agg(F.count_if(F.col("parent").isNull()).alias("_bare")).filter("_bare > 1")
+    processors = first.withColumn(
         "accounted", ~F.coalesce(F.lower("accounted").isin("no", "archetype"), F.lit(False))
     )
     names = processors.select(F.col("_k").alias("_pk"), F.col("processor").alias("_parent"))
@@ -128,15 +123,14 @@ def build_processors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     with_parent = r.filter("parent is not null")
     known_parent = with_parent.join(names, "_pk")
     bad_parent = with_parent.join(names, "_pk", "left_anti")
-    links = known_parent.filter(simple).groupBy("_pk", "_k").agg(
-        F.min("_parent").alias("parent"),
-        F.min("parent_weight").alias("weight"),
-        F.min("behave_as").alias("behave_as"),
-        F.count(F.lit(1)).alias("_n"),
-    ).join(own, "_k")
+    place = [POSITION] if POSITION in rows.columns else []
+    hung = known_parent.filter(simple).select(
+        "_pk", "_k", F.col("_parent").alias("parent"), F.col("parent_weight").alias("weight"), "behave_as", *place
+    )
+    links = declared_first(hung, ["_pk", "_k"]).join(own, "_k")
     issues = union_all(
         [
-            first.filter("_bare > 1").select(*issue("warning", "repeated declaration", F.col("_r.processor"), F.lit("skipped"))),
+            first.join(bare, "_k").select(*issue("warning", "repeated declaration", F.col("processor"), F.lit("skipped"))),
             r.filter(~simple & F.col("parent").isNull()).select(
                 *issue("warning", "name must be simple", F.col("processor"), F.lit("skipped"))
             ),
@@ -191,10 +185,10 @@ def build_interfaces(
     )
     # a later row of an interface may leave type and orientation out
     declared = r.groupBy("processor", "interface").agg(
-        F.min("type").alias("_t0"),
+        first_value(r, "type").alias("_t0"),
         F.count_distinct(F.lower("type")).alias("_nt"),
-        F.min("orientation").alias("orientation"),
-        *[F.min(c).alias(c) for c in ("sphere", "roegen_type", "opposite_subsystem")],
+        first_value(r, "orientation").alias("orientation"),
+        *[first_value(r, c).alias(c) for c in ("sphere", "roegen_type", "opposite_subsystem")],
     )
     declared = declared.withColumn("_t", F.lower(F.coalesce("_t0", "interface")))
     full = declared.join(p.withColumn("_p", F.lit(True)), "processor", "left").join(t, "_t", "left")

@@ -9,6 +9,8 @@ from tallyflow.operators import cube as C
 from tallyflow.operators import filters as Q
 from tallyflow.operators import mapping as M
 from tallyflow.plans.registry import Tables, inline, query, rounded, year_of
+from tallyflow.runtime import declared_first
+from tallyflow.sources.readers import with_position
 
 # A discount of 0 is taken as "not reported": it gives the cubes missing values.
 LINES = """
@@ -357,6 +359,22 @@ def mapping_repeated_pairs(spark, sf):
     return M.build_mapping(rows)[1]
 
 
+@query(
+    "mapping_first_declared",
+    """WITH p AS (SELECT *, row_number() OVER () AS place FROM part),
+    f AS (SELECT lower(p_type) AS k, min(place) AS place FROM p GROUP BY 1)
+    SELECT p_type AS origin_code, p_brand AS dest_code, p_size * 1.0::DOUBLE AS weight FROM p JOIN f USING (place)""",
+)
+def mapping_first_declared(spark, sf):
+    """Of the brands that a type of part has been mapped to, the one in the table's first row counts, with its weight."""
+    rows = with_position(spark.read.parquet(f"{sf}/part.parquet")).select(
+        F.lit("type").alias("origin_dim"), F.col("p_type").alias("origin_code"), F.lit("brand").alias("dest_dim"), F.col("p_brand").alias("dest_code"),
+        F.col("p_size").cast("double").alias("weight"), "position",
+    )
+    first = declared_first(rows.withColumn("_k", F.lower("origin_code")), ["_k"]).drop("_k", "_n")
+    return M.build_mapping(first)[0].select("origin_code", "dest_code", "weight")
+
+
 CODE_PAIRS = """
 src AS (SELECT DISTINCT n_name AS code FROM nation), dst AS (SELECT DISTINCT r_name AS code FROM region WHERE r_name <> 'ASIA'),
 pairs AS (SELECT n_name AS o, r_name AS d FROM nation JOIN region ON n_regionkey = r_regionkey)

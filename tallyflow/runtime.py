@@ -175,6 +175,30 @@ def sorted_numbers(df: DataFrame, col: str, name: str, scratch: Scratch) -> tupl
     return scratch.save_counted(ordered.withColumn(name, F.monotonically_increasing_id()), f"{name}-numbers")
 
 
+POSITION = "position"  # of a row in its source, see ``sources.readers.with_position``
+
+
+def declared_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of each key that is declared first, whole, with the number of declarations as ``_n``.
+
+    Rows with a ``position`` are compared by it: a hash aggregate over one long for each key, and one join that brings the winner's columns. Rows without
+    one have no order: the smallest row, column by column, stands for the first."""
+    keys = list(keys)
+    if POSITION not in rows.columns:
+        rest = [c for c in rows.columns if c not in keys]
+        one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+        return one.select(*keys, "_row.*", "_n")
+    first = rows.groupBy(*keys).agg(F.min(POSITION).alias(POSITION), F.count(F.lit(1)).alias("_n"))
+    return skew_join(rows, first, [*keys, POSITION])
+
+
+def first_value(rows: DataFrame, col: str) -> Column:
+    """Aggregate: the value of ``col`` that is declared first, nulls left out."""
+    if POSITION not in rows.columns:
+        return F.min(col)
+    return F.min_by(col, F.when(F.col(col).isNotNull(), F.col(POSITION)))
+
+
 def dense_index(df: DataFrame, group: Sequence[str], col: str, name: str) -> DataFrame:
     """Number the distinct values of ``col`` 0..n-1 inside each group without a one-task window.
 

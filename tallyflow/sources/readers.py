@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators.cube import role_of, with_roles
 from tallyflow.operators.filters import filter_dims, filter_periods, resolve_column
-from tallyflow.runtime import small_table, union_all
+from tallyflow.runtime import POSITION, Scratch, skew_join, small_table, sorted_numbers, union_all
 
 
 # -- declared cubes ---------------------------------------------------------------------
@@ -22,6 +22,24 @@ def read_cube(spark: SparkSession, path: str, roles: Mapping[str, str], fmt: str
     return bind_schema(df, roles)[0]
 
 
+def with_position(source: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """Rows of a file source with ``position``, one long that follows the order of the files' names and of the rows in them.
+
+    Parquet knows the number of a row in its file; for text formats the places of the file's splits and the order inside a task
+    take its part. Files (or splits) are numbered by a sort across the cluster: 32 bits, beside 31 for the rows of one. The result is
+    written, so that every reader of it sees the same positions; ``declared_first`` and the builders that use it take the first declaration by it."""
+    part = F.col("_metadata.file_path")
+    row = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    if fmt != "parquet":
+        part = F.concat(part, F.lit("\x00"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    scratch = Scratch(source.sparkSession, "position")
+    rows = scratch.save(source.select("*", part.alias("_part"), row.alias("_row")), "rows")
+    numbers, _ = sorted_numbers(rows, "_part", "_at", scratch)
+    place = F.shiftleft(F.shiftright("_at", 33), 20).bitwiseOR(F.col("_at").bitwiseAND((1 << 33) - 1))
+    placed = skew_join(rows, numbers, ["_part"]).withColumn(POSITION, F.shiftleft(place, 31).bitwiseOR(F.col("_row")))
+    return placed.drop("_part", "_row", "_at")
+
+
 def bind_schema(df: DataFrame, roles: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """Match columns to declared concepts ignoring case.
 

@@ -145,3 +145,36 @@ def test_codes_without_letters_on_a_timestamp(spark):
     stamps = spark.sql("SELECT timestamp(x) AS ts FROM VALUES ('2024-01-01 00:00:00'), ('2024-01-02 03:04:05') AS t(x)")
     assert filter_dims(stamps, {"ts": ["2024-01-01 00:00:00", "7"]}).count() == 1
     assert filter_dims(stamps, {"TS": ["2024-01-03 00:00:00"]}).count() == 0
+
+
+def test_the_first_declaration_counts(spark, tmp_path):
+    """Position follows the files' names and the rows in them: the first row is neither the smallest nor the first to be read."""
+    from tallyflow.operators import hierarchy, mapping, network
+    from tallyflow.runtime import declared_first
+    from tallyflow.sources.readers import with_position
+
+    (tmp_path / "b.csv").write_text("code,dest,weight\nX,late,9\n")
+    (tmp_path / "a.csv").write_text("code,dest,weight\n" + "".join(f"c{k},d{k},1\n" for k in range(500)) + "x,zebra,3\nX,apple,1\nY,only,\n")
+    rows = with_position(spark.read.option("header", True).csv(str(tmp_path)), "csv")
+    got = declared_first(rows.withColumn("k", F.lower("code")), ["k"]).filter("k in ('x', 'y')").orderBy("k").collect()
+    assert [(r["code"], r["dest"], r["weight"], r["_n"]) for r in got] == [("x", "zebra", "3", 3), ("Y", "only", None, 1)]
+    spark.createDataFrame([("m", 3), ("a", 1), ("z", 2)], "v string, n int").coalesce(1).write.parquet(str(tmp_path / "p"))
+    parquet = with_position(spark.read.parquet(str(tmp_path / "p")))
+    assert [r["v"] for r in parquet.orderBy("position").collect()] == ["m", "a", "z"]
+
+    def placed(values, schema):
+        return spark.createDataFrame([(*v, k) for k, v in enumerate(values)], schema + ", position long").repartition(3)
+
+    pairs = placed([("g", "X", "h", "Q", 2.0), ("g", "x", "h", "q", 1.0)], "origin_dim string, origin_code string, dest_dim string, dest_code string, weight double")
+    table, repeated = mapping.build_mapping(pairs)
+    assert [tuple(r) for r in table.collect()] == [("g", "X", "h", "Q", 2.0)] and repeated.count() == 1
+    side = placed([("A", "z"), ("a", "b")], "origin_code string, dest_code string")
+    assert mapping.map_many_to_one(spark.createDataFrame([("a",)], "o string"), side, "o", "d").first()["d"] == "z"
+    types = placed([(None, "Zinc", None, "kg"), (None, "zinc", None, "g")], "hierarchy string, type string, parent_type string, unit string")
+    assert network.build_interface_types(types)[0].first()["unit"] == "kg"
+    tree = placed([("h", "b", "zeta"), ("h", "zeta", None), ("h", "ZETA", None)], "hierarchy string, code string, parent_code string")
+    assert hierarchy.build_hierarchy(tree)[0].first()["parent"] == "zeta"
+    procs = placed([("P", None, "Yes", None, None), ("C", "p", "No", "2", None), ("C", "P", "Yes", "1", None)], "processor string, parent string, accounted string, parent_weight string, behave_as string")
+    processors, part_of, _ = network.build_processors(procs)
+    assert {r["processor"]: r["accounted"] for r in processors.collect()} == {"P": True, "C": False}
+    assert [(r["parent"], r["child"], r["weight"]) for r in part_of.collect()] == [("P", "C", "2")]
