@@ -3,13 +3,17 @@
 1. Each text becomes its set of distinct word shingles; one 64-bit digest pair stands for the whole set, so that
    equal sets fall together before anything is compared. A text under the smallest id of a set represents it.
 2. A signature of ``TREES * DEPTH`` minima, one byte each, is taken of each representative. Tree ``t`` of the forest is the
-   order of all signatures rotated by ``t * DEPTH``: a range-partitioned sort of the whole table.
-3. Rows that share a prefix of ``least_depth`` in one order are a region. All rows of a region are compared by their whole
-   signatures, and pairs that agree enough are near; a forest of near pairs joins what near pairs join, so that a
-   crowded region of ``n`` rows gives less than ``n`` candidates. A region of more than ``REGION`` rows is cut into blocks, and each two blocks meet.
+   order of all signatures rotated by ``t * DEPTH``: a range-partitioned sort of the whole table by the whole label.
+3. Rows that share a prefix in one order are a region. The depth of the prefix adapts: a region of more than ``REGION`` rows at a depth of
+   ``LEVELS[0]`` bytes is split by the next bytes until its parts have no more (or their labels are equal). In a region every row is compared by its whole
+   signature with the ``REGION`` rows before it, its neighbours with the longest common prefixes; a forest of near pairs joins what near
+   pairs join. Where a region was split, one row of each part stands for it in the region above, whose order is walked in the same way: what
+   belongs together but was cut meets again, and no region is compared with all pairs.
 4. Candidates are confirmed on the full sets, and links give components.
-5. A group is what candidates join. Where its links do not join all of it, all pairs of the group are compared on their full sets (in blocks
-   of ``GROUP`` rows, each two of which meet), and the links between different components are added: nothing is united but by a link, and no near pair is left out.
+5. What the forest may have cut off is found by the rarest shingles: rows of a group of candidates that links do not join, and rows of a split region that
+   holds several components, are put under the first ``n - ceil(threshold * n) + 1`` of their ``n`` shingles in the order of their frequency (two
+   sets that are alike enough share one of these). Rows of different components under one shingle that are near by their signatures are candidates,
+   all of them, and are confirmed: nothing is united but by a link, and no near pair of these rows is left out.
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
@@ -28,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.texts import arrow_schema, slices
-from tallyflow.runtime import Scratch
+from tallyflow.runtime import Scratch, skew_join
 
 TREES, DEPTH = 16, 8
-LEAST_DEPTH = 4
-REGION = 2048  # rows of a region that are compared at once
-GROUP = 256  # rows of a group whose full sets are compared at once
-COLUMNS = 4096  # shingles counted at once
+LEVELS = (4, 5, 6, 8, 12, 16, 24, 32, 64, TREES * DEPTH)  # depths of a region, in bytes of the label
+REGION = 256  # rows before it that a row is compared with, and the most that a region holds if its depth can grow
+POSTINGS = 2_048  # rows under one shingle that are compared at once
+COUNTERS = 1 << 18  # of the sketch that orders shingles by frequency
 ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
 
@@ -140,51 +144,99 @@ def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def region_forest(ids: np.ndarray, signed: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-    """Near pairs that join all rows of a region which near pairs join, the likest of each row first."""
-    label = np.arange(len(ids))
-    for i in range(1, len(ids)):
-        likeness = agreement(signed[:i], signed[i])
-        near = np.flatnonzero(likeness >= threshold - MARGIN)
+class Walk:
+    """A region's rows in the order of their labels, each compared with the ``most`` rows before it."""
+
+    def __init__(self, threshold: float, most: int):
+        self.least, self.most = threshold - MARGIN, most
+        self.start()
+
+    def start(self) -> None:
+        self.ids: list[int] = []
+        self.signed = np.empty((2 * self.most, TREES * DEPTH), np.uint8)
+        self.label = np.empty(2 * self.most, np.int64)  # rows that near pairs join have one label
+        self.n = 0
+
+    def take(self, doc_id: int, row: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Near pairs of the row, the likest one of each group that it joins."""
+        if self.n == len(self.signed):  # what lies further back has no say any more
+            self.ids = self.ids[self.most :]
+            self.signed[: self.most], self.label[: self.most] = self.signed[self.most :], self.label[self.most :]
+            self.n = self.most
+        low, here = max(0, self.n - self.most), self.n
+        likeness = agreement(self.signed[low:here], row) if here > low else np.empty(0)
+        near = np.flatnonzero(likeness >= self.least)
+        self.ids.append(doc_id)
+        self.signed[here], self.label[here] = row, doc_id
+        self.n += 1
         if len(near):
             near = near[np.argsort(-likeness[near], kind="stable")]
-            others, at = np.unique(label[near], return_index=True)
+            others, at = np.unique(self.label[low:here][near], return_index=True)
             for j in near[at].tolist():
-                yield int(ids[j]), int(ids[i])
-            label[:i][np.isin(label[:i], others)] = i
-
-
-def in_blocks(rows: DataFrame, blocks: Column, key: str = "doc_id") -> DataFrame:
-    """Each row once for each pair of ``blocks`` blocks that has its own, with the number of the pair as ``block``."""
-    mine = F.pmod(F.xxhash64(key), blocks)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, mine) * blocks + F.greatest(k, mine))
-    return rows.withColumn("block", F.explode(pair))
-
-
-def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int = LEAST_DEPTH, region: int | None = None) -> DataFrame:
-    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees."""
+                yield self.ids[low + j], doc_id
+            self.label[:here][np.isin(self.label[:here], others)] = doc_id
+
+
+def forest_rows(representatives: DataFrame) -> DataFrame:
+    """(doc_id, tree, label) of each representative in each tree."""
+    trees = F.array(*(
+        F.struct(
+            F.lit(t).cast("byte").alias("tree"),
+            F.concat(F.substring("signature", t * DEPTH + 1, (TREES - t) * DEPTH), F.substring("signature", 1, t * DEPTH)).alias("label"),
+        )
+        for t in range(TREES)
+    ))
+    return representatives.select("doc_id", F.explode(trees).alias("r")).select("doc_id", "r.tree", "r.label")
+
+
+def prefix_of(depth: int) -> Column:
+    return F.substring("label", 1, depth)
+
+
+def split_prefixes(forest: DataFrame, scratch: Scratch, most: int) -> list[DataFrame]:
+    """For each level the prefixes (tree, prefix) that more than ``most`` rows share; only those are counted at the next level."""
+    found: list[DataFrame] = []
+    rows = forest
+    for depth in LEVELS[:-1]:
+        counts = rows.groupBy("tree", prefix_of(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        crowded, n = scratch.save_counted(counts.select("tree", "prefix"), f"split-{depth}")
+        if not n:
+            break
+        found.append(crowded)
+        rows = forest.withColumn("prefix", prefix_of(depth)).join(crowded, ["tree", "prefix"], "left_semi").drop("prefix")
+    return found
+
+
+def with_regions(forest: DataFrame, splits: list[DataFrame]) -> DataFrame:
+    """Adds ``region``: the shortest prefix, of the levels' depths, that is not split."""
+    region = prefix_of(LEVELS[len(splits)])
+    for k in range(len(splits) - 1, -1, -1):
+        crowded = splits[k].withColumn(f"_split{k}", F.lit(True))
+        forest = forest.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left").drop("prefix")
+        region = F.when(F.col(f"_split{k}"), region).otherwise(prefix_of(LEVELS[k]))
+    return forest.withColumn("region", region).drop(*(f"_split{k}" for k in range(len(splits))))
+
+
+def parts_of_splits(forest: DataFrame, splits: list[DataFrame]) -> list[DataFrame]:
+    """One row, the first, of each part of a split region, under the region's prefix."""
+    out = []
+    for k, crowded in enumerate(splits):
+        inside = forest.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left_semi")
+        first = inside.groupBy("tree", "prefix", prefix_of(LEVELS[k + 1]).alias("part")).agg(F.min(F.struct("label", "doc_id")).alias("r"))
+        out.append(first.select("r.doc_id", "tree", "r.label", F.concat(F.lit(bytearray([LEVELS[k]])), "prefix").alias("region"), F.lit(True).alias("stands")))
+    return out
+
+
+def forest_pairs(representatives: DataFrame, threshold: float, region: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a < b) of (doc_id, signature) rows from all trees, and the rows (doc_id, tree, prefix) of regions that were split."""
     most = region or REGION
+    scratch = Scratch(representatives.sparkSession, "forest")
     st, schema = arrow_schema("a long, b long")
-    rotated = F.explode(
-        F.array(*(
-            F.struct(
-                F.lit(t).cast("byte").alias("tree"),
-                F.concat(F.substring("signature", t * DEPTH + 1, (TREES - t) * DEPTH), F.substring("signature", 1, t * DEPTH)).alias("label"),
-            )
-            for t in range(TREES)
-        ))
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[np.ndarray, ...]] = []  # rows of the region that may go on in the next batch
-        mark = None
+        walk, mark = Walk(threshold, most), None
         pairs: list[tuple[int, int]] = []
 
-        def close() -> None:
-            if rows and (len(rows) > 1 or len(rows[0][0]) > 1):
-                pairs.extend(region_forest(*(np.concatenate(part) for part in zip(*rows, strict=True)), threshold))
-            rows.clear()
-
         def packed() -> pa.RecordBatch:
             low, high = (np.array([f(p) for p in pairs], np.int64) for f in (min, max))
             pairs.clear()
@@ -194,42 +246,47 @@ def forest_pairs(representatives: DataFrame, threshold: float, least_depth: int
             n = batch.num_rows
             if not n:
                 continue
-            ids, tree, block = (batch.column(c).to_numpy() for c in ("doc_id", "tree", "block"))
-            signed = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, -1)
-            key = np.concatenate([tree[:, None].astype(np.int64), block[:, None], signed[:, :least_depth]], axis=1)
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-                if mark is None or (key[start] != mark).any():
-                    close()
-                    mark = key[start].copy()
-                rows.append((ids[start:stop].copy(), signed[start:stop].copy()))
-                if len(pairs) > 50_000:
-                    yield packed()
-        close()
+            ids, tree, stands = (batch.column(c).to_pylist() for c in ("doc_id", "tree", "stands"))
+            regions, labels = batch.column("region").to_pylist(), batch.column("label").to_pylist()
+            keys = list(zip(tree, stands, regions, strict=True))
+            for k in range(n):
+                if keys[k] != mark:
+                    alone = k + 1 < n and keys[k + 1] != keys[k]  # a region of one row has nothing to compare
+                    mark = keys[k]
+                    if alone:
+                        mark = None
+                        continue
+                    walk.start()
+                pairs.extend(walk.take(ids[k], np.frombuffer(labels[k], np.uint8)))
+            if len(pairs) > 50_000:
+                yield packed()
         if pairs:
             yield packed()
 
-    prefix = F.substring("label", 1, least_depth)
-    forest = representatives.select("doc_id", rotated.alias("r")).select("doc_id", "r.tree", "r.label")
-    crowded = forest.groupBy("tree", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    crowded = Scratch(representatives.sparkSession, "crowded").save(crowded.select("tree", "prefix", F.ceil(F.col("n") / most).alias("blocks")))
-    if crowded.isEmpty():
-        forest = forest.withColumn("block", F.lit(0).cast("long"))
-    else:
-        met = forest.withColumn("prefix", prefix).join(crowded, ["tree", "prefix"], "left")
-        forest = in_blocks(met, F.coalesce("blocks", F.lit(1).cast("long"))).select("doc_id", "tree", "label", "block")
+    forest = forest_rows(representatives)
+    splits = split_prefixes(forest, scratch, most)
+    rows = with_regions(forest, splits).select("doc_id", "tree", "label", "region", F.lit(False).alias("stands"))
+    for part in parts_of_splits(forest, splits):
+        rows = rows.unionByName(part)
     parts = -(-representatives.count() * TREES // ROWS_A_TASK)
     parts = max(parts, int(representatives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = (F.col("tree"), prefix, F.col("block"))
-    ordered = forest.repartitionByRange(parts, *place).sortWithinPartitions(*place, "doc_id")
-    return ordered.select("doc_id", "tree", "label", "block").mapInArrow(run, st).distinct()
+    place = ("tree", "stands", "region")
+    ordered = rows.repartitionByRange(parts, *place).sortWithinPartitions(*place, "label", "doc_id")
+    pairs = ordered.select("doc_id", "tree", "label", "region", "stands").mapInArrow(run, st).distinct()
+    if not splits:
+        return pairs, None
+    crowd = forest.withColumn("prefix", prefix_of(LEVELS[0])).join(splits[0], ["tree", "prefix"], "left_semi").select("doc_id", "tree", "prefix")
+    return pairs, crowd
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the ends of the pairs, which are numbers of ``nodes``."""
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of ``wanted`` (node), numbers of ``nodes``."""
     # merge joins at every size: what is a broadcast for a small table is none for a large one
-    ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
-    wanted = nodes.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "text_key")
+    wanted = nodes.join(wanted.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "text_key")
     texts = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     return Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), width))
 
@@ -258,74 +315,139 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over links (a, b), for every id with a link.
 
     Each round hooks every label to the smallest label beside it and halves the chains of labels; the tables of a round
-    are written below ``spark.checkpoint.dir``, so that lineage stays short. The number of rounds grows with the logarithm of the diameter."""
+    are written below ``spark.checkpoint.dir``, so that lineage stays short. The number of rounds grows with the logarithm of the diameter. What is
+    looked up by label has one row a label and is written first: where Spark finds it small no row moves, else hot labels are split."""
     scratch = Scratch(links.sparkSession, "components")
     edges = scratch.save(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     labels = scratch.save(labels)
     while True:
         # smallest label among the neighbours of all members of a label
-        near = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        seen = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "component", F.least("component", "other").alias("other"))
-        hook = seen.groupBy("component").agg(F.min("other").alias("to"))
-        moved = scratch.save(seen.select("id", "component", "other").join(hook, "component").select("id", F.col("component").alias("was"), F.least("to", "other").alias("component")))
+        near = skew_join(edges, labels.select(F.col("id").alias("b"), F.col("component").alias("other")), ["b"]).groupBy("a").agg(F.min("other").alias("other"))
+        seen = scratch.save(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "component", F.least("component", "other").alias("other")))
+        hook = scratch.save(seen.groupBy("component").agg(F.min("other").alias("to")))
+        moved = skew_join(seen, hook, ["component"]).select("id", F.col("component").alias("was"), F.least("to", "other").alias("component"))
+        moved = scratch.save(moved)
         # one jump: the label of the label
-        jump = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        stepped = moved.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("to", "component")).alias("component"))
-        new = scratch.save(stepped)
-        if new.filter("was <> component").isEmpty():
+        used = moved.select(F.col("component").alias("id")).distinct()
+        jump = scratch.save(moved.join(used, "id", "left_semi").select(F.col("id").alias("component"), F.col("component").alias("to")))
+        stepped = skew_join(moved, jump, ["component"], "left").select("id", "was", F.least("component", F.coalesce("to", "component")).alias("component"))
+        new, changed = scratch.save_counted(stepped, "labels", F.col("was") != F.col("component"))
+        if not changed:
             return new.select("id", "component")
         labels = new.select("id", "component")
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of common elements of each two of the sets."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = count > 1  # what only one set has is common to none
-    row, code = row[often[code]], (np.cumsum(often) - 1)[code[often[code]]]
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    both, columns = np.zeros((len(sets), len(sets))), int(often.sum())
-    for at in range(0, columns, COLUMNS):  # bounded memory for very long texts
-        start, stop = np.searchsorted(code, [at, at + COLUMNS])
-        has = np.zeros((len(sets), min(COLUMNS, columns - at)), np.float32)
-        has[row[start:stop], code[start:stop] - at] = 1
-        both += has @ has.T
-    return both.astype(np.int64)
-
-
-def group_links(ids: np.ndarray, apart: np.ndarray, sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, int]]:
-    """Links (a < b) that join all components ``apart`` of the rows which links between the rows join."""
-    both, size = shared_counts(sets), np.array([len(s) for s in sets])
-    link = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
-    label = np.unique(apart, return_inverse=True)[1]
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """A sketch of how many sets hold a shingle: counters by the shingle's low bits, summed in the tasks, then by a few tasks, then here."""
+    st, schema = arrow_schema("counts binary")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles"):
+                np.add.at(total, np.frombuffer(s.as_buffer(), np.uint64).astype(np.int64) & (COUNTERS - 1), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for c in batch.column("counts"):
+                total += np.frombuffer(c.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    rows = sets.select("shingles").mapInArrow(count, st).repartition(4).mapInArrow(add, st).collect()  # four sketches of 2 MB
+    return sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(COUNTERS, np.int64))
+
+
+def rare_postings(sets: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, shingle): the rarest shingles of each set, of which two sets that are alike enough share one."""
+    st, schema = arrow_schema("doc_id long, shingle long")
+    often = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(h) - -(-threshold * len(h) // 100) + 1
+                order = np.lexsort((h, often.value[h.astype(np.int64) & (COUNTERS - 1)]))[:n]
+                found.append(h[order].view(np.int64))
+                ids.append(np.full(len(order), doc_id, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], schema=schema)
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, st)
+
+
+def in_blocks(rows: DataFrame, blocks: Column, key: str = "doc_id") -> DataFrame:
+    """Each row once for each pair of ``blocks`` blocks that has its own, with the number of the pair as ``block``."""
+    mine = F.pmod(F.xxhash64(key), blocks)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.least(k, mine) * blocks + F.greatest(k, mine))
+    return rows.withColumn("block", F.explode(pair))
+
+
+def apart_pairs(ids: np.ndarray, apart: np.ndarray, signed: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """All pairs (a < b) of rows of different components whose signatures are near."""
     for i in range(1, len(ids)):
-        near = np.flatnonzero(link[i, :i] & (label[:i] != label[i]))
-        others, at = np.unique(label[near], return_index=True)
-        for j in near[at].tolist():
-            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
-        label[np.isin(label, others)] = label[i]
+        other = np.flatnonzero(apart[:i] != apart[i])
+        if len(other):
+            for j in other[agreement(signed[other], signed[i]) >= threshold - MARGIN].tolist():
+                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+
+
+def unsettled(pairs: DataFrame, crowd: DataFrame | None, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, apart): rows, with their components, of candidate groups that links do not join and of split regions with several components."""
+    own = linked.select(F.col("id").alias("doc_id"), F.col("component").alias("apart"))
 
+    def several(rows: DataFrame, group: list[str]) -> DataFrame:
+        rows = scratch.save(rows.join(own, "doc_id", "left").withColumn("apart", F.coalesce("apart", "doc_id")), "grouped")
+        split = rows.groupBy(*group).agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high").select(*group)
+        return skew_join(rows, scratch.save(split, "several"), group, "left_semi").select("doc_id", "apart")
 
-def missing_links(pairs: DataFrame, linked: DataFrame, sets: DataFrame, threshold: int, group: int | None = None) -> DataFrame:
-    """Links between components (``linked``) of rows that candidates join, from all pairs of these rows."""
-    scratch, most = Scratch(pairs.sparkSession, "groups"), group or GROUP
+    found = several(components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")), ["group"])
+    if crowd is not None:
+        found = found.unionByName(several(crowd, ["tree", "prefix"]))
+    return scratch.save(found.distinct(), "unsettled")
+
+
+def missing_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: int, postings: int | None = None) -> DataFrame:
+    """Candidate pairs of different components among ``rows`` (doc_id, apart): all that share one of their rarest shingles and have near signatures."""
+    scratch, most = Scratch(rows.sparkSession, "rare"), postings or POSTINGS
     st, schema = arrow_schema("a long, b long")
-    rows = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
-    rows = rows.join(linked.select(F.col("id").alias("doc_id"), F.col("component").alias("apart")), "doc_id", "left")
-    rows = scratch.save(rows.withColumn("apart", F.coalesce("apart", "doc_id")))
-    split = rows.groupBy("group").agg(F.min("apart").alias("low"), F.max("apart").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    rows = rows.join(split.select("group", F.ceil(F.col("n") / most).alias("blocks")), "group")
-    rows = rows.join(sets.hint("merge"), "doc_id")
-    rows = in_blocks(rows, F.col("blocks")).select("group", "block", "doc_id", "apart", "shingles")
+    mine = scratch.save(sets.join(rows.select("doc_id"), "doc_id", "left_semi"), "sets")
+    listed = scratch.save(rare_postings(mine, threshold).join(rows, "doc_id"), "postings")
+    lists = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high")
+    lists = scratch.save(lists.select("shingle", F.ceil(F.col("n") / most).alias("blocks")), "lists")
+    met = skew_join(listed, lists, ["shingle"]).join(nodes.select(F.col("node").alias("doc_id"), "signature"), "doc_id")
+    met = in_blocks(met, F.col("blocks")).select("shingle", "block", "doc_id", "apart", "signature")
 
-    def run(table: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        new = list(group_links(*(table.column(c).to_numpy() for c in ("doc_id", "apart")), found, threshold))
-        return pa.Table.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, ids, apart, signed = None, [], [], []
 
-    return rows.groupBy("group", "block").applyInArrow(run, st).distinct()
+        def close() -> pa.RecordBatch:
+            sides = np.frombuffer(b"".join(signed), np.uint8).reshape(len(ids), -1)
+            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100))
+            for side in (ids, apart, signed):
+                side.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for shingle, block, doc_id, component, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shingle, block) != mark:
+                    if len(ids) > 1:
+                        yield close()
+                    for side in (ids, apart, signed):
+                        side.clear()
+                    mark = (shingle, block)
+                ids.append(doc_id)
+                apart.append(component)
+                signed.append(s)
+        if len(ids) > 1:
+            yield close()
+
+    return met.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "doc_id").mapInArrow(run, st).distinct()
 
 
 def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -338,17 +460,24 @@ def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     groups = full.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), F.first("signature").alias("signature"))
     nodes = groups.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("k.doc_id").alias("first"), "k.text_key", "signature")
     nodes = scratch.save(nodes)
-    pairs = scratch.save(forest_pairs(nodes.select(F.col("node").alias("doc_id"), "signature"), threshold / 100))
-    sets = sets_of(pairs, nodes, docs, width)
+    pairs, crowd = forest_pairs(nodes.select(F.col("node").alias("doc_id"), "signature"), threshold / 100)
+    pairs = scratch.save(pairs)
+    ends = ends_of(pairs)
+    if crowd is not None:
+        crowd = scratch.save(crowd)
+        ends = ends.unionByName(crowd.select(F.col("doc_id").alias("node"))).distinct()
+    sets = sets_of(ends, nodes, docs, width)
     links = scratch.save(confirmed(pairs, sets, threshold))
     linked = components(links)
-    more = scratch.save(missing_links(pairs, linked, sets, threshold))
-    if not more.isEmpty():
-        linked = components(links.unionByName(more))
+    rest, n = scratch.save_counted(unsettled(pairs, crowd, linked, scratch), "rest")
+    if n:
+        more, n = scratch.save_counted(confirmed(scratch.save(missing_pairs(rest, sets, nodes, threshold)), sets, threshold), "more")
+        if n:
+            linked = components(links.unionByName(more))
     # the smallest id leads a component; of its texts, one
-    sides = nodes.select("node", "digest", "first").join(linked.withColumnRenamed("id", "node"), "node", "left")
-    lead = sides.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "digest")).alias("lead"))
-    sides = sides.join(lead, "component", "left").select(
+    sides = scratch.save(nodes.select("node", "digest", "first").join(linked.withColumnRenamed("id", "node"), "node", "left"))
+    lead = scratch.save(sides.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "digest")).alias("lead")))
+    sides = skew_join(sides, lead, ["component"], "left").select(
         "digest", F.coalesce("lead.first", "first").alias("component_id"), F.coalesce(F.col("lead.digest") == F.col("digest"), F.lit(True)).alias("leads")
     )
     names = ["doc_id", "text_key", "n_shingles", "component_id"]

@@ -518,32 +518,82 @@ def test_near_duplicates_agree_with_all_pairs(spark, width, threshold):
     }
 
 
-def test_crowded_regions_are_searched_whole(spark):
-    """Two near signatures between which 200 others stand in every order, in one block and in several."""
+def test_parts_of_a_split_region_meet_again(spark):
+    """Two near signatures between which 200 others stand in every order, in a region that is walked whole and in one that is split."""
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 256, (202, neardup.TREES, neardup.DEPTH), np.uint8)
     rows[:, :, :4], rows[:, :, 4] = 7, 128
     rows[1] = rows[0]
     rows[0, :, 4], rows[1, :, 4] = 0, 255
     frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, signature binary")
-    assert [tuple(r) for r in neardup.forest_pairs(frame, 0.85).collect()] == [(0, 1)]
-    assert [tuple(r) for r in neardup.forest_pairs(frame, 0.85, region=50).collect()] == [(0, 1)]
+    pairs, crowd = neardup.forest_pairs(frame, 0.85)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1)] and crowd is None
+    pairs, crowd = neardup.forest_pairs(frame, 0.85, region=50)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1)]
+    assert crowd.select("doc_id").distinct().count() == 202
+
+
+def test_depth_adapts_to_the_region(spark):
+    """Labels that share 4, 6 and 64 bytes: a region's prefix grows until it has few rows, and no further."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 256, (90, 128), np.uint8)
+    rows[:30, :4], rows[30:60, :6], rows[60:, :64] = 1, 2, 3
+    rows[:, 127] = np.arange(90)
+    frame = spark.createDataFrame([(k, 0, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, tree byte, label binary")
+    splits = neardup.split_prefixes(frame, Scratch(spark, "t"), 10)
+    depths = {r.doc_id: r.d for r in neardup.with_regions(frame, splits).select("doc_id", F.length("region").alias("d")).collect()}
+    assert {depths[k] for k in range(30)} == {5} and {depths[k] for k in range(30, 60)} == {8} and {depths[k] for k in range(60, 90)} == {128}
+
+
+def test_a_common_template_costs_as_much_as_its_rows(spark):
+    """Signatures of a similarity of 0.6, all of one template: what is walked and what is near grows with the rows, not with their pairs."""
+
+    def work(n):
+        rng = np.random.default_rng(1)
+        rows = np.where(rng.random((n, 128)) < 0.775, np.uint8(9), rng.integers(0, 256, (n, 128), np.uint8))
+        frame = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "signature": [r.tobytes() for r in rows]}))
+        pairs, crowd = neardup.forest_pairs(frame, 0.85)
+        return pairs.count(), crowd.count()
+
+    (pairs, crowded), (more_pairs, more_crowded) = work(10_000), work(20_000)
+    assert more_pairs <= 2.2 * pairs and more_crowded <= 2.2 * crowded and more_pairs < 20_000 * 16
+
+
+def template_texts(rng):
+    common = prose(rng, 60, 5000).split()
+    many = []
+    for k in range(150):
+        own = [f"own{k}x{j}" for j in range(40)]
+        many.append(" ".join(common + own))
+        if k % 10 == 0:  # a near copy: one word of its own is another
+            many.append(" ".join([*common, *own[:-1], "changed"]))
+    rng.shuffle(many)
+    return many
+
+
+@pytest.mark.parametrize("region", [256, 8])
+def test_links_inside_a_template_are_found_by_rare_shingles(spark, monkeypatch, region):
+    monkeypatch.setattr(neardup, "REGION", region)
+    many = template_texts(random.Random(12))
+    _, expected = plain_components(many, 3, 85)
+    rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(make_docs(spark, many), 3, 85).collect()}
+    assert rows == dict(enumerate(expected[k] for k in range(len(many)))) and len(set(rows.values())) == 150
 
 
 def test_groups_are_united_by_links_only(spark):
     """0-1 is a candidate and no link, 1-2 is a link, 0-2 is a link that no candidate names; 3 is alone, 4-5 are one already."""
     words = [f"w{k}" for k in range(100)]
     many = [" ".join(x) for x in (words[:90], words[10:], words[5:95], ["x", *words[50:]], ["y"] * 4, ["y"] * 5)]
-    sets = neardup.shingle_sets(make_docs(spark, many), 1)
+    docs = make_docs(spark, many)
+    sets = neardup.shingle_sets(docs, 1)
+    nodes = neardup.signatures(docs.withColumn("text_key", F.md5("text")), 1).select(F.col("doc_id").alias("node"), "signature")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
-    links = spark.createDataFrame([(1, 2), (4, 5)], "a long, b long")
-    for group in (None, 1, 2):
-        more = neardup.missing_links(pairs, neardup.components(links), sets, 85, group).collect()
+    linked = neardup.components(spark.createDataFrame([(1, 2), (4, 5)], "a long, b long"))
+    rest = neardup.unsettled(pairs, None, linked, Scratch(spark, "t"))
+    assert {(r.doc_id, r.apart) for r in rest.collect()} == {(0, 0), (1, 1), (2, 1), (3, 3)}
+    for postings in (None, 1, 2):
+        more = neardup.confirmed(neardup.missing_pairs(rest, sets, nodes, 85, postings), sets, 85).collect()
         assert [tuple(r) for r in more] == [(0, 2)]
-    rng = random.Random(4)
-    plain = [set(rng.sample(range(60), 40)) for _ in range(9)]
-    counts = neardup.shared_counts([np.array(sorted(x), np.uint64) for x in plain])
-    assert all(counts[a, b] == len(plain[a] & plain[b]) for a in range(9) for b in range(9) if a != b)
 
 
 def test_near_duplicates_with_ties(spark):
