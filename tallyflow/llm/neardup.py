@@ -193,35 +193,38 @@ def prefix_of(depth: int) -> Column:
     return F.substring("label", 1, depth)
 
 
-def split_prefixes(forest: DataFrame, scratch: Scratch, most: int) -> list[DataFrame]:
-    """For each level the prefixes (tree, prefix) that more than ``most`` rows share; only those are counted at the next level."""
+def split_prefixes(forest: DataFrame, scratch: Scratch, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """For each level the prefixes (tree, prefix) that more than ``most`` rows share, and the rows of the first of them as a table: only
+    these are looked at again."""
     found: list[DataFrame] = []
-    rows = forest
+    rows, inside = forest, None
     for depth in LEVELS[:-1]:
         counts = rows.groupBy("tree", prefix_of(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
         crowded, n = scratch.save_counted(counts.select("tree", "prefix"), f"split-{depth}")
         if not n:
             break
         found.append(crowded)
-        rows = forest.withColumn("prefix", prefix_of(depth)).join(crowded, ["tree", "prefix"], "left_semi").drop("prefix")
-    return found
+        rows = rows.withColumn("prefix", prefix_of(depth)).join(crowded, ["tree", "prefix"], "left_semi").drop("prefix")
+        if inside is None:
+            rows = inside = scratch.save(rows, "inside")
+    return found, inside
 
 
-def with_regions(forest: DataFrame, splits: list[DataFrame]) -> DataFrame:
-    """Adds ``region``: the shortest prefix, of the levels' depths, that is not split."""
+def with_regions(rows: DataFrame, splits: list[DataFrame]) -> DataFrame:
+    """Adds ``region`` to rows of split regions: the shortest prefix, of the levels' depths, that is not split."""
     region = prefix_of(LEVELS[len(splits)])
-    for k in range(len(splits) - 1, -1, -1):
+    for k in range(len(splits) - 1, 0, -1):
         crowded = splits[k].withColumn(f"_split{k}", F.lit(True))
-        forest = forest.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left").drop("prefix")
+        rows = rows.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left").drop("prefix")
         region = F.when(F.col(f"_split{k}"), region).otherwise(prefix_of(LEVELS[k]))
-    return forest.withColumn("region", region).drop(*(f"_split{k}" for k in range(len(splits))))
+    return rows.withColumn("region", region).drop(*(f"_split{k}" for k in range(1, len(splits))))
 
 
-def parts_of_splits(forest: DataFrame, splits: list[DataFrame]) -> list[DataFrame]:
+def parts_of_splits(rows: DataFrame, splits: list[DataFrame]) -> list[DataFrame]:
     """One row, the first, of each part of a split region, under the region's prefix."""
     out = []
     for k, crowded in enumerate(splits):
-        inside = forest.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left_semi")
+        inside = rows.withColumn("prefix", prefix_of(LEVELS[k])).join(crowded, ["tree", "prefix"], "left_semi")
         first = inside.groupBy("tree", "prefix", prefix_of(LEVELS[k + 1]).alias("part")).agg(F.min(F.struct("label", "doc_id")).alias("r"))
         out.append(first.select("r.doc_id", "tree", "r.label", F.concat(F.lit(bytearray([LEVELS[k]])), "prefix").alias("region"), F.lit(True).alias("stands")))
     return out
@@ -264,19 +267,24 @@ def forest_pairs(representatives: DataFrame, threshold: float, region: int | Non
             yield packed()
 
     forest = forest_rows(representatives)
-    splits = split_prefixes(forest, scratch, most)
-    rows = with_regions(forest, splits).select("doc_id", "tree", "label", "region", F.lit(False).alias("stands"))
-    for part in parts_of_splits(forest, splits):
-        rows = rows.unionByName(part)
+    splits, inside = split_prefixes(forest, scratch, most)
+    place = ("tree", "stands", "region")
+    columns = ["doc_id", "tree", "label", "region", F.lit(False).alias("stands")]
+    plain = forest.withColumn("prefix", prefix_of(LEVELS[0])).withColumn("region", F.col("prefix"))
+    if splits:
+        plain = plain.join(splits[0], ["tree", "prefix"], "left_anti")
+    rows = plain.select(*columns)
+    if splits:
+        rows = rows.unionByName(with_regions(inside, splits).select(*columns))
+        for part in parts_of_splits(inside, splits):
+            rows = rows.unionByName(part)
     parts = -(-representatives.count() * TREES // ROWS_A_TASK)
     parts = max(parts, int(representatives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = ("tree", "stands", "region")
     ordered = rows.repartitionByRange(parts, *place).sortWithinPartitions(*place, "label", "doc_id")
     pairs = ordered.select("doc_id", "tree", "label", "region", "stands").mapInArrow(run, st).distinct()
     if not splits:
         return pairs, None
-    crowd = forest.withColumn("prefix", prefix_of(LEVELS[0])).join(splits[0], ["tree", "prefix"], "left_semi").select("doc_id", "tree", "prefix")
-    return pairs, crowd
+    return pairs, inside.select("doc_id", "tree", prefix_of(LEVELS[0]).alias("prefix"))
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -388,12 +396,18 @@ def in_blocks(rows: DataFrame, blocks: Column, key: str = "doc_id") -> DataFrame
     return rows.withColumn("block", F.explode(pair))
 
 
-def apart_pairs(ids: np.ndarray, apart: np.ndarray, signed: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
-    """All pairs (a < b) of rows of different components whose signatures are near."""
-    for i in range(1, len(ids)):
-        other = np.flatnonzero(apart[:i] != apart[i])
+def apart_pairs(ids: np.ndarray, apart: np.ndarray, signed: np.ndarray, threshold: float, looks: int | None) -> Iterator[tuple[int, int]]:
+    """Pairs (a < b) of rows of different components whose signatures are near: all, or the ``looks`` likest of each row."""
+    for i in range(len(ids)):
+        other = np.flatnonzero(apart != apart[i])
+        if looks is None:
+            other = other[other < i]
         if len(other):
-            for j in other[agreement(signed[other], signed[i]) >= threshold - MARGIN].tolist():
+            likeness = agreement(signed[other], signed[i])
+            near = np.flatnonzero(likeness >= threshold - MARGIN)
+            if looks is not None and len(near) > looks:
+                near = near[np.lexsort((ids[other[near]], -likeness[near]))[:looks]]
+            for j in other[near].tolist():
                 yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
 
 
@@ -412,12 +426,12 @@ def unsettled(pairs: DataFrame, crowd: DataFrame | None, linked: DataFrame, scra
     return scratch.save(found.distinct(), "unsettled")
 
 
-def missing_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: int, postings: int | None = None) -> DataFrame:
-    """Candidate pairs of different components among ``rows`` (doc_id, apart): all that share one of their rarest shingles and have near signatures."""
-    scratch, most = Scratch(rows.sparkSession, "rare"), postings or POSTINGS
+def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, threshold: int, looks: int | None = None, most: int = POSTINGS) -> DataFrame:
+    """Candidate pairs of different components among ``rows`` (doc_id, apart) that share one of their rarest shingles (``postings``) and have
+    near signatures: all, or the ``looks`` likest of each row under each shingle."""
+    scratch = Scratch(rows.sparkSession, "rare")
     st, schema = arrow_schema("a long, b long")
-    mine = scratch.save(sets.join(rows.select("doc_id"), "doc_id", "left_semi"), "sets")
-    listed = scratch.save(rare_postings(mine, threshold).join(rows, "doc_id"), "postings")
+    listed = scratch.save(postings.join(rows, "doc_id"), "listed")
     lists = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high")
     lists = scratch.save(lists.select("shingle", F.ceil(F.col("n") / most).alias("blocks")), "lists")
     met = skew_join(listed, lists, ["shingle"]).join(nodes.select(F.col("node").alias("doc_id"), "signature"), "doc_id")
@@ -428,7 +442,7 @@ def missing_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, threshold:
 
         def close() -> pa.RecordBatch:
             sides = np.frombuffer(b"".join(signed), np.uint8).reshape(len(ids), -1)
-            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100))
+            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100, looks))
             for side in (ids, apart, signed):
                 side.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
@@ -450,6 +464,29 @@ def missing_pairs(rows: DataFrame, sets: DataFrame, nodes: DataFrame, threshold:
     return met.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "doc_id").mapInArrow(run, st).distinct()
 
 
+def all_links(pairs: DataFrame, crowd: DataFrame | None, sets: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Links from the candidates, and from looks at what they leave apart: first at the likest pairs of each row, as long as they join
+    components (twice as many each time), then at all pairs that are left."""
+    scratch = Scratch(pairs.sparkSession, "links")
+    links = scratch.save(confirmed(pairs, sets, threshold), "first")
+    tried, looks, postings = pairs, 1, None
+    while True:
+        rest = unsettled(pairs, crowd, components(links), scratch)
+        if postings is None:
+            if rest.isEmpty():
+                return links
+            mine = scratch.save(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
+            postings = scratch.save(rare_postings(mine, threshold), "postings")
+        found = missing_pairs(postings, rest, nodes, threshold, looks).join(tried, ["a", "b"], "left_anti")
+        found, n = scratch.save_counted(found, "candidates")
+        new, joined = scratch.save_counted(confirmed(found, sets, threshold), "more") if n else (found, 0)
+        links = scratch.save(links.unionByName(new), "links") if joined else links
+        if looks is None:
+            return links
+        tried = scratch.save(tried.unionByName(found), "tried")
+        looks = looks * 2 if joined else None
+
+
 def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of each row; ``text_key`` is the digest of the text."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -467,13 +504,7 @@ def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         crowd = scratch.save(crowd)
         ends = ends.unionByName(crowd.select(F.col("doc_id").alias("node"))).distinct()
     sets = sets_of(ends, nodes, docs, width)
-    links = scratch.save(confirmed(pairs, sets, threshold))
-    linked = components(links)
-    rest, n = scratch.save_counted(unsettled(pairs, crowd, linked, scratch), "rest")
-    if n:
-        more, n = scratch.save_counted(confirmed(scratch.save(missing_pairs(rest, sets, nodes, threshold)), sets, threshold), "more")
-        if n:
-            linked = components(links.unionByName(more))
+    linked = components(all_links(pairs, crowd, sets, nodes, threshold))
     # the smallest id leads a component; of its texts, one
     sides = scratch.save(nodes.select("node", "digest", "first").join(linked.withColumnRenamed("id", "node"), "node", "left"))
     lead = scratch.save(sides.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "digest")).alias("lead")))

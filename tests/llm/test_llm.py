@@ -540,8 +540,8 @@ def test_depth_adapts_to_the_region(spark):
     rows[:30, :4], rows[30:60, :6], rows[60:, :64] = 1, 2, 3
     rows[:, 127] = np.arange(90)
     frame = spark.createDataFrame([(k, 0, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, tree byte, label binary")
-    splits = neardup.split_prefixes(frame, Scratch(spark, "t"), 10)
-    depths = {r.doc_id: r.d for r in neardup.with_regions(frame, splits).select("doc_id", F.length("region").alias("d")).collect()}
+    splits, inside = neardup.split_prefixes(frame, Scratch(spark, "t"), 10)
+    depths = {r.doc_id: r.d for r in neardup.with_regions(inside, splits).select("doc_id", F.length("region").alias("d")).collect()}
     assert {depths[k] for k in range(30)} == {5} and {depths[k] for k in range(30, 60)} == {8} and {depths[k] for k in range(60, 90)} == {128}
 
 
@@ -591,9 +591,11 @@ def test_groups_are_united_by_links_only(spark):
     linked = neardup.components(spark.createDataFrame([(1, 2), (4, 5)], "a long, b long"))
     rest = neardup.unsettled(pairs, None, linked, Scratch(spark, "t"))
     assert {(r.doc_id, r.apart) for r in rest.collect()} == {(0, 0), (1, 1), (2, 1), (3, 3)}
-    for postings in (None, 1, 2):
-        more = neardup.confirmed(neardup.missing_pairs(rest, sets, nodes, 85, postings), sets, 85).collect()
+    postings = neardup.rare_postings(sets, 85)
+    for looks, most in ((None, 9), (None, 1), (None, 2), (1, 9)):
+        more = neardup.confirmed(neardup.missing_pairs(postings, rest, nodes, 85, looks, most), sets, 85).collect()
         assert [tuple(r) for r in more] == [(0, 2)]
+    assert {tuple(r) for r in neardup.all_links(pairs, None, sets, nodes, 85).collect()} == {(0, 2), (1, 2), (4, 5)}
 
 
 def test_near_duplicates_with_ties(spark):
