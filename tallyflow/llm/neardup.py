@@ -10,10 +10,10 @@
    pairs join. Where a region was split, one row of each part stands for it in the region above, whose order is walked in the same way: what
    belongs together but was cut meets again, and no region is compared with all pairs.
 4. Candidates are confirmed on the full sets, and links give components.
-5. What the forest may have cut off is found by the rarest shingles: rows of a group of candidates that links do not join, and rows of a split region that
-   holds several components, are put under the first ``n - ceil(threshold * n) + 1`` of their ``n`` shingles in the order of their frequency (two
-   sets that are alike enough share one of these). Rows of different components under one shingle that are near by their signatures are candidates,
-   all of them, and are confirmed: nothing is united but by a link, and no near pair of these rows is left out.
+5. What the forest may have left apart is looked at again. A group of candidates that links do not join is compared whole on the full sets, in blocks,
+   if it has at most ``WHOLE`` rows. Rows of larger groups, and rows of a split region that holds several groups, are put under the first ``n - ceil(threshold * n) + 1`` of
+   their ``n`` shingles in the order of their frequency (two sets that are alike enough share one of these): rows under one shingle that are
+   apart and near by their signatures are candidates, all of them, and are confirmed. Nothing is united but by a link.
 
 ``threshold`` is in hundredths: a link needs 100 * intersection >= threshold * union. A text without words has the
 empty set and no links. Rows with a null id are never linked: their component is null and they are
@@ -37,6 +37,9 @@ from tallyflow.runtime import Scratch, skew_join
 TREES, DEPTH = 16, 8
 LEVELS = (4, 5, 6, 8, 12, 16, 24, 32, 64, TREES * DEPTH)  # depths of a region, in bytes of the label
 REGION = 256  # rows before it that a row is compared with, and the most that a region holds if its depth can grow
+GROUP = 256  # rows of a group whose full sets are compared at once
+WHOLE = 4_096  # rows of a group that is compared whole, in blocks
+COLUMNS = 4096  # shingles counted at once
 POSTINGS = 2_048  # rows under one shingle that are compared at once
 COUNTERS = 1 << 18  # of the sketch that orders shingles by frequency
 ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
@@ -396,39 +399,63 @@ def in_blocks(rows: DataFrame, blocks: Column, key: str = "doc_id") -> DataFrame
     return rows.withColumn("block", F.explode(pair))
 
 
-def apart_pairs(ids: np.ndarray, apart: np.ndarray, signed: np.ndarray, threshold: float, looks: int | None) -> Iterator[tuple[int, int]]:
-    """Pairs (a < b) of rows of different components whose signatures are near: all, or the ``looks`` likest of each row."""
-    for i in range(len(ids)):
-        other = np.flatnonzero(apart != apart[i])
-        if looks is None:
-            other = other[other < i]
-        if len(other):
-            likeness = agreement(signed[other], signed[i])
-            near = np.flatnonzero(likeness >= threshold - MARGIN)
-            if looks is not None and len(near) > looks:
-                near = near[np.lexsort((ids[other[near]], -likeness[near]))[:looks]]
-            for j in other[near].tolist():
-                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each two of the sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # what only one set has is common to none
+    row, code = row[often[code]], (np.cumsum(often) - 1)[code[often[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both, columns = np.zeros((len(sets), len(sets))), int(often.sum())
+    for at in range(0, columns, COLUMNS):  # bounded memory for very long texts
+        start, stop = np.searchsorted(code, [at, at + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, columns - at)), np.float32)
+        has[row[start:stop], code[start:stop] - at] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def group_links(ids: np.ndarray, apart: np.ndarray, sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, int]]:
+    """Links (a < b) that join all components ``apart`` of the rows which links between the rows join."""
+    both, size = shared_counts(sets), np.array([len(s) for s in sets])
+    link = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+    label = np.unique(apart, return_inverse=True)[1]
+    for i in range(1, len(ids)):
+        near = np.flatnonzero(link[i, :i] & (label[:i] != label[i]))
+        others, at = np.unique(label[near], return_index=True)
+        for j in near[at].tolist():
+            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+        label[np.isin(label, others)] = label[i]
+
+
+def group_pairs(rows: DataFrame, sets: DataFrame, threshold: int, group: int | None = None) -> DataFrame:
+    """Links between components (``apart``) of the rows (doc_id, group, apart, n) of groups of at most ``WHOLE`` rows, from all pairs of a group:
+    a row meets the blocks of its group, ``WHOLE / GROUP`` at most."""
+    most = group or GROUP
+    st, schema = arrow_schema("a long, b long")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / most)).join(sets.hint("merge"), "doc_id")
+    rows = in_blocks(rows, F.col("blocks")).select("group", "block", "doc_id", "apart", "shingles")
 
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        new = list(group_links(*(table.column(c).to_numpy() for c in ("doc_id", "apart")), found, threshold))
+        return pa.Table.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], schema=schema)
 
-def unsettled(pairs: DataFrame, crowd: DataFrame | None, linked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, apart): rows, with their components, of candidate groups that links do not join and of split regions with several components."""
-    own = linked.select(F.col("id").alias("doc_id"), F.col("component").alias("apart"))
+    return rows.groupBy("group", "block").applyInArrow(run, st).distinct()
 
-    def several(rows: DataFrame, group: list[str]) -> DataFrame:
-        rows = scratch.save(rows.join(own, "doc_id", "left").withColumn("apart", F.coalesce("apart", "doc_id")), "grouped")
-        split = rows.groupBy(*group).agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high").select(*group)
-        return skew_join(rows, scratch.save(split, "several"), group, "left_semi").select("doc_id", "apart")
 
-    found = several(components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")), ["group"])
-    if crowd is not None:
-        found = found.unionByName(several(crowd, ["tree", "prefix"]))
-    return scratch.save(found.distinct(), "unsettled")
+def apart_pairs(ids: np.ndarray, apart: np.ndarray, signed: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """All pairs (a < b) of rows of different components whose signatures are near."""
+    for i in range(1, len(ids)):
+        other = np.flatnonzero(apart[:i] != apart[i])
+        if len(other):
+            for j in other[agreement(signed[other], signed[i]) >= threshold - MARGIN].tolist():
+                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
 
 
-def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, threshold: int, looks: int | None = None, most: int = POSTINGS) -> DataFrame:
-    """Candidate pairs of different components among ``rows`` (doc_id, apart) that share one of their rarest shingles (``postings``) and have
-    near signatures: all, or the ``looks`` likest of each row under each shingle."""
+def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, threshold: int, most: int = POSTINGS) -> DataFrame:
+    """Candidate pairs of rows (doc_id, apart) that are ``apart``: all that share one of their rarest shingles (``postings``) and have near signatures."""
     scratch = Scratch(rows.sparkSession, "rare")
     st, schema = arrow_schema("a long, b long")
     listed = scratch.save(postings.join(rows, "doc_id"), "listed")
@@ -442,7 +469,7 @@ def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, thresh
 
         def close() -> pa.RecordBatch:
             sides = np.frombuffer(b"".join(signed), np.uint8).reshape(len(ids), -1)
-            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100, looks))
+            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100))
             for side in (ids, apart, signed):
                 side.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
@@ -465,26 +492,30 @@ def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, thresh
 
 
 def all_links(pairs: DataFrame, crowd: DataFrame | None, sets: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Links from the candidates, and from looks at what they leave apart: first at the likest pairs of each row, as long as they join
-    components (twice as many each time), then at all pairs that are left."""
+    """Links from the candidates, and from looks at what they leave apart (step 5)."""
     scratch = Scratch(pairs.sparkSession, "links")
     links = scratch.save(confirmed(pairs, sets, threshold), "first")
-    tried, looks, postings = pairs, 1, None
-    while True:
-        rest = unsettled(pairs, crowd, components(links), scratch)
-        if postings is None:
-            if rest.isEmpty():
-                return links
-            mine = scratch.save(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
-            postings = scratch.save(rare_postings(mine, threshold), "postings")
-        found = missing_pairs(postings, rest, nodes, threshold, looks).join(tried, ["a", "b"], "left_anti")
-        found, n = scratch.save_counted(found, "candidates")
-        new, joined = scratch.save_counted(confirmed(found, sets, threshold), "more") if n else (found, 0)
-        links = scratch.save(links.unionByName(new), "links") if joined else links
-        if looks is None:
-            return links
-        tried = scratch.save(tried.unionByName(found), "tried")
-        looks = looks * 2 if joined else None
+    own = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("apart"))
+    rows = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    rows = scratch.save(rows.join(own, "doc_id", "left").withColumn("apart", F.coalesce("apart", "doc_id")), "grouped")
+    sizes = scratch.save(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.min("apart") < F.max("apart")).alias("split")), "sizes")
+    rows = scratch.save(skew_join(rows, sizes, ["group"]), "sized")
+    found = scratch.save(group_pairs(rows.filter((F.col("n") <= WHOLE) & F.col("split")).drop("split"), sets, threshold), "groups")
+    links = links.unionByName(found)
+    # groups that were compared whole are settled: only what lies between them, or in larger ones, is left
+    label = F.when(F.col("n") <= WHOLE, F.col("group")).otherwise(F.col("apart"))
+    rest = rows.filter((F.col("n") > WHOLE) & F.col("split")).select("doc_id", "apart")
+    if crowd is not None:
+        inside = crowd.join(rows.select("doc_id", label.alias("apart")), "doc_id", "left").withColumn("apart", F.coalesce("apart", "doc_id"))
+        inside = scratch.save(inside, "crowd")
+        mixed_ = inside.groupBy("tree", "prefix").agg(F.min("apart").alias("low"), F.max("apart").alias("high")).filter("low < high").select("tree", "prefix")
+        rest = rest.unionByName(skew_join(inside, scratch.save(mixed_, "mixed"), ["tree", "prefix"], "left_semi").select("doc_id", "apart"))
+    rest, n = scratch.save_counted(rest.distinct(), "rest")
+    if not n:
+        return links
+    mine = scratch.save(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
+    near = scratch.save(missing_pairs(rare_postings(mine, threshold), rest, nodes, threshold), "near")
+    return links.unionByName(confirmed(near, sets, threshold))
 
 
 def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -504,7 +535,7 @@ def judged(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         crowd = scratch.save(crowd)
         ends = ends.unionByName(crowd.select(F.col("doc_id").alias("node"))).distinct()
     sets = sets_of(ends, nodes, docs, width)
-    linked = components(all_links(pairs, crowd, sets, nodes, threshold))
+    linked = components(scratch.save(all_links(pairs, crowd, sets, nodes, threshold)))
     # the smallest id leads a component; of its texts, one
     sides = scratch.save(nodes.select("node", "digest", "first").join(linked.withColumnRenamed("id", "node"), "node", "left"))
     lead = scratch.save(sides.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "digest")).alias("lead")))

@@ -574,13 +574,14 @@ def template_texts(rng):
 @pytest.mark.parametrize("region", [256, 8])
 def test_links_inside_a_template_are_found_by_rare_shingles(spark, monkeypatch, region):
     monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "WHOLE", region // 8)
     many = template_texts(random.Random(12))
     _, expected = plain_components(many, 3, 85)
     rows = {r.doc_id: r.component_id for r in neardup.near_duplicates(make_docs(spark, many), 3, 85).collect()}
     assert rows == dict(enumerate(expected[k] for k in range(len(many)))) and len(set(rows.values())) == 150
 
 
-def test_groups_are_united_by_links_only(spark):
+def test_groups_are_united_by_links_only(spark, monkeypatch):
     """0-1 is a candidate and no link, 1-2 is a link, 0-2 is a link that no candidate names; 3 is alone, 4-5 are one already."""
     words = [f"w{k}" for k in range(100)]
     many = [" ".join(x) for x in (words[:90], words[10:], words[5:95], ["x", *words[50:]], ["y"] * 4, ["y"] * 5)]
@@ -588,14 +589,21 @@ def test_groups_are_united_by_links_only(spark):
     sets = neardup.shingle_sets(docs, 1)
     nodes = neardup.signatures(docs.withColumn("text_key", F.md5("text")), 1).select(F.col("doc_id").alias("node"), "signature")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
-    linked = neardup.components(spark.createDataFrame([(1, 2), (4, 5)], "a long, b long"))
-    rest = neardup.unsettled(pairs, None, linked, Scratch(spark, "t"))
-    assert {(r.doc_id, r.apart) for r in rest.collect()} == {(0, 0), (1, 1), (2, 1), (3, 3)}
-    postings = neardup.rare_postings(sets, 85)
-    for looks, most in ((None, 9), (None, 1), (None, 2), (1, 9)):
-        more = neardup.confirmed(neardup.missing_pairs(postings, rest, nodes, 85, looks, most), sets, 85).collect()
+    own = {0: 0, 1: 1, 2: 1, 3: 3}
+    rows = spark.createDataFrame([(k, 0, c, 4) for k, c in own.items()], "doc_id long, group long, apart long, n long")
+    for group in (None, 1, 2):
+        assert [tuple(r) for r in neardup.group_pairs(rows, sets, 85, group).collect()] == [(0, 2)]
+    rest, postings = rows.select("doc_id", "apart"), neardup.rare_postings(sets, 85)
+    for most in (9, 1, 2):
+        more = neardup.confirmed(neardup.missing_pairs(postings, rest, nodes, 85, most), sets, 85).collect()
         assert [tuple(r) for r in more] == [(0, 2)]
-    assert {tuple(r) for r in neardup.all_links(pairs, None, sets, nodes, 85).collect()} == {(0, 2), (1, 2), (4, 5)}
+    for whole in (neardup.WHOLE, 1):
+        monkeypatch.setattr(neardup, "WHOLE", whole)
+        assert {tuple(r) for r in neardup.all_links(pairs, None, sets, nodes, 85).collect()} == {(0, 2), (1, 2), (4, 5)}
+    rng = random.Random(4)
+    plain = [set(rng.sample(range(60), 40)) for _ in range(9)]
+    counts = neardup.shared_counts([np.array(sorted(x), np.uint64) for x in plain])
+    assert all(counts[a, b] == len(plain[a] & plain[b]) for a in range(9) for b in range(9) if a != b)
 
 
 def test_near_duplicates_with_ties(spark):
