@@ -36,7 +36,7 @@ NEIGHBOURS = 16
 BLOCK = 64
 PRIOR_MASS = 0.25
 THRESHOLD = 0.5
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
 
