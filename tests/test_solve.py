@@ -111,15 +111,14 @@ def test_hierarchy_weights_per_scenario_in_one_run(spark):
         ("s", "P", "a", 3.0), ("t", "P", "d", 1.0), ("t", "Q", "c", 0.5), ("u", "R", "Q", 1.0), ("t", "R", "d", 2.0),
     ]
     obs = [(s, "1", n, v) for s in "stu" for n, v in (("a", 1.0), ("b", 10.0), ("c", 100.0))] + [("t", "1", "d", 7.0)]
-    for missing in ("UseZero", "Invalidate"):
-        for drop in ((), ("c",)):
-            rows = [o for o in obs if o[2] not in drop]
-            one = S.solve(S.Network(part_of=spark.createDataFrame(edges, tree)), spark.createDataFrame(rows, OBS), default=S.Policy(missing=missing))
-            expected = {}
-            for s in "stu":
-                own = {(p, c): w for k, p, c, w in edges if k is None} | {(p, c): w for k, p, c, w in edges if k == s}
-                net = S.Network(part_of=spark.createDataFrame([(p, c, w) for (p, c), w in own.items()], TREE))
-                expected |= table(S.solve(net, spark.createDataFrame([o for o in rows if o[0] == s], OBS), default=S.Policy(missing=missing)))
-            assert table(one) == expected
-            if not drop:
-                assert expected["s", "P"][0] == 23.0 and expected["t", "R"][0] == 14.0 and expected["u", "R"][0] == 121.0
+    for missing, drop in (("UseZero", ()), ("Invalidate", ("c",))):
+        rows = [o for o in obs if o[2] not in drop]
+        one = S.solve(S.Network(part_of=spark.createDataFrame(edges, tree)), spark.createDataFrame(rows, OBS), default=S.Policy(missing=missing))
+        expected = {}
+        for s in "stu":
+            own = {(p, c): w for k, p, c, w in edges if k is None} | {(p, c): w for k, p, c, w in edges if k == s}
+            net = S.Network(part_of=spark.createDataFrame([(p, c, w) for (p, c), w in own.items()], TREE))
+            expected |= table(S.solve(net, spark.createDataFrame([o for o in rows if o[0] == s], OBS), default=S.Policy(missing=missing)))
+        assert table(one) == expected
+        if not drop:
+            assert expected["s", "P"][0] == 23.0 and expected["t", "R"][0] == 14.0 and expected["u", "R"][0] == 121.0
