@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyflow.functions.aggregates import CUBE_AGGREGATES, PIVOT_AGGREGATES
+from tallyflow.operators.dictionary import CodeDictionary
 from tallyflow.operators.filters import filter_dims, filter_mapped, filter_periods, resolve_column
 from tallyflow.operators.mapping import apply_mappings
 from tallyflow.runtime import ROWS_PER_TASK, small_table, union_all
@@ -84,8 +85,9 @@ def query_cube(
     pairs: Sequence[tuple[str, str]] = (),
     period: str = "period",
     warnings: list[str] | None = None,
+    dictionary: CodeDictionary | None = None,
 ) -> DataFrame:
-    """Filter, re-code, group, aggregate and rename, as one lazy plan.
+    """Filter, re-code, group, aggregate and rename, as one lazy plan (with a ``dictionary``, codes are looked up there at once).
 
     ``where`` may name native dimensions, mapped dimensions of ``pairs`` and
     StartPeriod / EndPeriod. Rows with a NULL group key are dropped. Without ``group_by`` the
@@ -100,11 +102,11 @@ def query_cube(
     if start is not None:
         df = filter_periods(df, first(start), first(end) if end is not None else None, period)
     native = {k: v for k, v in where.items() if resolve_column(df, k)}
-    df = filter_dims(df, native)
+    df = filter_dims(df, native, dictionary=dictionary)
     for dim, codes in where.items():
         via = next((p for p in pairs if p[1].lower() == dim.lower()), None)
         if dim not in native and via and codes:
-            df = filter_mapped(df, mapping, via[0], via[1], codes)
+            df = filter_mapped(df, mapping, via[0], via[1], codes, dictionary)
     if pairs:
         df = apply_mappings(df, mapping, measures, pairs)
     if not group_by:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.functions.scalar import wildcard_regex
+from tallyflow.operators.dictionary import CodeDictionary
 from tallyflow.runtime import skew_join
 
 
@@ -36,8 +37,10 @@ def is_value(code: str, kind: T.DataType) -> bool:
     return False
 
 
-def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bool = False) -> DataFrame:
-    """AND over dimensions, IN over codes; an empty list does not restrict."""
+def filter_dims(
+    df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bool = False, dictionary: CodeDictionary | None = None
+) -> DataFrame:
+    """AND over dimensions, IN over codes; an empty list does not restrict. Codes with letters reach the scan for dimensions of ``dictionary``."""
     for dim, codes in where.items():
         codes = _codes(codes)
         name = resolve_column(df, dim)
@@ -45,6 +48,8 @@ def filter_dims(df: DataFrame, where: Mapping[str, Sequence], case_sensitive: bo
             continue
         if case_sensitive:
             df = df.filter(F.col(name).cast("string").isin(codes))
+        elif dictionary is not None and name in dictionary:
+            df = dictionary.restrict(df, name, codes)
         elif any(c.lower() != c.upper() for c in codes):
             df = df.filter(F.lower(F.col(name).cast("string")).isin(sorted({c.lower() for c in codes})))
         elif (kind := df.schema[name].dataType).simpleString() == "string":
@@ -78,10 +83,15 @@ def filter_periods(df: DataFrame, start, end=None, period: str = "period") -> Da
 
 
 def filter_mapped(
-    df: DataFrame, mapping: DataFrame, origin_dim: str, dest_dim: str, dest_codes: Sequence[str]
+    df: DataFrame,
+    mapping: DataFrame,
+    origin_dim: str,
+    dest_dim: str,
+    dest_codes: Sequence[str],
+    dictionary: CodeDictionary | None = None,
 ) -> DataFrame:
     """Rows whose origin code maps to one of ``dest_codes``: a semi-join written before any other
-    work so that it prunes the scan."""
+    work, or a filter on the origin's own values if ``dictionary`` has the origin dimension."""
     wanted = sorted({c.lower() for c in dest_codes})
     origins = (
         mapping.filter(
@@ -92,6 +102,9 @@ def filter_mapped(
         .select(F.lower("origin_code").alias("_code"))
         .distinct()
     )
+    name = resolve_column(df, origin_dim)
+    if dictionary is not None and name in dictionary:
+        return dictionary.restrict(df, name, origins)
     return (
         df.withColumn("_code", F.lower(F.col(origin_dim).cast("string")))
         .join(origins, "_code", "left_semi")

@@ -8,6 +8,7 @@ from tallyflow.functions.aggregates import missing_count
 from tallyflow.operators import cube as C
 from tallyflow.operators import filters as Q
 from tallyflow.operators import mapping as M
+from tallyflow.operators.dictionary import CodeDictionary
 from tallyflow.plans.registry import Tables, inline, query, rounded, year_of
 from tallyflow.runtime import declared_first
 from tallyflow.sources.readers import with_position
@@ -286,6 +287,34 @@ def cube_filter_mapped(spark, sf):
     )
 
 
+@query(
+    "cube_by_dictionary",
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 3) AS quantity FROM lineitem
+    WHERE lower(l_returnflag) IN ('a', 'n') AND lower(l_linestatus) = 'f' GROUP BY 1, 2""",
+)
+def cube_by_dictionary(spark, sf):
+    """Codes in any case, looked up in a dictionary of the cube: the scan filters by the values themselves."""
+    cube = Tables(spark, sf).lineitem
+    known = CodeDictionary.of(cube, ["l_returnflag", "l_linestatus"])
+    return rounded(
+        C.query_cube(cube, {"L_RETURNFLAG": ["a", "N", "absent"], "l_linestatus": ["f"]}, ["l_returnflag", "l_linestatus"], ["l_quantity"], ["sum"], ["quantity"], dictionary=known), 3
+    )
+
+
+@query(
+    "cube_mapped_by_dictionary",
+    """SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1""",
+)
+def cube_mapped_by_dictionary(spark, sf):
+    """A filter on a mapped dimension with as many origin codes as customers: ranges of the dictionary."""
+    cube = Tables(spark, sf).customer
+    code = lambda c: F.lit(c).cast("string")
+    segments = cube.select(code("c_name").alias("origin_dim"), F.upper("c_name").alias("origin_code"), code("segment").alias("dest_dim"), F.col("c_mktsegment").alias("dest_code"))
+    wanted = ["automobile", "FURNITURE", "household", "Machinery"]
+    kept = Q.filter_mapped(cube, segments, "c_name", "segment", wanted, CodeDictionary.of(cube, ["c_name"]))
+    return kept.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "cube_rows",
     f"""WITH {ORDER_CUBE}, p AS ({PRIORITY_MAP})

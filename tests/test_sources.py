@@ -178,3 +178,33 @@ def test_the_first_declaration_counts(spark, tmp_path):
     processors, part_of, _ = network.build_processors(procs)
     assert {r["processor"]: r["accounted"] for r in processors.collect()} == {"P": True, "C": False}
     assert [(r["parent"], r["child"], r["weight"]) for r in part_of.collect()] == [("P", "C", "2")]
+
+
+@pytest.mark.parametrize("literals", [1_000, 2])
+def test_codes_by_dictionary(spark, tmp_path, monkeypatch, literals):
+    from tallyflow.operators import dictionary as D
+    from tallyflow.operators.filters import filter_dims, filter_mapped
+
+    monkeypatch.setattr(D, "MAX_LITERALS", literals)
+    monkeypatch.setattr(D, "MAX_RANGES", 2)
+    cells = [("ES", 1), ("es", 2), ("Pt", 3), ("FR", 4), ("it", 5), (None, 6), ("ES", 7)]
+    path = str(tmp_path / "cube")
+    small_table(spark, cells, "geo string, n int").write.parquet(path)
+    cube = spark.read.parquet(path)
+    known = D.CodeDictionary.write(cube, ["geo"], str(tmp_path / "codes"))
+    for codes in (["Es"], ["eS", "PT", "fr", "none"], ["none"]):
+        out = filter_dims(cube, {"GEO": codes}, dictionary=known)
+        assert rows(out, "geo", "n") == rows(filter_dims(cube, {"GEO": codes}), "geo", "n")
+        assert out.columns == cube.columns
+    assert rows(filter_dims(cube, {"geo": []}, dictionary=known), "n") == [(i,) for i in range(1, 8)]
+    plan = filter_dims(cube, {"geo": ["es", "pt"]}, dictionary=known)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert ("In(geo, [ES,Pt,es])" if literals > 2 else "GreaterThanOrEqual(geo,ES)") in pushed
+    mapping = small_table(spark, [("geo", "es", "bloc", "south", 1.0), ("geo", "PT", "bloc", "South", 1.0), ("geo", "fr", "bloc", "west", 1.0)], MAP)
+    for wanted in (["SOUTH"], ["west", "south"], ["north"]):
+        plain = filter_mapped(cube, mapping, "geo", "bloc", wanted)
+        assert rows(filter_mapped(cube, mapping, "geo", "bloc", wanted, known), "geo", "n") == rows(plain, "geo", "n")
+    days = spark.sql("SELECT DATE'2024-01-01' AS day, 1 AS n UNION ALL SELECT DATE'2024-01-02', 2")
+    assert rows(filter_dims(days, {"day": ["2024-01-02", "x"]}, dictionary=D.CodeDictionary.of(days, ["day"])), "n") == [(2,)]
+    none = cube.limit(0)
+    assert filter_dims(none, {"geo": ["es"]}, dictionary=D.CodeDictionary.of(none, ["geo"])).count() == 0
