@@ -3,8 +3,8 @@
 A text is cut at line ends into paragraphs; runs of paragraphs form sections. Where a section ends is told by
 the digest of its last paragraph, so that an inserted paragraph disturbs its own section and no other. A paragraph's node is the digest of
 its text, a section's node the digest of its paragraphs' nodes, the root that of the sections' nodes: equal roots mean equal
-texts, and where roots differ only sections, and then paragraphs, that differ need to be looked at. Beside the tree
-stands the set of distinct short pieces of the text, whose ends are told by their letters; it grades how much of a text is left.
+texts, and where roots differ only sections, and then paragraphs, that differ need to be looked at. The leaves below a paragraph are the digests of
+its short pieces, whose ends are told by their letters; ``likeness`` walks two trees from their roots and counts the leaves that are left.
 
 A null text is the empty text, which has one empty paragraph. Repeated rows each get a fingerprint. Further columns stay as they are; the names
 that are added are stated where they are added.
@@ -12,12 +12,15 @@ that are added are stated where they are added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Up to the first space after one of these letters, or 48 characters.
 PIECE = r"[^\n]{0,47}?[desntr.,] |[^\n]{1,48}"
+DIGEST, LEAF = 64, 16  # hex digits
 SECTION_ENDS = "0123"  # first hex digits of a paragraph digest that end a section: one in four
 BLOCK_BYTES = 4 << 20
 MAX_BLOCKS = 1 << 16
@@ -25,10 +28,18 @@ LEAST = -(1 << 63)
 
 
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``<name>``: struct<root, sections, paragraphs, pieces> of the column ``text``."""
+    """Adds ``<name>``: struct<root, sections, paragraphs, branches, n_leaves> of the column ``text``.
+
+    A branch is a section for the walk: its paragraphs, each its digest and those of its leaves in a row, with commas after them."""
     paragraphs, nodes, sections = (f"_{name}_{x}" for x in ("text", "nodes", "sections"))
+    grown = f"_{name}_grown"
     ends = F.lit(SECTION_ENDS)
     marked = F.transform(nodes, lambda h: F.when(ends.contains(F.substring(h, 1, 1)), F.concat(h, F.lit("|"))).otherwise(h))
+
+    def with_leaves(h: Column, p: Column) -> Column:
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.lpad(F.hex(F.xxhash64(x)), LEAF, "0"))
+        return F.concat(h, F.array_join(leaves, ""), F.when(ends.contains(F.substring(h, 1, 1)), F.lit("|")).otherwise(F.lit(",")))
+
     return (
         df.withColumn(paragraphs, F.split(F.coalesce(text, F.lit("")), "\n"))
         .withColumn(nodes, F.transform(paragraphs, lambda p: F.sha2(p, 256)))
@@ -36,18 +47,18 @@ def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
             sections,
             F.transform(F.filter(F.split(F.array_join(marked, ""), r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256)),
         )
+        .withColumn(grown, F.array_join(F.zip_with(nodes, paragraphs, with_leaves), ""))
         .withColumn(
             name,
             F.struct(
                 F.sha2(F.array_join(sections, ""), 256).alias("root"),
                 F.col(sections).alias("sections"),
                 F.col(nodes).alias("paragraphs"),
-                F.array_distinct(
-                    F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
-                ).alias("pieces"),
+                F.filter(F.split(grown, r"\|"), lambda s: s != "").alias("branches"),
+                ((F.char_length(grown) - (DIGEST + 1) * F.size(nodes)) / LEAF).cast("long").alias("n_leaves"),
             ),
         )
-        .drop(paragraphs, nodes, sections)
+        .drop(paragraphs, nodes, sections, grown)
     )
 
 
@@ -56,11 +67,57 @@ def fingerprint(tree: str) -> Column:
     return F.concat_ws(":", F.col(f"{tree}.root"), F.array_join(F.transform(f"{tree}.sections", lambda h: F.substring(h, 1, 8)), ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: a column that a lambda names would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def numbered(items: Column) -> Column:
+    """The texts in order, each repeat with its number behind ``#``: sets of them have the repeats of the list."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.flatten(F.transform(at, lambda b, k: repeats(F.get(s, b), F.coalesce(F.get(at, k + 1), n) - b))))
+
+    def repeats(x: Column, times: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), times - 1), lambda j: F.when(j == 0, x).otherwise(F.concat(x, F.lit("#"), j.cast("string"))))
+
+    return let(F.array_sort(items), runs)
+
+
+def below(gone: Column, children: Callable[[Column], Column]) -> Column:
+    """The children of nodes, which are numbered where they repeat."""
+    return F.filter(F.flatten(F.transform(gone, lambda x: children(F.substring_index(x, "#", 1)))), lambda c: c != "")
+
+
+def shared_leaves(a: str, b: str) -> Column:
+    """Leaves of the branches that only one of two trees has, as far as the other has them elsewhere, plus those of common branches: the
+    walk goes from sections to paragraphs to leaves, and below differing nodes only; a node counts as often as both trees have it."""
+
+    def walk(x: Column, y: Column, levels: list[Callable[[Column], Column]]) -> Column:
+        """Leaves that are in ``x`` but have no partner in ``y``."""
+
+        def pair(sides: Column) -> Column:
+            left, right = F.array_except(F.get(sides, 0), F.get(sides, 1)), F.array_except(F.get(sides, 1), F.get(sides, 0))
+            if not levels:
+                return F.size(left)
+            return walk(below(left, levels[0]), below(right, levels[0]), levels[1:])
+
+        return let(F.array(numbered(x), numbered(y)), pair)
+
+    paragraphs = lambda section: F.split(section, ",")
+    leaves = lambda node: F.regexp_extract_all(F.substring(node, DIGEST + 1, 1 << 30), F.lit("[0-9A-F]{%d}" % LEAF), F.lit(0))
+    return F.col(f"{a}.n_leaves") - walk(F.col(f"{a}.branches"), F.col(f"{b}.branches"), [paragraphs, leaves])
+
+
 def likeness(a: str, b: str) -> Column:
-    """Share of pieces that two trees have in common, 0 to 1; 1 for equal roots without looking further."""
-    shared = F.size(F.array_intersect(f"{a}.pieces", f"{b}.pieces"))
-    both = F.size(f"{a}.pieces") + F.size(f"{b}.pieces")
-    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), 1.0).when(both == 0, 0.0).otherwise(2 * shared / both)
+    """Share of leaves that two trees have in common, 0 to 1, repeats counted; 1 for equal roots without looking further, and below
+    1 for others: n leaves that only stand in another order give n / (n + 1). Texts of line ends only have no leaves and are alike if equal."""
+    both = F.col(f"{a}.n_leaves") + F.col(f"{b}.n_leaves")
+    part = F.least(2 * shared_leaves(a, b) / both, both / (both + 1))
+    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), 1.0).when(both == 0, 0.0).otherwise(part)
 
 
 def edits(a: str, b: str) -> Column:
