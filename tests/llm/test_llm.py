@@ -338,6 +338,26 @@ def test_verbatim_notices_count(spark):
     assert near.labels == "lgpl" and 0 < near.score < 1 and (none.labels, none.score) == ("", 0.0)
 
 
+def test_words_near_short_notices_are_no_notices(spark):
+    """One error makes other words of a short notice; a wrong letter inside a long word is still the notice."""
+    plain = [
+        "please omit license text", "grant it license to use", "a kit license fee", "a bit license", "apache licensee", "the mitt license", "mi license",
+        "met license", "permit license", "apaches license", "an apache licensees", "mit licensee", "commit licensed work", "mit a license", "mitlicense",
+    ]
+    hurt = {"mit licence": "mit", "mit lisense": "mit", "apache lisense": "apache", "apoche license": "apache", "MIT-licensed": "mit", "Apache licensed": "apache", "mit liceense": "mit"}
+    long = {"gnu genral public license": "gpl", "mozilla publics license": "mpl", "creative comons attribution": "cc-by"}
+    texts_ = [*plain, *hurt, *long]
+    rows = licenses.scan_documents(make_docs(spark, texts_)).withColumn("labels", licenses.label_list("exact", "fuzzy")).collect()
+    assert {texts_[r.doc_id]: r.labels for r in rows} == {**dict.fromkeys(plain, ""), **hurt, **long}
+
+
+def test_word_numbers_of_many_places(spark):
+    text = " ".join(["cc by and", "mit lisense"] * 3_000)
+    row = licenses.scan_documents(make_docs(spark, [text])).first()
+    assert [x.first_word for x in row.exact] == [5 * k for k in range(3_000)] and [x.first_word for x in row.fuzzy] == [5 * k + 3 for k in range(3_000)]
+    assert licenses.word_numbers(b"a b  c", [5, 0, 2]) == {0: 0, 2: 1, 5: 3}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for x in a:
@@ -452,6 +472,34 @@ def test_fingerprints(spark, odd_texts, monkeypatch):
     assert len(prints) == len({t or "" for t in many})
 
 
+def plain_leaves(text):
+    return Counter(x for p in (text or "").split("\n") for x in re.findall(merkle.PIECE, p))
+
+
+def test_likeness_walks_the_trees(spark, odd_texts):
+    """Leaves in common, counted with their repeats, beside a plain count over all leaves of both texts."""
+    rng = random.Random(8)
+    lines = ["one line", "another, longer line of text.", "", "x", prose(rng, 60), prose(rng, 90), "one line"]
+    pairs = [("a", "a\na"), ("a\na\na", "a\na"), ("b\na", "a\nb"), ("\n", "\n\n"), ("", ""), (None, ""), ("x", ""), ("a, a, a, b.", "a, a, c."), ("1#2", "1#2\n1#2|,")]
+    for _ in range(80):
+        text = [rng.choice(lines) for _ in range(rng.randrange(1, 40))]
+        other = [*text]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(3)] = rng.choices(lines, k=rng.randrange(3))
+        pairs.append(("\n".join(text), "\n".join(other)))
+    pairs += [(t, u) for t, u in zip(odd_texts, odd_texts[1:])]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "doc_id long, text string, other string")
+    df = merkle.with_tree(merkle.with_tree(df, "text", "own"), "other", "next")
+    got = {r.doc_id: r for r in df.select("doc_id", merkle.likeness("own", "next").alias("near"), "own.n_leaves", F.col("own.root").alias("a"), F.col("next.root").alias("b")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        left, right = plain_leaves(a), plain_leaves(b)
+        both, same = left.total() + right.total(), (left & right).total()
+        want = 1.0 if (a or "") == (b or "") else min(2 * same / both, both / (both + 1)) if both else 0.0
+        assert got[k].n_leaves == left.total() and got[k].near == pytest.approx(want), pairs[k]
+        assert (got[k].near == 1) == (got[k].a == got[k].b) == ((a or "") == (b or ""))
+
+
 def test_fingerprints_with_ties(spark):
     docs = make_docs(spark, ["b", "a", "c", "a"], [1, 1, 0, 1])
     rows = merkle.with_next(docs).collect()
