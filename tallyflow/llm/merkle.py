@@ -84,7 +84,7 @@ def numbered(items: Column) -> Column:
     def repeats(x: Column, times: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), times - 1), lambda j: F.when(j == 0, x).otherwise(F.concat(x, F.lit("#"), j.cast("string"))))
 
-    return let(F.array_sort(items), runs)
+    return let(F.sort_array(items), runs)  # compares bytes, where array_sort calls a lambda
 
 
 def below(gone: Column, children: Callable[[Column], Column]) -> Column:
