@@ -238,3 +238,18 @@ def test_weights_per_scenario(spark):
     obs = spark.createDataFrame([("s", "1", "a", 1.0), ("t", "1", "a", 1.0)], "scenario string, period string, node string, value double")
     values = S.solve(S.Network(part_of=tree), obs).values
     assert {(r["scenario"], r["value"]) for r in values.filter("node = 'P'").collect()} == {("s", 2.0), ("t", 5.0)}
+
+
+def test_flow_edges_reach_every_supplier_of_the_nation(spark, tmp_path):
+    from tallyflow.plans import QUERIES
+
+    spark.createDataFrame([(3, 1, "A"), (4, 1, "B"), (5, 2, "A")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = [(3, "1995-01-01", 2.0), (3, "1995-05-01", 1.0), (4, "1996-01-01", 4.0), (5, "1996-01-01", 8.0)]
+    orders = spark.createDataFrame(orders, "o_custkey long, day string, o_totalprice double").select("o_custkey", F.to_date("day").alias("o_orderdate"), "o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["flow_edges"](spark, str(tmp_path)).select("period", "source", "target", "value").collect()
+    assert sorted(map(tuple, found)) == [
+        ("1995", "C3:Money", "S10:Money", 3.0), ("1995", "C3:Money", "S11:Money", 3.0),
+        ("1996", "C4:Money", "S10:Money", 4.0), ("1996", "C4:Money", "S11:Money", 4.0), ("1996", "C5:Money", "S12:Money", 8.0),
+    ]
