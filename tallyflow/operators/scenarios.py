@@ -45,13 +45,18 @@ def _number(text: str) -> Column:
     return F.col(text).try_cast("double")
 
 
+NO_NUMBER = r"[*/()_=<>]|[0-9A-Za-z)]\s+[-+0-9A-Za-z(]"  # found in no text that is a number: spares the cast, which is slow where it fails
+
+
 def _is_formula(text: str) -> Column:
-    return F.col(text).isNotNull() & _number(text).isNull()
+    return F.when(F.col(text).rlike(NO_NUMBER), True).otherwise(F.col(text).isNotNull() & _number(text).isNull())
 
 
-def compute(shaped: DataFrame, out: str) -> DataFrame:
-    """Add ``out`` to rows with ``_f`` (a shape, see ``formulas.shape``) and ``_values``, the values of its names."""
-    shapes = [r["s"] for r in shaped.select(F.col("_f.shape").alias("s")).distinct().orderBy("s").toLocalIterator()]  # few, whatever the texts
+def compute(shaped: DataFrame, out: str, texts: DataFrame | None = None) -> DataFrame:
+    """Add ``out`` to rows with ``_f`` (a shape, see ``formulas.shape``) and ``_values``, the values of its names. The shapes are looked up
+    in ``texts``, a written table with ``_f``, if there is one."""
+    known = shaped if texts is None else texts
+    shapes = [r["s"] for r in known.select(F.col("_f.shape").alias("s")).distinct().orderBy("s").toLocalIterator()]  # few, whatever the texts
     if not shapes:
         return shaped.withColumn(out, F.lit(None).cast("double"))
 
@@ -72,19 +77,28 @@ def compute(shaped: DataFrame, out: str) -> DataFrame:
     pages = [shapes[at : at + SHAPES] for at in range(0, len(shapes), SHAPES)]
     if len(pages) == 1:
         return shaped.withColumn(out, value(shapes))
-    return union_all([shaped.filter(F.col("_f.shape").isin(page)).withColumn(out, value(page)) for page in pages])
+    rest = [] if texts is None else [shaped.filter("_f is null").withColumn(out, F.lit(None).cast("double"))]
+    return union_all([shaped.filter(F.col("_f.shape").isin(page)).withColumn(out, value(page)) for page in pages] + rest)
+
+
+def shaped_texts(df: DataFrame, text: str) -> DataFrame:
+    """(``text``, _f): the distinct formulas of a column and their shapes. Taking a text apart costs far more than
+    joining it, and few texts stand in many rows; the table is written."""
+    texts = df.filter(_is_formula(text)).select(text).distinct().withColumn("_f", shape(F.col(text)))
+    return Scratch(df.sparkSession, "shapes").save(texts, "shapes")
 
 
-def evaluate(df: DataFrame, text: str, variables: str, out: str) -> DataFrame:
+def evaluate(df: DataFrame, text: str, variables: str, out: str, texts: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the number given by the formula in column ``text``.
 
     ``variables`` is a ``map<string,double>`` column with lower-case names. A name that is not
-    in the map makes the result NULL, as does a formula that cannot be computed.
+    in the map makes the result NULL, as does a formula that cannot be computed. Pass ``texts`` to reuse ``shaped_texts`` of the column.
     """
-    plain = df.filter(~_is_formula(text)).withColumn(out, _number(text))
-    rows = df.filter(_is_formula(text)).withColumn("_f", shape(F.col(text)))
+    texts = shaped_texts(df, text) if texts is None else texts
+    rows = skew_join(df, texts, [text], "left").select(*df.columns, "_f")
     rows = rows.withColumn("_values", F.transform("_f.names", lambda n: F.element_at(F.col(variables), n)))
-    return plain.unionByName(compute(rows, out).drop("_f", "_values"))
+    value = F.when(F.col("_f").isNull(), _number(text)).otherwise(F.col(out))
+    return compute(rows, out, texts).withColumn(out, value).drop("_f", "_values")
 
 
 def text_values(texts: DataFrame, params: DataFrame) -> DataFrame:
@@ -113,7 +127,7 @@ def evaluate_texts(df: DataFrame, text: str, params: DataFrame, out: str) -> Dat
     texts = df.filter(_is_formula(text)).select("scenario", F.col(text).alias("text")).distinct()
     values = Scratch(df.sparkSession, "formulas").save(text_values(texts, params), "values").withColumnRenamed("value", "_formula")
     rows = skew_join(df, values.withColumnRenamed("text", text), ["scenario", text], "left")
-    return rows.withColumn(out, F.coalesce(_number(text), F.col("_formula"))).drop("_formula")
+    return rows.withColumn(out, F.coalesce("_formula", F.when(~_is_formula(text), _number(text)))).drop("_formula")
 
 
 def eval_params(grid: DataFrame) -> DataFrame:
@@ -204,6 +218,7 @@ def eval_observations(
     evaluated; what is left refers to sibling interfaces and is ``pending``.
     """
     done = evaluate_texts(scenario_grid(obs, scenarios), "expr", params, "value")
+    done = Scratch(obs.sparkSession, "observed").save(done, "evaluated")  # both results read it, several times
     return done.filter("value is not null"), done.filter("value is null and expr is not null").drop("value")
 
 
@@ -214,7 +229,9 @@ def sibling_evaluator(params: DataFrame, interfaces: DataFrame) -> Callable[[Dat
 
     def run(pending: DataFrame, values: DataFrame) -> DataFrame:
         place = ["scenario", "period", "_proc"]
-        used = pending.select("scenario", "period", F.col("processor").alias("_proc"), F.explode(shape(F.col("expr"))["names"]).alias("_i")).distinct()
+        texts = shaped_texts(pending, "expr")
+        used = skew_join(pending.select("scenario", "period", F.col("processor").alias("_proc"), "expr"), texts, ["expr"])
+        used = used.select(*place, F.explode("_f.names").alias("_i")).distinct()
         known = (
             values.select("scenario", "period", "node", "value")
             .join(sides, "node")
@@ -229,7 +246,7 @@ def sibling_evaluator(params: DataFrame, interfaces: DataFrame) -> Callable[[Dat
         near, far = F.coalesce("_near", empty), F.coalesce("vars", empty)
         near = F.map_filter(near, lambda k, v: ~F.map_contains_key(far, k))
         rows = rows.withColumn("_all", F.map_concat(near, far)).drop("_near", "vars")
-        return evaluate(rows, "expr", "_all", "value").drop("_all")
+        return evaluate(rows, "expr", "_all", "value", texts).drop("_all")
 
     return run
 

@@ -117,3 +117,12 @@ def test_heights_name_the_cycle(spark):
     tree = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("b", "c")], "parent string, child string")
     with pytest.raises(ValueError, match="cycle: a, b$"):
         H.heights(tree).collect()
+
+
+def test_formulas_are_taken_apart_once_for_each_text(spark):
+    rows = spark.createDataFrame([(i, t, {"a": float(i)}) for i in range(30) for t in ("a * 2", "a - 1", " 7 ", "1e2", "nope(", None)], "i int, t string, v map<string,double>")
+    texts = P.shaped_texts(rows, "t")
+    assert sorted(r["t"] for r in texts.collect()) == ["a * 2", "a - 1", "nope("]
+    got = {(r["i"], r["t"]): r["x"] for r in P.evaluate(rows, "t", "v", "x").collect()}
+    assert len(got) == 180 and got[3, "a * 2"] == 6.0 and got[3, "a - 1"] == 2.0
+    assert got[0, " 7 "] == 7.0 and got[0, "1e2"] == 100.0 and got[5, "nope("] is None and got[5, None] is None
