@@ -16,7 +16,7 @@ from tallyflow.operators.graph import Propagation, computation_edges, edge_keys,
 from tallyflow.operators.hierarchy import Levels, scenario_edges
 from tallyflow.operators.incremental import MOST_TABLES, KeptState
 from tallyflow.operators.issues import issue, source_priority
-from tallyflow.runtime import Scratch, hot_keys, skew_join, union_all
+from tallyflow.runtime import Scratch, hot_keys, skew_join, spread, union_all
 
 KEYS = ["scenario", "period"]
 STATE = KEYS + ["node", "value", "computed", "source", "observer", "direct", "seq"]
@@ -550,6 +550,7 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
     """Origins of every computed value in force: (scenario, period, origin, destination, source,
     weight, quantity) with quantity = weight x origin value."""
     values = solution.results.filter("conflict <> 'Dismissed'").select(*STATE)
+    values, n = Scratch(values.sparkSession, "contributions").save_counted(values, "values")  # read for every graph
     made = values.filter("computed").select(*KEYS, "node", "source", "direct", F.col("seq").alias("_seq"))
     origin = values.select(
         *KEYS, F.col("node").alias("input"), F.col("value").alias("_v"), F.col("seq").alias("_at")
@@ -560,7 +561,7 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
             continue
         inputs = computation_edges(edges).filter("weight is not null")
         rows = skew_join(inputs, made.filter(F.col("source") == source), edge_keys(inputs) + ["node", "direct"])
-        rows = skew_join(rows, origin, KEYS + ["input"])
+        rows = skew_join(spread(rows, n, *KEYS, "input"), spread(origin, n, *KEYS, "input"), KEYS + ["input"])
         whole = rows.filter(~F.col("split")).select(*KEYS, "input", "node", "source", "weight", "_v")
         one = (
             rows.filter("split and _at < _seq")
@@ -576,7 +577,7 @@ def contributions(solution: Solution, network: Network) -> DataFrame:
         edges = scenario_edges(edges.withColumn("weight", w), values)
         inputs = edges.select(*edge_keys(edges), F.col("parent").alias("node"), F.col("child").alias("input"), "weight")
         rows = skew_join(inputs, made.filter(F.col("source") == source), [*edge_keys(edges), "node"])
-        rows = skew_join(rows, origin, KEYS + ["input"]).filter("_at < _seq")
+        rows = skew_join(spread(rows, n, *KEYS, "input"), spread(origin, n, *KEYS, "input"), KEYS + ["input"]).filter("_at < _seq")
         frames.append(rows.select(*KEYS, "input", "node", "source", "weight", "_v"))
     return union_all(frames).select(
         *KEYS,
