@@ -177,19 +177,22 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, up: bool = False)
 def heights(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, height): longest way down to a leaf. A cycle raises ``ValueError`` that names members of cycles."""
     scratch = scratch or Scratch(edges.sparkSession, "heights")
-    step = edges.select("parent", "child").distinct()
-    nodes = step.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
-    levels, size = [nodes.withColumn("height", F.lit(0))], -1
+    step = edges.select("parent", "child")
     level, n = scratch.save_counted(step.select(F.col("parent").alias("node")).distinct(), "above-1")
+    # only nodes that are no parents are leaves; the others are few and get their height from the levels
+    children = step.select(F.col("child").alias("node")).distinct()
+    leaves = children.join(level, "node", "left_anti").withColumn("height", F.lit(0))
+    levels, size = [level.withColumn("height", F.lit(0))], -1
     while n:
         if n == size:
-            members = [r["node"] for r in cyclic_parts(step, "parent", "child").orderBy("node").limit(NAMED).collect()]
+            members = [r["node"] for r in cyclic_parts(step.distinct(), "parent", "child").orderBy("node").limit(NAMED).collect()]
             raise ValueError("the hierarchy has a cycle: " + ", ".join(map(str, members)))
         size = n
         levels.append(level.withColumn("height", F.lit(len(levels))))
         above = step.join(level.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
         level, n = scratch.save_counted(above, f"above-{len(levels)}")
-    return scratch.save(union_all(levels).groupBy("node").agg(F.max("height").alias("height")), "heights")
+    tops = union_all(levels).groupBy("node").agg(F.max("height").alias("height"))
+    return scratch.save(tops.unionByName(leaves), "heights")
 
 
 # -- roll-up ----------------------------------------------------------------------------
@@ -202,11 +205,13 @@ class Levels:
 
     def __init__(self, edges: DataFrame, scratch: Scratch, label: str = "tree"):
         self.scratch, self.label, self.differ = scratch, label, "scenario" in edges.columns
-        weighted = edges.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        self.tops = heights(edges, scratch)
+        # written: read by the heights, the counts of children and the edges
+        weighted = scratch.save(edges.withColumn("weight", F.coalesce("weight", F.lit(1.0))), f"{label}-given")
+        self.tops = heights(weighted, scratch)
         self.top = self.tops.agg(F.max("height")).first()[0] or 0
         over = self.tops.select(F.col("node").alias("parent"), "height")
-        under = self.tops.select(F.col("node").alias("child"), F.col("height").alias("below"))
+        # a child without a height of its own is a leaf
+        under = self.tops.filter("height > 0").select(F.col("node").alias("child"), F.col("height").alias("below"))
         common = weighted.filter("scenario is null") if self.differ else weighted
         rows = with_child_counts(common.select("parent", "child", "weight")).withColumn("one", F.lit(1).cast("long"))
         if self.differ:
@@ -217,7 +222,7 @@ class Levels:
                 F.col("_common").isNull().cast("long").alias("one"), "scenario",
             )
             rows = rows.withColumn("scenario", F.lit(None).cast("string")).unionByName(own)
-        self.edges = scratch.save_by(rows.join(over, "parent").join(under, "child"), f"{label}-edges", "below")
+        self.edges = scratch.save_by(rows.join(over, "parent").join(under, "child", "left").fillna(0, "below"), f"{label}-edges", "below")
         self.hot = hot_keys(self.edges, ["child"])
         if self.differ:
             self.added = scratch.save(

@@ -234,7 +234,8 @@ class _Solver:
             if moved.join(tree.tops, "node", "left_semi").isEmpty():
                 return []
         mine = self.own[source]
-        base = self.overlay(results, mine).join(tree.tops, "node")
+        # values outside the hierarchy stand among the leaves, where no edge leads on from them
+        base = self.overlay(results, mine).join(tree.tops.filter("height > 0"), "node", "left").fillna(0, "height")
         base = self.scratch.save_by(base, f"{source}-base", "height")
         sweep = tree.sweep(KEYS, phase)
         sweep.add(0, base.filter("height = 0").select(*KEYS, "node", "value"))

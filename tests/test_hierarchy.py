@@ -119,3 +119,11 @@ def test_contain_and_scale(spark):
     k = spark.createDataFrame([("A", 3.0)], "node string, factor double")
     scaled = {(r["node"], r["flow"]): r["value"] for r in H.scale_subtree(flows, e, k).collect()}
     assert scaled[("B", "y")] == 30.0 and scaled[("P", "x")] == 1.0
+
+
+def test_heights_of_repeated_edges_and_inner_nodes(spark):
+    from tallyflow.operators.hierarchy import heights
+
+    e = spark.createDataFrame([("r", "a"), ("r", "a"), ("a", "b"), ("r", "c"), ("x", "c")], "parent string, child string")
+    got = sorted(map(tuple, heights(e).select("node", "height").collect()))
+    assert got == [("a", 1), ("b", 0), ("c", 0), ("r", 2), ("x", 1)]
