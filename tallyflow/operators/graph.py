@@ -82,10 +82,13 @@ def complete_weights(
         edges = edges.join(linked, ["src", "dst"], "left").withColumn(
             "_structural", F.coalesce("_structural", F.lit(False))
         )
-    edges = checkpointed(edges, "weights")  # read by the sums and by the join
+    # written: each is read by the sums and by the join of the next step, the last one by the results and their readers
+    scratch = Scratch(edges.sparkSession, "weights")
+    edges = scratch.save(edges, "given")
     direct = _complete(edges, "src", "weight", "reverse_weight").withColumnRenamed("_split", "src_split")
+    direct = scratch.save(direct, "direct")
     both = _complete(direct, "dst", "reverse_weight", "weight").withColumnRenamed("_split", "dst_split")
-    done = both.select(*keys, "src", "dst", "weight", "reverse_weight", "src_split", "dst_split")
+    done = scratch.save(both.select(*keys, "src", "dst", "weight", "reverse_weight", "src_split", "dst_split"), "reverse")
     gaps = (
         done.filter("weight is null")
         .groupBy(*keys, "src")
@@ -115,9 +118,12 @@ def computation_edges(edges: DataFrame) -> DataFrame:
         *keys, F.col("src").alias("node"), F.col("dst").alias("input"), F.col("reverse_weight").alias("weight"),
         F.lit(False).alias("direct"), F.col("src_split").alias("split"),
     )
-    rows = forward.unionByName(back)
-    counts = rows.groupBy(*keys, "node", "direct").agg(F.count(F.lit(1)).alias("n_inputs"))
-    return skew_join(rows, counts, keys + ["node", "direct"])
+
+    def counted(rows: DataFrame) -> DataFrame:  # a direction by itself: the side with few nodes need not be shuffled
+        counts = rows.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n_inputs"))
+        return skew_join(rows, counts, keys + ["node"]).select(*keys, "node", "direct", "input", "weight", "split", "n_inputs")
+
+    return counted(forward).unionByName(counted(back))
 
 
 # -- propagation ------------------------------------------------------------------------
