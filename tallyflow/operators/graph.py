@@ -17,6 +17,7 @@ from tallyflow.runtime import (
     hot_keys,
     skew_join,
     sorted_numbers,
+    spread,
     union_all,
 )
 
@@ -424,8 +425,16 @@ def flow_edges_for_solve(flows: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
         F.col("node").alias(end),
         *[F.col(c).alias(f"_{end}_{c}") for c in ("processor", "type", "orientation", "accounted")],
     )
-    rows = flows.join(info("src"), "src").join(info("dst"), "dst").join(info("back"), "back", "left")
+    scratch = Scratch(flows.sparkSession, "flow-edges")
+    flows, n = scratch.save_counted(flows, "flows")
+    nodes = scratch.save(nodes, "interfaces")
+    rows = spread(flows, n, "src").join(spread(info("src"), n, "src"), "src")
+    rows = spread(rows, n, "dst").join(spread(info("dst"), n, "dst"), "dst")
+    # flows without a back interface would all meet under one key
+    none = [F.lit(None).cast(t).alias(f"_back_{c}") for c, t in nodes.dtypes if c in ("processor", "type", "orientation", "accounted")]
+    rows = rows.filter("back is not null").join(info("back"), "back", "left").unionByName(rows.filter("back is null").select("*", *none))
     rows = rows.filter("_src_accounted and _dst_accounted and coalesce(_back_accounted, true)")
+    rows = scratch.save(rows, "accounted")  # read by every kind of edge below
     changed = F.col("scale_change_weight").isNotNull() | F.col("back").isNotNull()
     plain = rows.filter(~changed).select("src", "dst", F.col("weight").cast("double").alias("weight"))
     typed = rows.filter(changed).withColumn(
@@ -441,18 +450,18 @@ def flow_edges_for_solve(flows: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
         F.col("hidden").alias("src"), F.col("back").alias("dst"), w.alias("weight"), reverse.alias("reverse_weight")
     )
     change_edges = ahead.unionByName(back).distinct().withColumn("src_split", F.lit(True)).withColumn("dst_split", F.lit(False))
-    to_hidden = typed.groupBy("src", F.col("hidden").alias("dst")).agg(F.min(F.col("weight").cast("double")).alias("weight"))
+    to_hidden = typed.select("src", F.col("hidden").alias("dst"), "weight")
+    to_hidden = spread(to_hidden, n, "src", "dst").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight"))
     # the interface of the destination processor with the type of the source
     opposite = F.when(F.lower("_src_orientation") == "output", F.lit("Input")).otherwise(F.lit("Output"))
+    place = ["processor", "type", "orientation"]
     twins = (
-        typed.select(
-            "src", "hidden", F.col("_dst_processor").alias("processor"), F.col("_src_type").alias("type"),
-            opposite.alias("orientation"),
-        )
-        .join(nodes.select(F.col("node").alias("dst"), "processor", "type", "orientation"), ["processor", "type", "orientation"])
+        spread(typed.select("src", "hidden", F.col("_dst_processor").alias("processor"), F.col("_src_type").alias("type"), opposite.alias("orientation")), n, *place)
+        .join(spread(nodes.select(F.col("node").alias("dst"), *place), n, *place), place)
         .select("src", "hidden", "dst")
         .distinct()
     )
+    twins = scratch.save(twins, "twins")
     rerouted = plain.join(twins, ["src", "dst"]).select(F.col("hidden").alias("src"), "dst", F.lit(1.0).alias("weight"))
     kept = plain.join(twins.select("src", "dst"), ["src", "dst"], "left_anti")
     flow = union_all([kept, to_hidden, rerouted.distinct()])

@@ -130,3 +130,28 @@ def test_hidden_node_of_type_change(spark):
         (h, "Q:Y", 4.0, 0.25), (h, "P:Y", 4.0, 0.25),
     }
     assert [r["node"] for r in hidden.collect()] == [h]
+
+
+def test_hidden_nodes_with_and_without_back_interface(spark, monkeypatch):
+    import tallyflow.runtime as runtime
+
+    monkeypatch.setattr(runtime, "SPREAD_ROWS", 1)  # every table is dealt to many tasks
+    face = "node string, processor string, type string, orientation string, accounted boolean"
+    nodes = spark.createDataFrame([("a:x", "a", "X", "Output", True), ("b:y", "b", "Y", "Input", True), ("c:y", "c", "Y", "Input", True), ("a:r", "a", "R", "Input", False)], face)
+    flows = [("a:x", "b:y", 0.5, None, 4.0), ("a:x", "c:y", 0.25, "b:y", None), ("a:x", "c:y", 0.25, "a:r", None), ("a:x", "c:y", 0.75, None, None)]
+    flows = spark.createDataFrame(flows, "src string, dst string, weight double, back string, scale_change_weight double")
+    flow, change, hidden = G.flow_edges_for_solve(flows, nodes)
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in flow.collect()) == [
+        ("a:x", "a-b:X:Input/Output", 0.5), ("a:x", "a-c:X:Input/Output", 0.25), ("a:x", "c:y", 0.75),
+    ]
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in change.collect()) == [
+        ("a-b:X:Input/Output", "b:y", 4.0), ("a-c:X:Input/Output", "b:y", 1.0), ("a-c:X:Input/Output", "c:y", 1.0),
+    ]
+
+
+def test_completed_weights_are_written_for_their_readers(spark):
+    done, _ = G.complete_weights(edges(spark, ("A", "B", None, None), ("A", "C", 0.25, None)))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(done) and "Aggregate" not in plan(done)
+    got = {(r["node"], r["input"], r["direct"]): (r["weight"], r["n_inputs"]) for r in G.computation_edges(done).collect()}
+    assert got["B", "A", True] == (0.75, 1) and got["A", "C", False][1] == 2
