@@ -17,8 +17,8 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyflow.llm.encoding import BatchEncoder, _encoders, id_column
-from tallyflow.llm.texts import arrow_schema, slices, tokenizer_file
+from tallyflow.llm.encoding import BatchEncoder, id_column
+from tallyflow.llm.texts import arrow_schema, kept_in_worker, slices, tokenizer_file
 
 END = "\0"  # stands for the end-of-word suffix: one character that no byte maps to
 NEVER = 1 << 62
@@ -106,9 +106,7 @@ class PrefixWords:
 def prefix_encoder(path: str | None = None) -> BatchEncoder:
     """The worker's encoder: what it keeps serves all tasks that the worker runs."""
     file = path or tokenizer_file()
-    if ("prefix", file) not in _encoders:
-        _encoders["prefix", file] = BatchEncoder(PrefixWords(file), file)
-    return _encoders["prefix", file]
+    return kept_in_worker(("prefix", file), lambda: BatchEncoder(PrefixWords(file), file))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tallyflow.llm.texts import tokenizer_file
+from tallyflow.llm.texts import kept_in_worker, tokenizer_file
 
 CACHED_CHUNKS = 500_000  # memory bound of a worker, about 110 MB; a full cache starts anew
 
@@ -134,12 +134,7 @@ def id_column(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
-_encoders: dict[tuple[str, str], BatchEncoder] = {}
-
-
 def library_encoder(path: str | None = None) -> BatchEncoder:
     """The worker's encoder: what it keeps serves all tasks that the worker runs."""
     file = path or tokenizer_file()
-    if ("library", file) not in _encoders:
-        _encoders["library", file] = BatchEncoder(LibraryWords(file), file)
-    return _encoders["library", file]
+    return kept_in_worker(("library", file), lambda: BatchEncoder(LibraryWords(file), file))

@@ -22,7 +22,8 @@ kept. Rows with the same id and text share a component; other texts under the sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.texts import arrow_schema, slices
+from tallyflow.llm.texts import arrow_schema, let_go, slices
 from tallyflow.runtime import Scratch, skew_join
 
 TREES, DEPTH = 16, 8
@@ -43,6 +44,7 @@ COLUMNS = 4096  # shingles counted at once
 POSTINGS = 2_048  # rows under one shingle that are compared at once
 COUNTERS = 1 << 18  # of the sketch that orders shingles by frequency
 ROWS_A_TASK = 500_000  # rows of the forest, 150 bytes each
+FILTER_BITS = 26  # a filter of keys has 2^26 bits at most: 8 MB in a worker
 MARGIN = 0.13  # about four standard deviations of the estimate from 128 minima
 
 _random = np.random.default_rng(20240501)
@@ -115,6 +117,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     st, schema = arrow_schema("doc_id long, shingles binary")
 
     def run(batches):
+        let_go()
         shingler = Shingler(width)
         for part in slices(batches, "text"):
             found = [s.tobytes() for s in shingler.sets(part.column("text"))]
@@ -128,6 +131,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     st, schema = arrow_schema("doc_id long, text_key string, n_shingles long, digest string, signature binary")
 
     def run(batches):
+        let_go()
         shingler = Shingler(width)
         for part in slices(batches, "text"):
             n, digest, signed = [], [], []
@@ -141,6 +145,31 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, st)
 
 
+def key_filter(keys: DataFrame, *cols: str) -> Callable[..., Column]:
+    """Predicate on as many columns: true for the values of ``cols`` in ``keys``, and for few others (a Bloom filter of 16 bits a key, less selective beyond
+    four million keys). What it refuses is in ``keys`` for certain not, and need not be moved to be joined; what it lets pass is joined as ever."""
+    bits = 1 << min(FILTER_BITS, max(16, (16 * keys.count()).bit_length()))
+
+    def places(key: Column) -> Column:
+        return F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))
+
+    placed = keys.select(F.explode(places(F.xxhash64(*cols))).alias("place"))
+    words = placed.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def held(key: pa.Array) -> pa.Array:
+        h = key.to_numpy(zero_copy_only=False).view(np.uint64)
+        found = np.ones(len(h), bool)
+        for place in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+            found &= (shared.value.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pa.array(found)
+
+    return lambda *values: held(F.xxhash64(*values))
+
+
 def agreement(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of signatures, corrected for bytes that agree by chance."""
     same = (rows == row).mean(axis=-1)
@@ -196,14 +225,25 @@ def prefix_of(depth: int) -> Column:
     return F.substring("label", 1, depth)
 
 
-def split_prefixes(forest: DataFrame, scratch: Scratch, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+def prefix_counts(rows: DataFrame, depth: int) -> DataFrame:
+    return rows.groupBy("tree", prefix_of(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_rows(forest: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows that share a prefix of ``LEVELS[0]`` bytes with another one (and a few that do not), and the number of rows (tree, prefix, n) under each
+    shared prefix. A row without company has nothing to be compared with: its label is not moved, only its prefix is counted."""
+    counts = scratch.save(prefix_counts(forest, LEVELS[0]).filter("n > 1"), "shared")
+    return forest.filter(key_filter(counts, "tree", "prefix")(F.col("tree"), prefix_of(LEVELS[0]))), counts
+
+
+def split_prefixes(forest: DataFrame, scratch: Scratch, most: int, counted: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
     """For each level the prefixes (tree, prefix) that more than ``most`` rows share, and the rows of the first of them as a table: only
-    these are looked at again."""
+    these are looked at again. ``counted`` has the rows (tree, prefix, n) of the first level, if they are counted already."""
     found: list[DataFrame] = []
     rows, inside = forest, None
     for depth in LEVELS[:-1]:
-        counts = rows.groupBy("tree", prefix_of(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-        crowded, n = scratch.save_counted(counts.select("tree", "prefix"), f"split-{depth}")
+        counts = counted if counted is not None and not found else prefix_counts(rows, depth)
+        crowded, n = scratch.save_counted(counts.filter(F.col("n") > most).select("tree", "prefix"), f"split-{depth}")
         if not n:
             break
         found.append(crowded)
@@ -269,8 +309,8 @@ def forest_pairs(representatives: DataFrame, threshold: float, region: int | Non
         if pairs:
             yield packed()
 
-    forest = forest_rows(representatives)
-    splits, inside = split_prefixes(forest, scratch, most)
+    forest, counts = shared_rows(forest_rows(representatives), scratch)
+    splits, inside = split_prefixes(forest, scratch, most, counts)
     place = ("tree", "stands", "region")
     columns = ["doc_id", "tree", "label", "region", F.lit(False).alias("stands")]
     plain = forest.withColumn("prefix", prefix_of(LEVELS[0])).withColumn("region", F.col("prefix"))
@@ -296,10 +336,12 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of ``wanted`` (node), numbers of ``nodes``."""
+    scratch = Scratch(docs.sparkSession, "shingles")
     # merge joins at every size: what is a broadcast for a small table is none for a large one
-    wanted = nodes.join(wanted.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "text_key")
-    texts = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    return Scratch(docs.sparkSession, "shingles").save(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), width))
+    wanted = scratch.save(nodes.join(wanted.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "text_key"), "wanted")
+    asked = docs.filter(key_filter(wanted, "doc_id", "text_key")("doc_id", "text_key"))  # other texts stay where they are
+    texts = asked.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    return scratch.save(shingle_sets(texts.select(F.col("node").alias("doc_id"), "text"), width))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -467,18 +509,16 @@ def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, thresh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, ids, apart, signed = None, [], [], []
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             sides = np.frombuffer(b"".join(signed), np.uint8).reshape(len(ids), -1)
-            found = list(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100))
-            for side in (ids, apart, signed):
-                side.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+            for found in batched(apart_pairs(np.array(ids, np.int64), np.array(apart, np.int64), sides, threshold / 100), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
             for shingle, block, doc_id, component, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (shingle, block) != mark:
                     if len(ids) > 1:
-                        yield close()
+                        yield from close()
                     for side in (ids, apart, signed):
                         side.clear()
                     mark = (shingle, block)
@@ -486,7 +526,7 @@ def missing_pairs(postings: DataFrame, rows: DataFrame, nodes: DataFrame, thresh
                 apart.append(component)
                 signed.append(s)
         if len(ids) > 1:
-            yield close()
+            yield from close()
 
     return met.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "doc_id").mapInArrow(run, st).distinct()
 
@@ -557,5 +597,7 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """Rows of ``docs``, all columns, without the documents of a component but the one that leads it."""
     gone = judged(docs, width, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     gone = Scratch(docs.sparkSession, "dropped").save(gone)
-    same = (docs["doc_id"].cast("long") == gone["_id"]) & (F.md5(docs["text"]) == gone["_key"])
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    doc_id, text_key = F.col("doc_id").cast("long"), F.md5("text")
+    maybe = key_filter(gone, "_id", "_key")(doc_id, text_key)
+    left = docs.filter(maybe).join(gone, (doc_id == F.col("_id")) & (text_key == F.col("_key")), "left_anti")
+    return docs.filter(~maybe).unionByName(left.select(*docs.columns))

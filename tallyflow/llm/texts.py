@@ -29,6 +29,23 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_in_worker[T](key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` makes, kept for all tasks that the worker runs until something else is to be kept or it is let go: a worker
+    outlives the operators that it runs, and holds the cache of one of them at most."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drops what the worker has kept for another operator."""
+    _kept.clear()
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.texts import keep_rows, map_rows
+from tallyflow.llm.texts import keep_rows, kept_in_worker, map_rows
 from tallyflow.runtime import Scratch
 
 MAX_EXAMPLES = 16_384
@@ -134,14 +134,9 @@ class TermCounter:
         return keys, [counts[k] for k in keys]
 
 
-_counter: list[TermCounter] = []
-
-
 def worker_counter(terms: list[str]) -> TermCounter:
     """The worker's counter: the words that it has met serve all tasks that the worker runs over these terms."""
-    if not _counter or list(_counter[0].number) != terms:
-        _counter[:] = [TermCounter(terms)]
-    return _counter[0]
+    return kept_in_worker(("terms", *terms), lambda: TermCounter(terms))
 
 
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -593,6 +593,39 @@ def test_depth_adapts_to_the_region(spark):
     assert {depths[k] for k in range(30)} == {5} and {depths[k] for k in range(30, 60)} == {8} and {depths[k] for k in range(60, 90)} == {128}
 
 
+def test_only_rows_with_company_are_moved(spark):
+    """Of 3 000 signatures two pairs are near: the filter keeps their rows, and few others go through the sort and the walk."""
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 256, (3_000, neardup.TREES * neardup.DEPTH), np.uint8)
+    rows[5], rows[70] = rows[4], rows[2_999]
+    frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "doc_id long, signature binary")
+    moved, counts = neardup.shared_rows(neardup.forest_rows(frame), Scratch(spark, "t"))
+    found = moved.groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in found if r["count"] == neardup.TREES} == {4, 5, 70, 2_999} and len(found) < 100
+    assert {(r.tree, r.n) for r in counts.collect()} == {(t, 2) for t in range(neardup.TREES)}
+    assert sorted(map(tuple, neardup.forest_pairs(frame, 0.85)[0].collect())) == [(4, 5), (70, 2_999)]
+
+
+def test_key_filter_refuses_no_key(spark):
+    keys = spark.range(0, 40_000, 4).select(F.col("id").alias("a"), F.md5(F.col("id").cast("string")).alias("b"))
+    keys = keys.unionByName(spark.createDataFrame([(None, "x"), (1, None)], "a long, b string"))
+    asked = neardup.key_filter(keys, "a", "b")
+    rows = spark.range(40_000).select(F.col("id").alias("a"), F.md5(F.col("id").cast("string")).alias("b"))
+    passed = {r.a for r in rows.filter(asked("a", "b")).collect()}
+    assert passed >= set(range(0, 40_000, 4)) and len(passed) < 10_000 + 1_000
+    assert keys.filter(~asked("a", "b")).count() == 0
+    assert rows.filter(neardup.key_filter(keys.limit(0), "a", "b")("a", "b")).count() == 0
+
+
+def test_a_worker_keeps_the_cache_of_one_operator():
+    counter = toxicity.worker_counter(["a", "b"])
+    assert toxicity.worker_counter(["a", "b"]) is counter and toxicity.worker_counter(["a"]) is not counter
+    encoder = encoding.library_encoder()
+    assert encoding.library_encoder() is encoder and list(texts._kept.values()) == [encoder]
+    texts.let_go()
+    assert not texts._kept
+
+
 def test_a_common_template_costs_as_much_as_its_rows(spark):
     """Signatures of a similarity of 0.6, all of one template: what is walked and what is near grows with the rows, not with their pairs."""
 
