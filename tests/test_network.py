@@ -253,3 +253,49 @@ def test_flow_edges_reach_every_supplier_of_the_nation(spark, tmp_path):
         ("1995", "C3:Money", "S10:Money", 3.0), ("1995", "C3:Money", "S11:Money", 3.0),
         ("1996", "C4:Money", "S10:Money", 4.0), ("1996", "C4:Money", "S11:Money", 4.0), ("1996", "C5:Money", "S12:Money", 8.0),
     ]
+
+
+def test_flow_edges_by_their_ends_equal_flow_rows(spark):
+    """Groups without a partner and without a name, equal ends, ends without a place, results in several periods."""
+    from tallyflow.operators import export as E
+
+    results = spark.createDataFrame(
+        [("s", p, f"w.{n}" if n else None, "M", v) for n, p, v in [("a", "1", 1.0), ("a", "2", 2.0), ("b", "1", 4.0), ("c", "1", 8.0), (None, "1", 16.0)]],
+        "scenario string, period string, processor string, interface string, value double",
+    )
+    ends = [(1, "x.a", "M"), (1, "b", "M"), (1, "b", "M"), (1, None, "M"), (2, "c", "M"), (3, "a", "M"), (None, "a", "M"), (1, "d", "M")]
+    flows = spark.createDataFrame(ends, "g int, source_processor string, source_interface string")
+    targets = [(1, "y.t", "N"), (1, "y.t", "N"), (1, "u", "N"), (2, None, "N"), (4, "t", "N"), (None, "t", "N")]
+    targets = spark.createDataFrame(targets, "g int, target_processor string, target_interface string")
+    places = [("w.a", "L", "S", None, "Q"), ("z.a", "K", "T", None, "Q"), ("t", "M", None, "B", None)]
+    places = spark.createDataFrame(places, "processor string, level string, system string, subsystem string, sphere string")
+    by_rows = E.flow_edges(results, flows.join(targets, "g").drop("g"), places)
+    by_ends = E.flow_edges(results, flows, places, targets)
+    assert sorted(by_ends.columns) == sorted(by_rows.columns)
+    found = sorted(map(str, by_ends.select(*by_rows.columns).collect()))
+    assert len(found) == 16 and found == sorted(map(str, by_rows.collect()))
+
+
+def test_flow_edges_move_no_pairs(spark, tmp_path):
+    """The rows that the query's shuffles write grow with customers and suppliers, not with their pairs."""
+    from tallyflow.plans import QUERIES
+
+    spark.range(40).selectExpr("id AS c_custkey", "1 AS c_nationkey", "'A' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(30).selectExpr("id AS s_suppkey", "1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(40).selectExpr("id AS o_custkey", "date'1995-01-01' AS o_orderdate", "2.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def written(plan) -> int:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return written(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        rows = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return rows + sum(written(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES["flow_edges"](spark, str(tmp_path))
+        assert len(found.collect()) == 40 * 30
+        assert 0 < written(found._jdf.queryExecution().executedPlan()) <= 40 + 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

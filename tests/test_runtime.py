@@ -46,6 +46,24 @@ def test_equal_rows_and_small_shares_are_split(spark, wide, monkeypatch):
     assert total(joined) == total(plain) and joined.columns == plain.columns
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_pair_join_equals_join_and_deals_the_pairs(spark, wide):
+    """Keys with many rows on both sides, on one of them, on one side only, and no key; some rows are equal in all columns."""
+    key = lambda many, few: F.when(F.col("id") < many, 1).when(F.col("id") < many + few, 2).when(F.col("id") % 2 == 0, F.col("id")).cast("long").alias("k")
+    left = spark.range(250).select(key(150, 80), (F.col("id") % 7).alias("x"))
+    right = spark.range(180).select(key(60, 3), (F.col("id") % 5).alias("y"))
+    left, right = (df.withColumn("g", F.lit("a")) if wide else df for df in (left, right))
+    on = ["k", "g"] if wide else ["k"]
+    joined, plain = R.pair_join(left, right, on, rows_per_task=100), left.join(right, on)
+    assert joined.columns == plain.columns
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect()))
+    tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) > 9_200 and len(tasks) > 30 and max(tasks) <= 1_000
+    small, empty = R.pair_join(left, right, on), R.pair_join(left.filter("x > 9"), right, on, rows_per_task=1)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, plain.collect())) and small.columns == plain.columns
+    assert empty.columns == plain.columns and empty.count() == 0
+
+
 def test_tables_below_the_budget_have_no_hot_keys(spark):
     df = R.small_table(spark, [(1,)] * 50, "k long")
     assert R.hot_keys(df, ["k"]) is None
